@@ -7,27 +7,31 @@ one-deletion neighbourhoods), so that the allowances plus one sum to more than H
 pigeonhole principle every wanted pair then shares a key. The allocation of a band is the
 cheapest one under a cost model of keys written and pairs that meet by chance.
 
-Candidates within a key meet at the key's smallest document first, so a key of many copies
-yields as many pairs as members. Only members that then lie in different components are
-compared further, each such pair once.
+Documents with equal sets are one class from the start. Within a key, members first meet at
+its most central class only, each class at one centre, so a key of many near copies yields
+as many pairs as members. Members that then still lie in different components are compared
+inside tasks by small histograms of their sets, whose distance bounds the difference of the
+sets from below; only pairs within the bound are emitted and verified on the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, floor
+from math import floor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, cut, partitions
+from .common import components, cut
 
+#: Buckets of a set's histogram; members of a key compared in one block.
+BUCKETS, BLOCK = 64, 4096
 #: How likely one token of a set is to be matched by chance in an unrelated set; and the cost
 #: of verifying a pair in units of one written key. Both only steer the allocation.
-CHANCE, PAIR_COST = 0.3, 20.0
+CHANCE, PAIR_COST = 0.1, 20.0
 
 
 def shingles(text: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -65,9 +69,19 @@ def most_different(threshold: float, high: int) -> int:
     return floor((1 - threshold) / (1 + threshold) * (high + larger) + 1e-9)
 
 
+def spare(need: int) -> int:
+    """How many keys of a band a document may leave out, its most crowded ones."""
+    return need // 20
+
+
 def allocation(threshold: float, low: int, high: int, rows: float) -> np.ndarray:
-    """The allowance of each segment of a band; its sum plus its length is over most_different."""
+    """The allowance of each segment of a band.
+
+    Its sum plus its length is over most_different, by enough that a pair still has a common
+    key if both leave out spare of theirs.
+    """
     need = most_different(threshold, high) + 1
+    need += 2 * spare(need)
     best = None
     for ones in range(need // 2 + 1):
         parts = ones + (need - 2 * ones)
@@ -82,82 +96,84 @@ def allocation(threshold: float, low: int, high: int, rows: float) -> np.ndarray
 
 
 class Plan:
-    """The bands and their allocations; grows with the sizes that appear."""
-
-    def __init__(self, threshold: float, rows_by_band: dict[int, int] | None = None):
-        self.threshold, self.rows = threshold, rows_by_band or {}
-        self.edges, self.plans = bands(threshold, 1 << 16), {}
-
-    def band(self, size: int) -> int:
-        while self.edges[-1][1] < size:
-            self.edges = bands(self.threshold, 2 * self.edges[-1][1])
-        lows = [low for low, _ in self.edges]
-        return int(np.searchsorted(lows, size, "right")) - 1
-
-    def of(self, band: int) -> np.ndarray:
-        if band not in self.plans:
-            low, high = self.edges[band]
-            self.plans[band] = allocation(self.threshold, low, high, self.rows.get(band, 1))
-        return self.plans[band]
-
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        """All keys of a set: those of its own band, and of the band below, where smaller partners are."""
-        own = self.band(len(hashes))
-        out = []
-        for band in (own, own - 1):
-            if band < 0 or band != own and len(hashes) * self.threshold > self.edges[band][1] + 1e-9:
-                continue
-            allowed = self.of(band)
-            parts = len(allowed)
-            scrambled = K.mix(hashes)
-            segment = (scrambled >> np.uint64(33)) % np.uint64(parts)
-            value = K.mix(hashes + np.uint64(band * 2 + 1))
-            totals = np.zeros(parts, np.uint64)
-            np.add.at(totals, segment.astype(np.int64), value)
-            tags = (np.uint64(band) << np.uint64(32)) + np.arange(parts, dtype=np.uint64)
-            out.append(K.mix(totals + K.mix(tags)))
-            deleted = allowed[segment.astype(np.int64)] == 1
-            if deleted.any():
-                where = segment[deleted].astype(np.int64)
-                out.append(K.mix(totals[where] - value[deleted] + K.mix(tags[where])))
-        return np.concatenate(out)
+    """The bands and their allocations up to the largest set."""
+
+    def __init__(self, threshold: float, largest: int, rows_by_band: dict[int, int] | None = None):
+        self.threshold = threshold
+        self.edges = bands(threshold, max(1, largest))
+        rows = rows_by_band or {}
+        allowed = [allocation(threshold, low, high, rows.get(i, 1)) for i, (low, high) in enumerate(self.edges)]
+        self.lows = np.array([low for low, _ in self.edges])
+        self.highs = np.array([high for _, high in self.edges])
+        self.parts = np.array([len(a) for a in allowed])
+        self.allowed, self.offset = np.concatenate(allowed), np.cumsum([0, *self.parts])
+        self.spare = np.array([spare(most_different(threshold, high) + 1) for _, high in self.edges])
+
+    def band(self, size):
+        return np.searchsorted(self.lows, size, "right") - 1
+
+    def keys(self, h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """All keys and their rows: those of a set's own band, and of the band below, where smaller partners are."""
+        sizes = np.bincount(row, minlength=n)
+        own = self.band(np.maximum(sizes, 1))
+        keys, rows = [], []
+        for below in (0, 1):
+            band = own - below
+            some = (sizes > 0) & (band >= 0)
+            if below:
+                some &= sizes * self.threshold <= self.highs[band] + 1e-9
+            band = np.maximum(band, 0)
+            parts = np.where(some, self.parts[band], 0)
+            base = np.concatenate([[0], np.cumsum(parts)])
+            element = some[row]
+            hh, rr = h[element], row[element]
+            segment = ((K.mix(hh) >> np.uint64(33)) % parts[rr].astype(np.uint64)).astype(np.int64)
+            value = K.mix(hh + (2 * band[rr] + 1).astype(np.uint64))
+            totals = np.zeros(base[-1], np.uint64)
+            np.add.at(totals, base[rr] + segment, value)
+            of = np.repeat(np.arange(n), parts)
+            tag = K.mix((band[of].astype(np.uint64) << np.uint64(32)) + (np.arange(base[-1]) - base[of]).astype(np.uint64))
+            keys.append(K.mix(totals + tag))
+            rows.append(of)
+            one = self.allowed[self.offset[band[rr]] + segment] == 1
+            if one.any():
+                where = base[rr[one]] + segment[one]
+                keys.append(K.mix(totals[where] - value[one] + tag[where]))
+                rows.append(rr[one])
+        return np.concatenate(keys), np.concatenate(rows)
+
+
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
 
 
 def _keys(width: int, plan: Plan):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for first, last, h, firsts in shingles(batch.column(1), width):
-                for row in range(first, last):
-                    own = h[firsts[row - first] : firsts[row - first + 1]]
-                    if len(own) and ids[row].is_valid:
-                        keys = np.unique(plan.keys(own))
-                        yield pa.RecordBatch.from_arrays([pa.array(K.as_signed(keys)), pa.array(np.full(len(keys), ids[row].as_py()))], ["key", "doc_id"])
-
-    def gathered(batches, size=200_000):
-        held, rows = [], 0
-        for b in run(batches):
-            held.append(b)
-            rows += len(b)
-            if rows >= size:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, rows = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return gathered
+            ids, valid = _ids(batch.column("doc_id"))
+            for first, last, h, firsts in shingles(batch.column("text"), width):
+                key, row = plan.keys(h, K.owners(firsts), last - first)
+                keep = valid[first:last][row]
+                yield pa.RecordBatch.from_arrays([pa.array(K.as_signed(key[keep])), pa.array(ids[first:last][row[keep]])], ["key", "doc_id"])
+
+    return run
 
 
 def _sizes(width: int):
     def run(batches):
         for batch in batches:
-            for first, last, h, firsts in shingles(batch.column(1), width):
-                counts = np.diff(firsts)
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(h))])
-                other = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(h ^ K.BASE))])
+            for first, last, h, firsts in shingles(batch.column("text"), width):
+                row, n = K.owners(firsts), last - first
+                sums = np.zeros(len(h) + 1, np.uint64)
+                other = np.zeros(len(h) + 1, np.uint64)
+                np.cumsum(K.mix(h), out=sums[1:])
+                np.cumsum(K.mix(h ^ K.BASE), out=other[1:])
+                bucket = (K.mix(h + np.uint64(7)) >> np.uint64(58)).astype(np.int64)
+                sketch = np.bincount(row * BUCKETS + bucket, minlength=n * BUCKETS).astype(np.uint8)
+                sketch = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * BUCKETS).astype(np.int32)), pa.py_buffer(sketch)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(counts.astype(np.int64)), pa.array(K.as_signed(sums[firsts[1:]] - sums[firsts[:-1]])), pa.array(K.as_signed(other[firsts[1:]] - other[firsts[:-1]]))],
-                    ["doc_id", "n_shingles", "h1", "h2"],
+                    [batch.column("doc_id").slice(first, n), pa.array(np.diff(firsts).astype(np.int64)), pa.array(K.as_signed(sums[firsts[1:]] - sums[firsts[:-1]])), pa.array(K.as_signed(other[firsts[1:]] - other[firsts[:-1]])), sketch],
+                    ["doc_id", "n_shingles", "h1", "h2", "sketch"],
                 )
 
     return run
@@ -183,69 +199,156 @@ def _verified(width: int, numerator: int, denominator: int):
     return run
 
 
-def _check(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
-    """(a, b, linked) of candidate pairs; equal sets need no text, and sizes too far apart are not read."""
-    s = sizes.select("doc_id", "n_shingles", "h1", "h2")
-    p = pairs.join(s.select(F.col("doc_id").alias("a"), F.struct("n_shingles", "h1", "h2").alias("sa")), "a")
-    p = p.join(s.select(F.col("doc_id").alias("b"), F.struct("n_shingles", "h1", "h2").alias("sb")), "b")
-    p = p.where(denominator * F.least("sa.n_shingles", "sb.n_shingles") >= numerator * F.greatest("sa.n_shingles", "sb.n_shingles"))
-    p = cut(p.select("a", "b", (F.col("sa") == F.col("sb")).alias("same")))
-    read = p.where("not same").select("a", "b")
-    read = read.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+def _check(pairs: DataFrame, texts: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
+    """(a, b, linked) of candidate pairs of classes, decided on their texts."""
+    read = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     read = read.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    read = read.select("a", "b", "text_a", "text_b").mapInArrow(_verified(width, numerator, denominator), "a long, b long, linked boolean")
-    return cut(p.where("same").select("a", "b", F.lit(True).alias("linked")).union(read))
+    return cut(read.select("a", "b", "text_a", "text_b").mapInArrow(_verified(width, numerator, denominator), "a long, b long, linked boolean"))
+
+
+def _centred(met: DataFrame) -> DataFrame:
+    """(a, b) with a < b: each class b or a at the most central other class of its keys.
+
+    Central is who shares many keys; ties go to the smaller id. One pair a class at most.
+    """
+    share = met.groupBy("rep").agg(F.count("*").alias("shared"))
+    ranked = met.join(share, "rep").select("key", "rep", F.struct("shared", (-F.col("rep")).alias("m")).alias("c"))
+    top = ranked.groupBy("key").agg(F.max("c").alias("top"))
+    best = ranked.join(top, "key").where("top.m <> c.m").groupBy("rep").agg(F.max("top").alias("top"))
+    pairs = best.select("rep", (-F.col("top.m")).alias("p"))
+    return pairs.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+
+
+def _near(numerator: int, denominator: int):
+    """Pairs of different components within a (key, block pair) whose histograms allow a link.
+
+    Rows come sorted by (key, i, j); a group is at most two blocks, so it fits a task.
+    """
+
+    def pairs(t: pa.Table):
+        rep, c, n, side = (t.column(x).to_numpy() for x in ("rep", "c", "n", "side"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+        left = np.flatnonzero(side <= 0)
+        right = np.flatnonzero(side >= 0)
+        for start in range(0, len(left), 64):
+            x = left[start : start + 64]
+            keep = (c[x][:, None] != c[right][None, :]) & (rep[x][:, None] < rep[right][None, :]) | (c[x][:, None] != c[right][None, :]) & (side[x][:, None] < side[right][None, :])
+            small, large = np.minimum(n[x][:, None], n[right][None, :]), np.maximum(n[x][:, None], n[right][None, :])
+            keep &= denominator * small >= numerator * large
+            i, j = np.nonzero(keep)
+            for s in range(0, len(i), 1 << 16):
+                a, b = x[i[s : s + (1 << 16)]], right[j[s : s + (1 << 16)]]
+                far = (sketch[a] - sketch[b]) % 256
+                far = np.minimum(far, 256 - far).sum(axis=1)
+                # |A and B| = (|A| + |B| - difference) / 2 must reach the threshold
+                ok = (denominator + numerator) * (n[a] + n[b] - far) >= 2 * numerator * (n[a] + n[b])
+                yield np.minimum(rep[a], rep[b])[ok], np.maximum(rep[a], rep[b])[ok]
+
+    def emit(t: pa.Table):
+        found = list(pairs(t))
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return a, b
+
+    def run(batches):
+        held: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            g = [t.column(x).to_numpy() for x in ("key", "i", "j")]
+            new = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in g], axis=0)])) if len(t) else np.zeros(0, np.int64)
+            out = [emit(t.slice(s, e - s)) for s, e in zip(new[:-1].tolist(), new[1:].tolist(), strict=True)]
+            if out:
+                a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            held = t.slice(new[-1]) if len(t) else None
+        if held is not None and len(held):
+            a, b = emit(held)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
+def _across(met: DataFrame, reached: DataFrame, classes: DataFrame, plan: Plan, numerator: int, denominator: int) -> DataFrame:
+    """(a, b): pairs with a common key, of different components, that their histograms allow."""
+    known = met.join(reached, met.rep == reached.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    spread = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("g")).where("lo <> hi").select("key", "g")
+    # a class may leave out its most crowded keys, as many as the band below it can spare
+    may = F.lit(0)
+    for low, below in zip(plan.lows.tolist(), [0, *plan.spare[:-1].tolist()], strict=True):
+        if below:
+            may = F.when(F.col("n") >= low, below).otherwise(may)
+    own = classes.select("rep", F.col("n_shingles").alias("n"), "sketch").withColumn("may", may)
+    rows = known.join(spread, "key")
+    rows = rows.withColumn("crowd", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("g"), "key")))
+    rows = rows.join(own, "rep").where((F.col("crowd") > F.col("may")) | (F.col("g") <= 8)).select("key", "rep", "c", "n", "sketch", "g")
+    blocks = F.ceil(F.col("g") / BLOCK).cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), -1).otherwise(1)
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "rep", "c", "n", "sketch")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near(numerator, denominator), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, numerator: int = 90, denominator: int = 100) -> DataFrame:
-    """One row (doc_id, n_shingles, component_id, n_partners) per row of docs.
+    """One row (doc_id, n_shingles, component_id) per row of docs.
 
     docs needs doc_id and text; other columns are ignored. Two documents link when
     denominator * |A and B| >= numerator * |A or B| over their sets of distinct word
     shingles; component_id is the smallest doc_id that links reach. A null or empty text
     has no shingles and links with nothing. Rows that repeat a doc_id are taken as one
     document with the union of links; a null doc_id gets a null component. An empty table
-    gives an empty result. n_partners counts the verified links that the search needed,
-    which connect each component but are not all links within it.
+    gives an empty result.
     """
-    spark = docs.sparkSession
+    threshold = numerator / denominator
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sizes = cut(docs.mapInArrow(_sizes(width), "doc_id long, n_shingles long, h1 long, h2 long"))
-    largest = sizes.agg(F.max("n_shingles")).first()[0] or 0
-    edges = bands(numerator / denominator, max(1, largest))
-    # one count a band: their number grows with the logarithm of the largest size
-    per_band = sizes.where("n_shingles > 0").groupBy(F.floor(F.log("n_shingles") * 64).alias("l")).agg(F.count("*").alias("n"), F.min("n_shingles").alias("s")).collect()
-    plan = Plan(numerator / denominator)
-    for r in per_band:
-        plan.rows[plan.band(r["s"])] = plan.rows.get(plan.band(r["s"]), 0) + r["n"]
-    assert len(edges) <= len(plan.edges) or largest > plan.edges[-1][1]
+    sizes = cut(docs.mapInArrow(_sizes(width), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"))
+    some = sizes.where("n_shingles > 0 and doc_id is not null")
+    same = ["n_shingles", "h1", "h2"]
+    classes = cut(some.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")))
+    member = cut(some.select("doc_id", *same).join(classes.select("rep", *same), same).select("doc_id", "rep").distinct())
+    # a count for each band: bands grow with the logarithm of the largest size
+    sized = classes.groupBy(F.floor(F.log("n_shingles") * 64).alias("l")).agg(F.count("*").alias("n"), F.min("n_shingles").alias("s"), F.max("n_shingles").alias("most")).collect()
+    largest = max([r["most"] for r in sized], default=1)
+    lows, per_band = np.array([low for low, _ in bands(threshold, largest)]), {}
+    for r in sized:
+        band = int(np.searchsorted(lows, r["s"], "right")) - 1
+        per_band[band] = per_band.get(band, 0) + r["n"]
+    plan = Plan(threshold, largest, per_band)
 
     keys = docs.mapInArrow(_keys(width, plan), "key long, doc_id long")
-    w = "count(1) over (partition by key)", "min(doc_id) over (partition by key)"
-    met = keys.selectExpr("key", "doc_id", f"{w[0]} as n", f"{w[1]} as pivot").where("n > 1").select("key", "doc_id", "pivot")
-    met = cut(met)
-
-    pairs = met.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    wanted = met.select("doc_id").distinct()
-    texts = cut(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi"))
-    one = sizes.dropDuplicates(["doc_id"])
-    found = _check(pairs, one, texts, width, numerator, denominator)
-    links = found.where("linked").select("a", "b")
-    reached = cut(components(links))
-
-    # keys whose members lie in several components: compare the members across components
-    known = met.join(reached, met.doc_id == reached.id, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    open_ = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = cut(known.join(open_, "key", "left_semi").distinct())
-    x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, F.col("x.key") == F.col("y.key")).where("x.c <> y.c and x.doc_id < y.doc_id").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    more = more.join(found.select("a", "b"), ["a", "b"], "left_anti")
-    found2 = _check(more, one, texts, width, numerator, denominator)
-    links = cut(links.union(found2.where("linked").select("a", "b")))
+    met = keys.selectExpr("key", "doc_id", "count(1) over (partition by key) as n").where("n > 1").select("key", "doc_id")
+    met = cut(met.join(member, "doc_id").select("key", "rep").distinct())
+    met = cut(met.join(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"))
+    texts = cut(docs.where("doc_id is not null").join(met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+    first = _check(_centred(met), texts, width, numerator, denominator)
+    linked = first.where("linked").select("a", "b")
+    # those that their centre did not take meet once more among themselves
+    alone = met.join(linked.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_anti")
+    second = _check(_centred(cut(alone)), texts, width, numerator, denominator)
+    links = linked.union(second.where("linked").select("a", "b"))
     reached = cut(components(links))
-    partners = links.union(links.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_partners"))
-    out = sizes.select("doc_id", "n_shingles").join(reached.join(partners, "id", "left").withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_partners", F.lit(0)).alias("n_partners"))
+    tried = first.union(second).select("a", "b")
+    more = cut(_across(met, reached, classes, plan, numerator, denominator).join(tried, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        third = _check(more, texts, width, numerator, denominator).where("linked").select("a", "b")
+        if not third.isEmpty():
+            x, y = reached.select(F.struct("id", "component").alias("x")), reached.select(F.struct("id", "component").alias("y"))
+            between = third.join(x, F.col("a") == F.col("x.id"), "left").join(y, F.col("b") == F.col("y.id"), "left")
+            between = components(between.select(F.coalesce("x.component", "a").alias("a"), F.coalesce("y.component", "b").alias("b")))
+            reached = cut(_merged(reached, between))
+    of = member.join(reached, member.rep == reached.id, "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    of = of.groupBy("doc_id").agg(F.min("component").alias("component"))
+    out = sizes.select("doc_id", "n_shingles").join(of, "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _merged(reached: DataFrame, between: DataFrame) -> DataFrame:
+    """reached, with components that between (id, component) joins taken together."""
+    b = cut(between).select(F.col("id").alias("old"), F.col("component").alias("new"))
+    moved = reached.join(b, reached.component == b.old, "left").select("id", F.coalesce("new", "component").alias("component"))
+    fresh = b.join(reached, b.old == reached.id, "left_anti").select(F.col("old").alias("id"), F.col("new").alias("component"))
+    return moved.union(fresh)
 
 
 def representatives(docs: DataFrame, width: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
