@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality, substring_dedup, toxicity, url_rules
+from . import decontaminate, language, mixing, quality, substring_dedup, suffix_dedup, toxicity, url_rules
 from .ngram_join import jaccard_components
 
 
@@ -40,6 +40,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_poisson_mix": op6_poisson_mix,
     "op7_language": op7_language,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
