@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality, substring_dedup, suffix_dedup, toxicity, url_rules
+from . import decontaminate, embedding_dedup, language, mixing, quality, substring_dedup, suffix_dedup, toxicity, url_rules
 from .ngram_join import jaccard_components
 
 
@@ -27,6 +27,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": op1_url_rules,
     "op2_decontaminate": op2_decontaminate,
     "op3_toxicity": op3_toxicity,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_poisson_mix": op6_poisson_mix,
     "op7_language": op7_language,
