@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +39,11 @@ def cut(df: DataFrame, partitions_by: list[str] | None = None) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    gc.collect()
-    spark._jvm.System.gc()
+    # the cleaner learns of a shuffle when its last reference is collected, some of them one round later
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def partitions(spark: SparkSession) -> int:
