@@ -23,8 +23,8 @@ from . import kernels as K
 from .common import cut
 from .substring_dedup import SPREAD, _valid_ids
 
-#: Tiles of one anchor that are sorted together.
-CROWD = 1024
+#: Tiles of one anchor that are sorted together: some 3 MB of text and 60 MB of working arrays.
+CROWD = 8192
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -185,7 +185,7 @@ def _repeats(length: int):
             data = pa.concat_arrays(data.chunks)
         doc, lo, n = (t.column(x).to_numpy() for x in ("doc_id", "lo", "n"))
         split = t.column("split").to_numpy(zero_copy_only=False)
-        for first, last, raw, bounds in K.chunks(data, 1 << 23 if len(data) else 1):
+        for first, last, raw, bounds in K.chunks(data, 1 << 40):
             yield from _batch(raw, bounds, doc[first:last], lo[first:last].astype(np.int64), n[first:last].astype(np.int64), split[first:last], length)
 
     def run(batches):
