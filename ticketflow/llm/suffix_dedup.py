@@ -160,7 +160,7 @@ def interval_tree(suffixes: list[tuple[bytes, int]], length: int) -> list[tuple[
     change = [0] * len(order)
     for i in range(1, len(order)):
         change[i] = i if lefts[i] != lefts[i - 1] or lefts[i] < 0 else change[i - 1]
-    out, stack = [], [(0, 0)]
+    out, stack = [], []
     for i in range(1, len(lcp)):
         start = i - 1
         while stack and stack[-1][0] > lcp[i]:
