@@ -23,7 +23,7 @@ from .common import components, cut
 
 #: Projections counted within a cell; half width of a window in deviations of a wanted pair's difference.
 DIRECTIONS, WIDTH = 64, 1.6
-#: Rows of a cell that one block holds, and rows that a cell should hold on average.
+#: Rows of a cell that one block holds (ranks are 16 bits wide), and rows that a cell should hold on average.
 BLOCK, CELL = 1024, 48
 #: Wanted pairs that the choice of cells, and the count, may each miss.
 MISSED_BY_CELLS, MISSED_BY_COUNT = 0.01, 0.002
@@ -78,13 +78,20 @@ class Geometry:
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         unit = x / norm[:, None]
         p = (unit @ self.counting).T.astype(np.float32)
+        order = np.argsort(p[:, right], axis=1, kind="stable")
+        ordered_lines = np.take_along_axis(p[:, right], order, axis=1)
+        ranks = np.empty(order.shape, np.int16)
+        np.put_along_axis(ranks, order, np.arange(len(right), dtype=np.int16)[None, :], axis=1)
         found = ([], [])
         triangle = left is right
         for s in range(0, len(left), 128):
             a = left[s : s + 128]
             counts = np.zeros((len(a), len(right)), np.uint8)
-            for line in p:
-                counts += np.abs(line[a][:, None] - line[right][None, :]) <= self.width
+            for line, ordered, rank in zip(p, ordered_lines, ranks, strict=True):
+                # the window around each query is a run of ranks of the sorted projection
+                low = np.searchsorted(ordered, line[a] - self.width, "left").astype(np.int16)
+                high = np.searchsorted(ordered, line[a] + self.width, "right").astype(np.int16)
+                counts += (rank >= low[:, None]) & (rank < high[:, None])
             close = counts >= self.needed
             if triangle:
                 close &= np.arange(s, s + len(a))[:, None] < np.arange(len(right))[None, :]
