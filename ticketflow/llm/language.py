@@ -22,6 +22,8 @@ from .learning import held_out
 #: Longest n-gram, length of a profile and of a document's list, and training texts a language, at most.
 LONGEST, PROFILE, SAMPLE = 3, 400, 3_000
 UNKNOWN = "und"
+#: Languages that one model may tell apart.
+LANGUAGES = 2_000
 
 _CODES = 1 << 16
 
@@ -138,9 +140,15 @@ def training_texts(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     """(lang, text) of the training rows; of a language with more than most, a hashed share of about most."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     base = base.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
-    sizes = base.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("l"), (F.lit(float(most)) / F.col("n")).alias("share"))
+    sizes = base.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not sizes:
+        return base.select("lang", "text").limit(0)
+    # a share for each language goes into the plan as a map, so no text is shuffled to meet it
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], most / r["n"])])
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    return base.join(sizes, F.col("lang") == F.col("l")).where(drawn < F.col("share")).select("lang", "text")
+    return base.where(drawn < share[F.col("lang")]).select("lang", "text")
 
 
 def _counted(batches):
