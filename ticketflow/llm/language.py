@@ -170,8 +170,9 @@ def _counted(batches):
 def learn(docs: DataFrame, most: int = SAMPLE, length: int = PROFILE) -> Profiles:
     """The profile of each language in lang, from its training texts."""
     counted = training_texts(docs, most).mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    rank = counted.selectExpr("lang", "code", "n", "row_number() over (partition by lang order by n desc, code) - 1 as rank").where(F.col("rank") < length)
-    return Profiles.of([(r["lang"], r["code"], r["rank"]) for r in rank.collect()], length)
+    # the limit on the row number lets each task cut its own list first
+    top = counted.selectExpr("lang", "code", "n", "row_number() over (partition by lang order by n desc, code) as place").where(F.col("place") <= length)
+    return Profiles.of([(r["lang"], r["code"], r["place"] - 1) for r in top.collect()], length)
 
 
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
