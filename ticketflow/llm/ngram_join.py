@@ -28,10 +28,10 @@ from . import kernels as K
 from .common import components, cut
 
 #: Buckets of a set's histogram; members of a key compared in one block.
-BUCKETS, BLOCK = 64, 4096
+BUCKETS, BLOCK = 256, 4096
 #: How likely one token of a set is to be matched by chance in an unrelated set; and the cost
 #: of verifying a pair in units of one written key. Both only steer the allocation.
-CHANCE, PAIR_COST = 0.1, 20.0
+CHANCE, PAIR_COST = 0.03, 20.0
 
 
 def shingles(text: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -168,7 +168,7 @@ def _sizes(width: int):
                 other = np.zeros(len(h) + 1, np.uint64)
                 np.cumsum(K.mix(h), out=sums[1:])
                 np.cumsum(K.mix(h ^ K.BASE), out=other[1:])
-                bucket = (K.mix(h + np.uint64(7)) >> np.uint64(58)).astype(np.int64)
+                bucket = (K.mix(h + np.uint64(7)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
                 sketch = np.bincount(row * BUCKETS + bucket, minlength=n * BUCKETS).astype(np.uint8)
                 sketch = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * BUCKETS).astype(np.int32)), pa.py_buffer(sketch)])
                 yield pa.RecordBatch.from_arrays(
@@ -236,8 +236,8 @@ def _near(numerator: int, denominator: int):
             small, large = np.minimum(n[x][:, None], n[right][None, :]), np.maximum(n[x][:, None], n[right][None, :])
             keep &= denominator * small >= numerator * large
             i, j = np.nonzero(keep)
-            for s in range(0, len(i), 1 << 16):
-                a, b = x[i[s : s + (1 << 16)]], right[j[s : s + (1 << 16)]]
+            for s in range(0, len(i), 1 << 13):
+                a, b = x[i[s : s + (1 << 13)]], right[j[s : s + (1 << 16)]]
                 far = (sketch[a] - sketch[b]) % 256
                 far = np.minimum(far, 256 - far).sum(axis=1)
                 # |A and B| = (|A| + |B| - difference) / 2 must reach the threshold
