@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,9 +30,10 @@ def best_label(values: Column, labels: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*map(F.lit, labels)), F.array_position(values, F.array_max(values)).cast("int"))
 
 
-def hashed_embedding(tokens: Column, length: int = 64) -> Column:
-    """A unit vector that counts hashed tokens: a stand-in where no model is installed."""
-    at = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(length)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)).cast("float"))
+def hashed_embeddings(rows: DataFrame, key: str, tokens: Column, length: int = 64) -> DataFrame:
+    """(key, vector): unit vectors that count hashed tokens, a stand-in where no model is installed."""
+    slots = rows.select(key, F.explode(tokens).alias("t")).select(key, F.pmod(F.xxhash64("t"), F.lit(length)).cast("int").alias("slot"))
+    counts = slots.groupBy(key, "slot").agg(F.count("*").cast("double").alias("n"))
+    found = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    value = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: (F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).cast("float"))
+    return found.select(key, value.alias("vector"))

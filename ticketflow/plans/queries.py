@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, security, text, vectors
-from ..operators import evaluation, ingest, similar, sinks, tickets
+from ..operators import evaluation, generation, ingest, similar, sinks, tickets
 from ..schemas import CATEGORIES, PRIORITIES, SENTIMENTS, violations
 from ..streaming import bucket
 from . import views
@@ -576,3 +576,79 @@ def rank_fusion(s, d):
     both = top("a", F.desc("r"), "item_id").join(top("b", "item_id"), "item_id", "full_outer")
     share = lambda c: F.coalesce(1 / (60.0 + F.col(c)), F.lit(0.0))
     return both.select("item_id", F.round(share("a") + share("b"), 9).alias("fused"))
+
+
+# --- generation ------------------------------------------------------------------------------
+
+HASHED = "(('0x' || substr(md5({0}), 1, 8))::BIGINT % {1})"
+
+
+def _sample_sql(n):
+    pools = "{" + ", ".join(f"'{k}': [" + ", ".join("[" + ", ".join("'" + x.replace("'", "''") + "'" for x in part) + "]" for part in v) + "]" for k, v in generation.SAMPLES.items()) + "}"
+    at = lambda part, l: f"{pools}.{l}[{part + 1}][{HASHED.format(f"'42/{part}/' || i", 3)} + 1]"
+    pick = lambda part: f"CASE WHEN {HASHED.format("'42/l/' || i", 2)} = 0 THEN {at(part, 'fr')} ELSE {at(part, 'en')} END"
+    return f"""SELECT 'TCK-' || lpad((i + 1)::VARCHAR, 6, '0') AS external_ref, 'client' || (i + 1) || '@example.com' AS customer_email, {pick(0)} AS subject, {pick(1)} AS body,
+  strftime(TIMESTAMP '2026-01-01' + to_minutes(i::INTEGER), '%Y-%m-%dT%H:%M:%S') AS created_at, CASE WHEN {HASHED.format("'42/l/' || i", 2)} = 0 THEN 'fr' ELSE 'en' END AS language FROM range({n}) t(i)"""
+
+
+@query(_sample_sql(10_000))
+def sample_tickets(s, d):
+    return generation.sample_tickets(s)
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('42/' || doc_id)) AS rank FROM documents ORDER BY md5('42/' || doc_id) LIMIT 100")
+def shuffle_seeded(s, d):
+    top = generation.shuffled(views.table(s, d, "documents").select("doc_id"), "doc_id").orderBy("place").limit(100)
+    return top.select("doc_id", F.row_number().over(Window.orderBy("place")).cast("long").alias("rank"))
+
+
+@query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")
+def json_object_extract(s, d):
+    said = F.concat(F.lit("Sure:\n```json\n"), F.col("props"), F.lit("\n```"))
+    return views.table(s, d, "events").select("event_id", F.from_json(text.first_json_object(said), "k bigint")["k"].alias("k"))
+
+
+@query(f"WITH {views.VECTORS} SELECT ticket_id, list_position({_words(CATEGORIES)}, category)::BIGINT - 1 AS id FROM vectors")
+def label_ids(s, d):
+    return views.vectors(s, d).select("ticket_id", generation.label_id(F.col("category"), CATEGORIES).alias("id"))
+
+
+@query(f"""WITH c AS (SELECT doc_id AS seq, lang AS language, text AS body, source AS category FROM documents WHERE n_chars % 3 <> 0), k AS (SELECT *, {NORMAL.replace('text', 'body')} AS n FROM c),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY seq) AS r FROM k WHERE n NOT IN (SELECT {NORMAL} FROM benchmark)) WHERE r = 1)
+SELECT seq, category, language FROM (SELECT *, row_number() OVER (PARTITION BY category, language ORDER BY seq) AS q FROM u) WHERE q <= 4""")
+def dataset_builder(s, d):
+    docs = views.table(s, d, "documents")
+    target = F.struct(F.col("source").alias("category"), F.lit("NEU").alias("sentiment"))
+    said = F.struct(F.when(F.col("n_chars") % 3 != 0, F.col("source")).alias("category"), F.lit("NEU").alias("sentiment"))
+    candidates = docs.select(F.col("doc_id").alias("seq"), F.col("lang").alias("language"), F.col("text").alias("body"), target.alias("spec"), said.alias("pred"))
+    made = generation.built_dataset(candidates, views.table(s, d, "benchmark").select(F.col("text").alias("body")), 4)
+    return made.select("seq", F.col("spec.category").alias("category"), "language")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (doc_id NOT IN (SELECT vec_id FROM embeddings)) AS backfilled FROM documents")
+def backfill_counts(s, d):
+    docs, v = views.letters(s, d), views.vectors(s, d)
+    new = generation.backfilled(docs, v).where(F.size("vector") == 64)
+    return docs.agg(F.count("*").alias("n")).crossJoin(new.agg(F.count("*").alias("backfilled")))
+
+
+@query(f"WITH {views.VECTORS} SELECT 1.0::DOUBLE AS recall")
+def recall_at_k(s, d):
+    """The batch search against the ticket-by-ticket search of its first query."""
+    v = views.vectors(s, d)
+    found = similar.nearest_of_queries(v, v.where("ticket_id = 100").select(F.col("ticket_id").alias("query_id"), F.col("vector").alias("q")))
+    truth = similar.by_ticket(v, v.select(F.col("ticket_id").alias("id"), F.lit("").alias("subject")), 100).select(F.lit(100).cast("long").alias("query_id"), "ticket_id")
+    return generation.recall_at(found, truth, 5)
+
+
+@query("SELECT a.doc_id, b.item_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents) a LEFT JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) AS n FROM benchmark) b USING (n)")
+def positional_zip(s, d):
+    left = views.table(s, d, "documents").select(F.col("doc_id").alias("o"), "doc_id")
+    right = views.table(s, d, "benchmark").select(F.col("item_id").alias("o"), "item_id")
+    return generation.positional_zip(left, right, "o").select("doc_id", "item_id")
+
+
+@query()
+def topic_clusters(s, d):
+    """k-means over the vectors; an iterative fit, so without SQL."""
+    return generation.topics(views.vectors(s, d).select("ticket_id", "vector"))
