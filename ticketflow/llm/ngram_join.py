@@ -31,7 +31,7 @@ from .common import components, cut
 BUCKETS, BLOCK = 256, 4096
 #: How likely one token of a set is to be matched by chance in an unrelated set; and the cost
 #: of verifying a pair in units of one written key. Both only steer the allocation.
-CHANCE, PAIR_COST = 0.03, 20.0
+CHANCE, PAIR_COST = 0.005, 20.0
 
 
 def shingles(text: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -199,8 +199,39 @@ def _verified(width: int, numerator: int, denominator: int):
     return run
 
 
-def _check(pairs: DataFrame, texts: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
-    """(a, b, linked) of candidate pairs of classes, decided on their texts."""
+def _difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far histograms differ, row by row: no more than their sets do. Counts are kept modulo 256."""
+    far = (a.astype(np.int16) - b) % 256
+    return np.minimum(far, 256 - far).sum(axis=1)
+
+
+def _within(n_a, n_b, far, numerator: int, denominator: int):
+    """Whether sets of these sizes that differ by at least far can reach the threshold.
+
+    |A and B| is (|A| + |B| - difference) / 2, |A or B| is (|A| + |B| + difference) / 2.
+    """
+    return denominator * (n_a + n_b - far) >= numerator * (n_a + n_b + far)
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """The pairs (a, b) of classes that sizes and histograms allow to link."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("xs", "ys"))
+            ok = _within(batch.column("xn").to_numpy(), batch.column("yn").to_numpy(), _difference(x, y), numerator, denominator)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    x = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("xn"), F.col("sketch").alias("xs"))
+    y = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("yn"), F.col("sketch").alias("ys"))
+    met = pairs.join(x, "a").join(y, "b").where(denominator * F.least("xn", "yn") >= numerator * F.greatest("xn", "yn"))
+    return cut(met.select("a", "b", "xn", "yn", "xs", "ys").mapInArrow(run, "a long, b long"))
+
+
+def _check(pairs: DataFrame, docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
+    """(a, b, linked) of pairs of classes, decided on their texts; only texts that are needed are kept."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = cut(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     read = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     read = read.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return cut(read.select("a", "b", "text_a", "text_b").mapInArrow(_verified(width, numerator, denominator), "a long, b long, linked boolean"))
@@ -227,7 +258,7 @@ def _near(numerator: int, denominator: int):
 
     def pairs(t: pa.Table):
         rep, c, n, side = (t.column(x).to_numpy() for x in ("rep", "c", "n", "side"))
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BUCKETS)
         left = np.flatnonzero(side <= 0)
         right = np.flatnonzero(side >= 0)
         for start in range(0, len(left), 64):
@@ -238,10 +269,7 @@ def _near(numerator: int, denominator: int):
             i, j = np.nonzero(keep)
             for s in range(0, len(i), 1 << 13):
                 a, b = x[i[s : s + (1 << 13)]], right[j[s : s + (1 << 16)]]
-                far = (sketch[a] - sketch[b]) % 256
-                far = np.minimum(far, 256 - far).sum(axis=1)
-                # |A and B| = (|A| + |B| - difference) / 2 must reach the threshold
-                ok = (denominator + numerator) * (n[a] + n[b] - far) >= 2 * numerator * (n[a] + n[b])
+                ok = _within(n[a], n[b], _difference(sketch[a], sketch[b]), numerator, denominator)
                 yield np.minimum(rep[a], rep[b])[ok], np.maximum(rep[a], rep[b])[ok]
 
     def emit(t: pa.Table):
@@ -319,19 +347,17 @@ def jaccard_components(docs: DataFrame, width: int = 3, numerator: int = 90, den
     met = keys.selectExpr("key", "doc_id", "count(1) over (partition by key) as n").where("n > 1").select("key", "doc_id")
     met = cut(met.join(member, "doc_id").select("key", "rep").distinct())
     met = cut(met.join(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"))
-    texts = cut(docs.where("doc_id is not null").join(met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-
-    first = _check(_centred(met), texts, width, numerator, denominator)
+    first = _check(_possible(_centred(met), classes, numerator, denominator), docs, width, numerator, denominator)
     linked = first.where("linked").select("a", "b")
     # those that their centre did not take meet once more among themselves
     alone = met.join(linked.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_anti")
-    second = _check(_centred(cut(alone)), texts, width, numerator, denominator)
+    second = _check(_possible(_centred(cut(alone)), classes, numerator, denominator), docs, width, numerator, denominator)
     links = linked.union(second.where("linked").select("a", "b"))
     reached = cut(components(links))
     tried = first.union(second).select("a", "b")
     more = cut(_across(met, reached, classes, plan, numerator, denominator).join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        third = _check(more, texts, width, numerator, denominator).where("linked").select("a", "b")
+        third = _check(more, docs, width, numerator, denominator).where("linked").select("a", "b")
         if not third.isEmpty():
             x, y = reached.select(F.struct("id", "component").alias("x")), reached.select(F.struct("id", "component").alias("y"))
             between = third.join(x, F.col("a") == F.col("x.id"), "left").join(y, F.col("b") == F.col("y.id"), "left")
