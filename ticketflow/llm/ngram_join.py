@@ -268,7 +268,7 @@ def _near(numerator: int, denominator: int):
             keep &= denominator * small >= numerator * large
             i, j = np.nonzero(keep)
             for s in range(0, len(i), 1 << 13):
-                a, b = x[i[s : s + (1 << 13)]], right[j[s : s + (1 << 16)]]
+                a, b = x[i[s : s + (1 << 13)]], right[j[s : s + (1 << 13)]]
                 ok = _within(n[a], n[b], _difference(sketch[a], sketch[b]), numerator, denominator)
                 yield np.minimum(rep[a], rep[b])[ok], np.maximum(rep[a], rep[b])[ok]
 
