@@ -105,3 +105,16 @@ def test_representatives(spark, odd_docs):
     kept = N.representatives(odd_docs, 5, 80, 100)
     ids = [r.doc_id for r in kept.collect()]
     assert 1 in ids and not {2, 3, 14} & set(ids) and {4, 5, 6, 7, None} <= set(ids) and kept.columns == odd_docs.columns
+
+
+@pytest.mark.parametrize("weight", [1 << 10, 1 << 19])
+def test_cells_settle_what_pairs_settle(spark, monkeypatch, weight):
+    monkeypatch.setattr(N, "WEIGHT", weight)
+    rows = family(1, 40, 120, 9) + family(2, 30, 300, 30, 200)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = [i for i, _ in rows]
+    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "a long, b long")
+    classes = spark.createDataFrame([(i, 118) for i in ids], "rep long, n_shingles long")
+    one = {(r.a, r.b) for r in N._check(pairs, df, 3, 80, 100).where("linked").collect()}
+    many = {(min(r.a, r.b), max(r.a, r.b)) for r in N._check_many(pairs, df, classes, 3, 80, 100).collect()}
+    assert one and many == one

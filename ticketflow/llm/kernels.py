@@ -139,3 +139,19 @@ def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[pa.Table]]:
+    """The runs of rows with equal integer keys of sorted batches; as many at once as a batch completes."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        g = [t.column(k).to_numpy() for k in keys]
+        new = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in g], axis=0)])).tolist()
+        yield [t.slice(s, e - s) for s, e in zip(new[:-1], new[1:], strict=True)]
+        held = t.slice(new[-1])
+    if held is not None:
+        yield [held]

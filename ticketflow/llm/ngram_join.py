@@ -29,6 +29,8 @@ from .common import components, cut
 
 #: Buckets of a set's histogram; members of a key compared in one block.
 BUCKETS, BLOCK = 256, 4096
+#: Shingles of a block of classes whose pairs are verified together.
+WEIGHT = 1 << 19
 #: How likely one token of a set is to be matched by chance in an unrelated set; and the cost
 #: of verifying a pair in units of one written key. Both only steer the allocation.
 CHANCE, PAIR_COST = 0.005, 20.0
@@ -228,15 +230,78 @@ def _possible(pairs: DataFrame, classes: DataFrame, numerator: int, denominator:
     return cut(met.select("a", "b", "xn", "yn", "xs", "ys").mapInArrow(run, "a long, b long"))
 
 
+def _texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents that occur in pairs."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return cut(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
 def _check(pairs: DataFrame, docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
     """(a, b, linked) of pairs of classes, decided on their texts; only texts that are needed are kept."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = cut(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = _texts(pairs, docs)
     read = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     read = read.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return cut(read.select("a", "b", "text_a", "text_b").mapInArrow(_verified(width, numerator, denominator), "a long, b long, linked boolean"))
 
 
+def _settled(width: int, numerator: int, denominator: int):
+    """The linked pairs of cells: rows come sorted by (i, j), texts (b is null) and pairs of a cell together."""
+
+    def settle(t: pa.Table) -> tuple[list[int], list[int]]:
+        texts, pairs = t.filter(t.column("b").is_null()), t.filter(t.column("b").is_valid())
+        ids, sets = texts.column("a").to_numpy(), []
+        for batch in texts.to_batches():
+            for first, last, h, firsts in shingles(batch.column("text"), width):
+                sets += [h[firsts[i] : firsts[i + 1]] for i in range(last - first)]
+        bounds = np.cumsum([0, *map(len, sets)])
+        vocabulary, token = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(ids)
+        x, y = (order[np.searchsorted(ids, pairs.column(c).to_numpy(), sorter=order)] for c in ("a", "b"))
+        marked, at, out = np.zeros(len(vocabulary), bool), -1, ([], [])
+        for k in np.argsort(x, kind="stable").tolist():
+            if x[k] != at:
+                if at >= 0:
+                    marked[token[bounds[at] : bounds[at + 1]]] = False
+                at = x[k]
+                marked[token[bounds[at] : bounds[at + 1]]] = True
+            common = np.count_nonzero(marked[token[bounds[y[k]] : bounds[y[k] + 1]]])
+            if common and denominator * common >= numerator * (len(sets[at]) + len(sets[y[k]]) - common):
+                out[0].append(ids[at])
+                out[1].append(ids[y[k]])
+        return out
+
+    def run(batches):
+        for done in K.groups(batches, ["i", "j"]):
+            if done:
+                a, b = (sum(x, []) for x in zip(*map(settle, done), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _check_many(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
+    """(a, b) of the linked ones among pairs of classes that have many partners each.
+
+    Classes with a common neighbourhood share a block of bounded weight and a pair belongs to
+    the cell of its two blocks, so a text goes once to a cell and not once to each partner.
+    """
+    ends = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ends.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("label"))
+    far = ends.join(near.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("label"))
+    # a class weighs what its set holds, and something for its pairs
+    placed = cut(far.join(classes.select(F.col("rep").alias("a"), (F.col("n_shingles") + WEIGHT // 512).alias("w")), "a"))
+    shares = F.ceil(placed.agg(F.sum("w")).first()[0] / F.lit(WEIGHT))
+    crowd = placed.groupBy("label").agg(F.ceil(F.sum("w") / WEIGHT).alias("split"))
+    small, large = F.xxhash64(F.pmod(F.xxhash64("label"), shares)), F.xxhash64("label", F.pmod(F.xxhash64("a"), F.col("split")))
+    placed = cut(placed.join(crowd, "label").select("a", F.when(F.col("split") > 1, large).otherwise(small).alias("block")))
+    dealt = pairs.join(placed.withColumnRenamed("block", "p"), "a").join(placed.select(F.col("a").alias("b"), F.col("block").alias("q")), "b")
+    dealt = cut(dealt.select(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "a", "b"))
+    wanted = dealt.select("i", "j", F.explode(F.array("a", "b")).alias("a")).distinct()
+    texts = wanted.join(_texts(pairs, docs).withColumnRenamed("doc_id", "a"), "a").select("i", "j", "a", F.lit(None).cast("long").alias("b"), "text")
+    rows = texts.unionByName(dealt.withColumn("text", F.lit(None).cast("string")))
+    return rows.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(_settled(width, numerator, denominator), "a long, b long")
+
+
 def _centred(met: DataFrame) -> DataFrame:
     """(a, b) with a < b: each class b or a at the most central other class of its keys.
 
@@ -278,20 +343,10 @@ def _near(numerator: int, denominator: int):
         return a, b
 
     def run(batches):
-        held: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            g = [t.column(x).to_numpy() for x in ("key", "i", "j")]
-            new = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in g], axis=0)])) if len(t) else np.zeros(0, np.int64)
-            out = [emit(t.slice(s, e - s)) for s, e in zip(new[:-1].tolist(), new[1:].tolist(), strict=True)]
-            if out:
-                a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+        for done in K.groups(batches, ["key", "i", "j"]):
+            if done:
+                a, b = (np.concatenate(x) for x in zip(*map(emit, done), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            held = t.slice(new[-1]) if len(t) else None
-        if held is not None and len(held):
-            a, b = emit(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
@@ -357,7 +412,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, numerator: int = 90, den
     tried = first.union(second).select("a", "b")
     more = cut(_across(met, reached, classes, plan, numerator, denominator).join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        third = _check(more, docs, width, numerator, denominator).where("linked").select("a", "b")
+        third = cut(_check_many(more, docs, classes, width, numerator, denominator))
         if not third.isEmpty():
             x, y = reached.select(F.struct("id", "component").alias("x")), reached.select(F.struct("id", "component").alias("y"))
             between = third.join(x, F.col("a") == F.col("x.id"), "left").join(y, F.col("b") == F.col("y.id"), "left")
