@@ -97,6 +97,18 @@ def test_bytes_with_short_strings(spark, monkeypatch, crowd):
     assert found_bytes(df, length=30, gram=9) == brute_bytes(rows, 30)
 
 
+def test_bytes_of_copies_over_partitions(spark):
+    """Of an exact copy in each of two batches, only the second batch has the edited copy too."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(120)) for _ in range(40)]
+    edited = [t[: (k := rng.randrange(45, 75))] + "#" + t[k + 1 :] for t in texts]
+    batches = [list(enumerate(texts)), [(100 + i, t) for i, t in enumerate(texts)] + [(200 + i, t) for i, t in enumerate(edited)], [(300 + i, t[10:]) for i, t in enumerate(edited) if i % 3 == 0]]
+    for own in (batches[:2], batches):
+        df = spark.createDataFrame(spark.sparkContext.parallelize(own, len(own)).flatMap(lambda b: b), "doc_id long, text string")
+        assert df.rdd.getNumPartitions() == len(own)
+        assert found_bytes(df, length=30, gram=9) == brute_bytes([r for b in own for r in b], 30)
+
+
 def test_bytes_of_odd_rows(spark, odd_docs, no_docs):
     assert found_bytes(odd_docs) == brute_bytes(pairs(odd_docs))
     assert suffix.remove_repeats(no_docs).count() == 0

@@ -262,11 +262,12 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 50) -> DataFr
     kind = "g long, c long, doc_id long, lo int, n int, c_salt int, g_salt int, c_known boolean, g_known boolean"
     found = base.mapInArrow(_tiled(length, gram), kind)
     within = "over (partition by g, c, c_salt"
-    classed = found.selectExpr("*", f"c_known or count(1) {within}) > 1 as full", f"c_salt = 0 and row_number() {within} order by doc_id, lo) = 1 as rep")
-    classed = cut(classed.select("g", "doc_id", "lo", "n", "g_salt", "g_known", "full", "rep").where("full or rep"))
+    classed = found.selectExpr("*", f"c_known or count(1) {within}) > 1 as full", f"c_salt = 0 and row_number() {within} order by doc_id, lo) = 1 as rep", f"max(g_known) {within}) as c_met")
+    # one row stands for a class, so it carries what any batch knows of the class
+    classed = cut(classed.select("g", "doc_id", "lo", "n", "g_salt", "c_met", "full", "rep").where("full or rep"))
     whole = classed.where("full").select("doc_id", F.col("lo").cast("long").alias("start"), (F.col("n") - 1 + length).cast("long").alias("size"))
 
-    shared = classed.where("rep").selectExpr("g", "doc_id", "lo", "n", "g_known or count(1) over (partition by g, g_salt) > 1 as met").where("met")
+    shared = classed.where("rep").selectExpr("g", "doc_id", "lo", "n", "c_met or count(1) over (partition by g, g_salt) > 1 as met").where("met")
     shared = cut(shared.select("g", "doc_id", "lo", "n"))
     crowded = shared.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > CROWD)
     parts = F.coalesce(F.ceil(F.col("m") / CROWD), F.lit(1)).cast("long")
