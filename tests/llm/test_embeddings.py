@@ -36,6 +36,38 @@ def test_recall_and_precision(spark, clustered, monkeypatch, block):
     assert all((got[i].component_id < i) <= (links[i] > 0) for i in ids)
 
 
+def pairs_off_centre(rng, share, n, dim=64, threshold=0.9):
+    """n pairs of unit vectors at the threshold about a common mean of the given squared norm."""
+    mean = np.zeros(dim)
+    mean[0] = np.sqrt(share)
+    u, z = (np.pad(rng.standard_normal((n, dim - 1)), ((0, 0), (1, 0))) for _ in range(2))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    z -= (z * u).sum(axis=1)[:, None] * u
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    turn = (threshold - share) / (1 - share)
+    return mean + np.sqrt(1 - share) * u, mean + np.sqrt(1 - share) * (turn * u + np.sqrt(1 - turn**2) * z)
+
+
+@pytest.mark.parametrize("rows", [10_000, 3_000_000])
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 0.7])
+def test_cells_of_vectors_with_a_common_mean(share, rows):
+    rng = np.random.default_rng(7)
+    x, y = pairs_off_centre(rng, share, 4096)
+    g = E.Geometry.of(64, rows, 0.9, x)
+    x, y = pairs_off_centre(rng, share, 1000)
+    together = (g.cells(x) == g.cells(y)).any(axis=1).mean()
+    assert together >= 0.97, (g.bits, g.tables, together)
+
+
+def test_recall_with_a_common_mean(spark):
+    x, y = pairs_off_centre(np.random.default_rng(2), 0.7, 2000, threshold=0.901)
+    x = np.concatenate([x, y])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    links, _ = brute(list(range(len(x))), x)
+    n = np.array([r.n_links for r in E.near_duplicates(df).orderBy("vec_id").collect()])
+    assert (n <= links).all() and n.sum() >= 0.97 * links.sum() >= 3800
+
+
 def test_odd_rows(spark):
     a, b = [1.0, 0.0, 0.0], [0.99, 0.01, 0.0]
     rows = [(1, a), (2, a), (3, b), (4, None), (5, []), (6, [0.0, 0.0, 0.0]), (7, [1.0, None, 0.0]), (8, [float("nan"), 1.0, 0.0]), (9, [float("inf"), 1.0, 0.0]), (None, a), (10, [1.0, 0.0]), (11, [2.0, 0.0]), (12, [-1.0, 0.0, 0.0])]

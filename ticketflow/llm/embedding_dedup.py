@@ -5,14 +5,14 @@ in most projections, so around each query a window of fixed width is laid on eve
 projection and the windows that hold the other vector are counted; pairs whose count is one
 that all but a few wanted pairs reach are verified by their exact cosine. To keep this from
 comparing everything, it runs within cells: orthants of a few further projections, in as many
-independent tables as the wanted recall asks for. A pair is counted in the first table whose
-cell it shares. Crowded cells are compared block by block in separate tasks.
+independent tables as the wanted recall asks for; how often the cuts, at the medians, part a
+wanted pair is measured on a sample. A pair is counted in the first table whose cell it shares. Crowded cells are compared block by block in separate tasks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import acos, ceil, comb, erf, log, log2, pi, sqrt
+from math import ceil, comb, erf, log2, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,10 @@ DIRECTIONS, WIDTH = 64, 1.6
 BLOCK, CELL = 1024, 48
 #: Wanted pairs that the choice of cells, and the count, may each miss.
 MISSED_BY_CELLS, MISSED_BY_COUNT = 0.01, 0.002
-#: Vectors whose medians place the cells' cuts, at most.
-SAMPLE = 4096
+#: Vectors whose medians place the cells' cuts, at most; made pairs and cuts on which the cuts' agreement is measured.
+SAMPLE, PAIRS, CUTS = 4096, 512, 1024
+#: Comparisons that one more copy of a vector is worth, where its cells weigh as components do; values of a batch of cells at once.
+COPY, AT_ONCE = 400, 1 << 22
 
 
 def count_needed(directions: int, hit: float, missed: float) -> int:
@@ -42,6 +44,64 @@ def count_needed(directions: int, hit: float, missed: float) -> int:
     return needed
 
 
+def made_pairs(sample: np.ndarray, threshold: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of the sample and, of each, a unit vector at the threshold that lies as far from the sample's mean.
+
+    A partner is turned about the mean, towards a difference of two vectors of the sample. Where
+    no turn reaches the threshold all that is near is wanted, and a right angle stands for it.
+    """
+    at = lambda: sample[rng.integers(0, len(sample), PAIRS)]
+    dot = lambda a, b: np.einsum("ij,ij->i", a, b)[:, None]
+    x, mean = at(), sample.mean(axis=0)
+    u = x - mean
+    size = np.sqrt(dot(u, u))
+    u = np.divide(u, size, out=np.zeros_like(u), where=size > 0)
+    z = at() - at() + 1e-9 * rng.standard_normal(x.shape)
+    z -= dot(z, u) * u
+    length = np.sqrt(dot(z, z))
+    z = np.divide(z, length, out=np.zeros_like(z), where=length > 0)
+
+    def turned(angle):
+        y = mean + size * (np.cos(angle) * u + np.sin(angle) * z)
+        return y / np.maximum(np.sqrt(dot(y, y)), 1e-300)
+
+    low, high = np.zeros_like(size), np.full_like(size, np.pi)
+    never = dot(x, turned(high)) > threshold
+    for _ in range(40):
+        middle = (low + high) / 2
+        near = dot(x, turned(middle)) > threshold
+        low, high = np.where(near, middle, low), np.where(near, high, middle)
+    return x, turned(np.where(never, np.pi / 2, low))
+
+
+def agreement(sample: np.ndarray, threshold: float, rng: np.random.Generator) -> np.ndarray:
+    """For each of some pairs at the threshold, the share of cuts at the sample's medians with both on one side."""
+    x, y = made_pairs(sample, threshold, rng)
+    cuts = rng.standard_normal((sample.shape[1], CUTS))
+    medians = np.median(sample @ cuts, axis=0)
+    return ((x @ cuts > medians) == (y @ cuts > medians)).mean(axis=1)
+
+
+def cells_for(agree: np.ndarray, dim: int, rows: int) -> tuple[int, int]:
+    """(bits, tables) of least work by which the pairs share a cell of some table, but for MISSED_BY_CELLS of them.
+
+    No bits is one cell of everything, so that there is always an answer.
+    """
+    work = lambda bits, tables: tables * (COPY * max(1.0, rows / 2**bits / BLOCK) * (1 + tables / dim) + rows / 2**bits / 2)
+    best = 0, 1
+    for bits in range(1, 1 + max(0, min(24, round(log2(max(1, rows / CELL)))))):
+        apart = 1 - agree**bits
+        short, enough = 0, 1
+        while (apart**enough).mean() > MISSED_BY_CELLS and work(bits, enough) < work(*best):
+            short, enough = enough, 2 * enough
+        while enough - short > 1:
+            middle = (short + enough) // 2
+            short, enough = (middle, enough) if (apart**middle).mean() > MISSED_BY_CELLS else (short, middle)
+        if (apart**enough).mean() <= MISSED_BY_CELLS and work(bits, enough) < work(*best):
+            best = bits, enough
+    return best
+
+
 @dataclass
 class Geometry:
     """The directions, cells and windows for vectors of one dimension."""
@@ -58,9 +118,7 @@ class Geometry:
     @classmethod
     def of(cls, dim: int, rows: int, threshold: float, sample: np.ndarray, seed: int = 11) -> Geometry:
         rng = np.random.default_rng(seed + dim)
-        bits = max(0, min(24, round(log2(max(1, rows / CELL)))))
-        agree = 1 - acos(min(1.0, threshold)) / pi
-        tables = max(1, ceil(log(MISSED_BY_CELLS) / log(1 - agree**bits))) if bits and agree < 1 else 1
+        bits, tables = cells_for(agreement(sample, threshold, np.random.default_rng(seed)), dim, rows) if len(sample) else (0, 1)
         deviation = sqrt(max(2 - 2 * threshold, 1e-12))
         counting, cutting = rng.standard_normal((dim, DIRECTIONS)), rng.standard_normal((dim, tables * bits))
         medians = np.median(sample @ cutting, axis=0) if len(sample) and bits else np.zeros(tables * bits)
@@ -70,8 +128,12 @@ class Geometry:
         """The cell of each vector in each table."""
         if not self.bits:
             return np.zeros((len(unit), self.tables), np.int64)
-        side = (unit @ self.cutting > self.medians).reshape(len(unit), self.tables, self.bits)
-        return side @ (1 << np.arange(self.bits, dtype=np.int64))
+        cells, values = np.empty((len(unit), self.tables), np.int64), 1 << np.arange(self.bits, dtype=np.int64)
+        step = max(1, AT_ONCE // len(self.medians))
+        for s in range(0, len(unit), step):
+            side = unit[s : s + step] @ self.cutting > self.medians
+            cells[s : s + step] = side.reshape(-1, self.tables, self.bits) @ values
+        return cells
 
     def links(self, x: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (from left, from right) of rows of x at the threshold; rows are compared once."""
