@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,30 @@ def test_bucket(spark):
     assert {r.key: r.allowed for r in got.collect()} == ALLOWED
 
 
+def test_bucket_of_a_hot_client(spark):
+    """Against a plain fold; no row holds all requests of a client, and pauses cut them into pieces."""
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.7 else None if rng.random() < 0.2 else f"c{rng.randrange(9)}", rng.choice([None, *range(0, 60)]) if i % 50 == 0 else rng.randrange(200_000), i) for i in range(4000)]
+    want, state = {}, {}
+    for c, t, k in sorted(rows, key=lambda r: (str(r[0]), -1 if r[1] is None else r[1], r[2])):
+        tokens, last = state.get(c, (5.0, None))
+        tokens = tokens if t is None or last is None else min(5.0, tokens + (t - last) * (5 / 360))
+        want[k] = tokens >= 1
+        state[c] = tokens - want[k], t
+    df = spark.createDataFrame(rows, "client string, s int, key long").withColumn("at", F.timestamp_seconds("s"))
+    got = bucket.admitted(df, "client", "at", "key", capacity=5, refill=5, period=360)
+    assert {r.key: r.allowed for r in got.collect()} == want and 0 < sum(want.values()) < len(want)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
+def test_bucket_query_is_by_user(spark):
+    from ticketflow.catalogue import QUERIES
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    got = QUERIES["token_bucket_admission"](spark, "/root/testdata/sf0.001")
+    assert got.select("client").distinct().count() == events.select("user_id").distinct().count() and got.count() == events.count()
+
+
 def test_bucket_stream_equals_batch(spark, tmp_path):
     pytest.importorskip("pandas")
     put(tmp_path / "in", 1, [{"client": c, "s": s, "key": k} for c, s, k in REQUESTS[:3]])

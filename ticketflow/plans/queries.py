@@ -496,7 +496,7 @@ def bucket_client(s, d):
 
 @query()
 def token_bucket_admission(s, d):
-    e = views.table(s, d, "events").select(F.col("event_type").alias("client"), "ts", "event_id")
+    e = views.table(s, d, "events").select(F.col("user_id").alias("client"), "ts", "event_id")
     return bucket.admitted(e, "client", "ts", "event_id", capacity=5, refill=5, period=3600)
 
 

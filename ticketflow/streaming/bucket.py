@@ -5,31 +5,48 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 CAPACITY, REFILL, PERIOD_S = 60.0, 60.0, 60.0
 
 
+def _folded(client: str, key: str, capacity: float, rate: float):
+    """(client, key, allowed) of sorted requests; a bucket is full where first says so, and carried over batches."""
+
+    def run(batches):
+        tokens, last = capacity, None
+        for batch in batches:
+            allowed = []
+            for first, t in zip(batch.column("first").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                if first:
+                    tokens = capacity
+                elif t is not None and last is not None:
+                    tokens = min(capacity, tokens + max(t - last, 0.0) * rate)
+                last = t
+                allowed.append(tokens >= 1.0)
+                tokens -= allowed[-1]
+            yield pa.RecordBatch.from_arrays([batch.column("who"), batch.column("key"), pa.array(allowed, pa.bool_())], [client, key, "allowed"])
+
+    return run
+
+
 def admitted(requests: DataFrame, client: str, at: str, key: str, capacity: float = CAPACITY, refill: float = REFILL, period: float = PERIOD_S) -> DataFrame:
     """requests with allowed, in batch: a fold over each client's requests in time.
 
     The fold keeps the tokens left and the last time; requests of one time go in order of key.
+    A pause that fills a bucket cuts a client's requests into pieces that are folded apart.
     """
     rate = refill / period
-    seconds = F.col(at).cast("timestamp").cast("double")
-    state = "struct<tokens:double,last:double,out:array<struct<key:bigint,allowed:boolean>>>"
-    ordered = F.sort_array(F.collect_list(F.struct(seconds.alias("t"), F.col(key).cast("long").alias("key"))))
-
-    def step(acc, x):
-        filled = F.least(F.lit(capacity), acc["tokens"] + F.greatest(x["t"] - acc["last"], F.lit(0.0)) * rate)
-        ok = filled >= 1.0
-        left = F.when(ok, filled - 1.0).otherwise(filled)
-        return F.struct(left.alias("tokens"), x["t"].alias("last"), F.concat(acc["out"], F.array(F.struct(x["key"].alias("key"), ok.alias("allowed")))).alias("out")).cast(state)
-
-    start = F.struct(F.lit(capacity).alias("tokens"), F.lit(0.0).alias("last"), F.array().cast("array<struct<key:bigint,allowed:boolean>>").alias("out")).cast(state)
-    folded = requests.groupBy(client).agg(ordered.alias("xs")).select(client, F.aggregate("xs", start, step)["out"].alias("out"))
-    return folded.select(client, F.explode("out").alias("o")).select(client, F.col("o.key").alias(key), F.col("o.allowed").alias("allowed"))
+    rows = requests.select(F.col(client).alias("who"), F.col(at).cast("timestamp").cast("double").alias("t"), F.col(key).cast("long").alias("key"))
+    own = Window.partitionBy("who").orderBy("t", "key")
+    full = F.coalesce((F.col("t") - F.lag("t").over(own)) * rate >= capacity, F.lit(False))
+    rows = rows.withColumn("first", full | (F.row_number().over(own) == 1))
+    rows = rows.withColumn("piece", F.sum(F.col("first").cast("long")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    out = StructType([StructField(client, requests.schema[client].dataType), StructField(key, LongType()), StructField("allowed", BooleanType())])
+    return rows.repartition("who", "piece").sortWithinPartitions("who", "piece", F.desc("first"), "t", "key").mapInArrow(_folded(client, key, capacity, rate), out)
 
 
 def admitted_stream(requests: DataFrame, client: str, at: str, key: str, capacity: float = CAPACITY, refill: float = REFILL, period: float = PERIOD_S) -> DataFrame:
