@@ -124,3 +124,12 @@ def test_validate(spark):
     assert good.count() + bad.count() == 4
     why = {r.id: set(r.reasons) for r in bad.collect()}
     assert "source not allowed" in why[2] and why[4] == {"status not allowed"} and 3 not in why
+
+
+def test_nearest_of_many_queries_in_blocks(spark):
+    from ticketflow.operators import similar
+
+    v = spark.range(60).selectExpr("id as ticket_id", "array(cos(id * 1.7D), sin(id * 1.7D), cos(id * 0.3D)) as vector")
+    q = v.selectExpr("ticket_id as query_id", "vector as q").where("query_id % 2 = 0")
+    whole, blocks = (sorted(map(tuple, similar.nearest_of_queries(v, q, 3, most_queries=n).collect())) for n in (30, 12))
+    assert blocks == whole and len(whole) == 30 * 3

@@ -48,15 +48,19 @@ def find(spark: SparkSession, vectors: DataFrame, tickets: DataFrame, ticket_id:
 def nearest_of_queries(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, most_queries: int = 10_000) -> DataFrame:
     """(query_id, ticket_id, similarity, rank) of the k nearest of each query (query_id, q).
 
-    The queries are a stated set of bounded size and are broadcast; each task keeps its best k
-    of each query before they meet.
+    The queries (query_id is distinct) are asked in blocks by a hash, of about half of most_queries each if
+    they are more; a block is broadcast, and each task keeps its best k of each query before they meet.
     """
-    queries = queries.limit(most_queries + 1)
-    if queries.count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries; ask in blocks")
-    scored = vectors.crossJoin(F.broadcast(queries)).where("ticket_id <> query_id").select("query_id", "ticket_id", cosine(F.col("vector"), F.col("q")).alias("cos"))
+    n = queries.count()
+    blocks = 1 if n <= most_queries else -(-2 * n // most_queries)
     near = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("cos"), "ticket_id")
-    return scored.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("query_id", "ticket_id", F.round("cos", 4).alias("similarity"), "rank")
+    found = None
+    for i in range(blocks):
+        asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
+        scored = vectors.crossJoin(F.broadcast(asked)).where("ticket_id <> query_id").select("query_id", "ticket_id", cosine(F.col("vector"), F.col("q")).alias("cos"))
+        best = scored.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("query_id", "ticket_id", F.round("cos", 4).alias("similarity"), "rank")
+        found = best if found is None else found.union(best)
+    return found
 
 
 def duplicates(vectors: DataFrame, threshold: float = DUPLICATE, blocks: int = 8) -> DataFrame:
