@@ -90,15 +90,19 @@ def test_every_wanted_pair_shares_a_key():
                         if not len(b) or common < threshold * (len(a) + len(b) - common) - 1e-9:
                             continue
                         h = np.concatenate([np.sort(a), np.sort(b)])
-                        key, row = plan.keys(h, np.repeat([0, 1], [len(a), len(b)]), 2)
+                        key, row, tag = plan.keys(h, np.repeat([0, 1], [len(a), len(b)]), 2)
                         shared = np.intersect1d(key[row == 0], key[row == 1])
-                        assert len(shared) > 2 * 0
+                        assert len(shared)
+                        # one of either set's bands meets what the tags ask for
+                        for r in (0, 1):
+                            least = {t: np.isin(key[(row == r) & (tag == t)], shared).sum() >= t >> 1 for t in set(tag[row == r].tolist())}
+                            assert any(least.values())
 
 
-def test_spare_keys_are_left():
+def test_segments_beyond_the_need():
     need = N.most_different(0.9, 500) + 1
     allowed = N.allocation(0.9, 450, 500, 1000)
-    assert (allowed + 1).sum() >= need + 2 * N.spare(need) and N.spare(need) > 0
+    assert (allowed + 1).sum() >= need + N.slack(need) and N.slack(need) > 0
 
 
 def test_representatives(spark, odd_docs):
@@ -107,14 +111,44 @@ def test_representatives(spark, odd_docs):
     assert 1 in ids and not {2, 3, 14} & set(ids) and {4, 5, 6, 7, None} <= set(ids) and kept.columns == odd_docs.columns
 
 
-@pytest.mark.parametrize("weight", [1 << 10, 1 << 19])
-def test_cells_settle_what_pairs_settle(spark, monkeypatch, weight):
-    monkeypatch.setattr(N, "WEIGHT", weight)
-    rows = family(1, 40, 120, 9) + family(2, 30, 300, 30, 200)
+@pytest.mark.parametrize("width", [3, 5])
+def test_blocks_of_one_cluster(spark, monkeypatch, width):
+    """Clusters over the weight are dealt into blocks, and links between blocks are found."""
+    rows = family(1, 60, 120, 9) + family(2, 40, 300, 30, 200) + family(3, 40, 12, 3, 300)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    ids = [i for i, _ in rows]
-    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "a long, b long")
-    classes = spark.createDataFrame([(i, 118) for i in ids], "rep long, n_shingles long")
-    one = {(r.a, r.b) for r in N._check(pairs, df, 3, 80, 100).where("linked").collect()}
-    many = {(min(r.a, r.b), max(r.a, r.b)) for r in N._check_many(pairs, df, classes, 3, 80, 100).collect()}
-    assert one and many == one
+    want = brute(rows, width, 80, 100)
+    monkeypatch.setattr(N, "WEIGHT", 1 << 10)
+    assert found(df, width, 80, 100) == want
+
+
+def test_cells_find_all_links():
+    rng = np.random.default_rng(3)
+    for case in range(20):
+        base = rng.integers(0, 1 << 40, 60)
+        sets = [np.unique(np.concatenate([base[rng.random(60) < 0.93], rng.integers(0, 1 << 40, rng.integers(0, 5))])) for _ in range(40)]
+        bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        links = {(i, j) for i in range(40) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+        side = np.zeros(40, np.int64) if case % 2 else np.where(np.arange(40) < 15, -1, 1)
+        if not case % 2:
+            links = {(i, j) for i, j in links if side[i] != side[j]}
+        n = np.diff(bounds)
+        rep = np.arange(40)
+        a, b = N.settled(side, rep, rep % 30, 100 * n, np.concatenate(sets), bounds, 80, 100)
+        assert {(max(p), min(p)) for p in zip(a, b, strict=True)} <= links
+
+        def groups(pairs):
+            label = rep % 30
+            for x, y in pairs:
+                label = np.where(label == label[x], label[y], label)
+            return {frozenset(np.flatnonzero(label == v).tolist()) for v in set(label.tolist())}
+
+        assert groups(zip(a, b, strict=True)) == groups(links)
+        assert len(a) <= 29
+
+
+def test_sets_of_their_own_tokens_are_left_out(spark):
+    rows = [(1, [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]), (2, [1, 2, 3, 4, 5, 6, 7, 8, 9, 11]), (3, [1, 2, 3, 4, 5, 6, 7, 12, 13, 14])]
+    sets = spark.createDataFrame([(i, len(t), t) for i, t in rows], "rep long, n long, tokens array<long>")
+    assert {r.rep: r.room for r in N._likely(sets, 80, 100).collect()} == {1: 820, 2: 820}
+    reached = spark.createDataFrame([(1, 1), (2, 1)], "id long, component long")
+    assert {(r.rep, r.c, r.room) for r in N._apart(sets, reached, 60, 100).collect()} == {(1, 1, 520), (2, 1, 520), (3, 3, 520)}

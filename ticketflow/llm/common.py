@@ -14,27 +14,32 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the session names none (local tests), a folder of this machine is made and set.
+    Where a local session names none, as in tests, a folder of this machine is made. On a
+    cluster that would lose rows, so it is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(shared_folder, "own", None) or f"file://{tempfile.mkdtemp(prefix='ticketflow-')}"
         shared_folder.own = folder
     return folder
 
 
-def cut(df: DataFrame, partitions_by: list[str] | None = None) -> DataFrame:
+def cut(df: DataFrame, drop: bool = True) -> DataFrame:
     """Writes df to the shared folder and reads it back, which ends its lineage.
 
-    The table outlives lost executors. What was shuffled to make it is no longer
-    needed, so the collectors of Python and of the JVM are asked to drop it.
+    The table outlives lost executors. With drop, what was shuffled to make it is given up at
+    once: the collectors of Python and of the JVM are asked to let go of it. Small tables
+    leave that to Spark's own cleaner.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ticketflow-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     del df
-    release(spark)
+    if drop:
+        release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -46,30 +51,24 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) for every id in links (a, b): the smallest id that links reach.
 
     Alternates large-star and small-star steps, each a grouped minimum joined back,
-    so a hub is pre-aggregated and its join can be split. Stops when no link moves.
+    so a hub is pre-aggregated and its join can be split. Stops when the links form stars:
+    no id has two links to smaller ones, and none that has one is the smaller end of another.
     """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    stamp = lambda e: e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1000003), F.lit(0))).first()
-    was = stamp(edges)
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), drop=False)
     for _ in range(rounds):
+        ends = edges.selectExpr("u as id", "1 as up", "0 as down").union(edges.selectExpr("v", "0", "1"))
+        if ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > least(1, 1 - down)").isEmpty():
+            break
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
-        edges = cut(large.join(low, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
-        now = stamp(edges)
-        if now == was:
-            break
-        was = now
+        edges = cut(large.join(low, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), drop=False)
     else:
         raise RuntimeError(f"components still moved after {rounds} rounds")
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(edges.select("v", "v").distinct())

@@ -4,14 +4,17 @@ Sizes are dealt into bands. Within a band two sets at or above the threshold dif
 most H tokens. Tokens are hashed into segments; an allocation gives each segment the number
 of differing tokens it still finds (0: equal subsets meet, 1: subsets meet through their
 one-deletion neighbourhoods), so that the allowances plus one sum to more than H. By the
-pigeonhole principle every wanted pair then shares a key. The allocation of a band is the
-cheapest one under a cost model of keys written and pairs that meet by chance.
-
-Documents with equal sets are one class from the start. Within a key, members first meet at
-its most central class only, each class at one centre, so a key of many near copies yields
-as many pairs as members. Members that then still lie in different components are compared
-inside tasks by small histograms of their sets, whose distance bounds the difference of the
-sets from below; only pairs within the bound are emitted and verified on the texts.
+pigeonhole principle every wanted pair then shares a key. There are more segments than the
+principle asks for, so a wanted pair shares many keys, and a set that shares fewer with all
+others together is out. The allocation of a band is the cheapest one under a cost model of
+keys written and pairs that meet by chance.
+
+Documents with equal sets are one class from the start. Of the sets that are left, those with
+too many tokens that no other set has cannot link either. The rest first meet at the most
+central class of each key, each class at one centre, so a key of many near copies yields as
+many pairs as members. Then only tokens and keys that several components have count; what
+still lies apart is dealt into cells of bounded weight and verified there on whole sets, and
+only links that join components come out.
 """
 
 from __future__ import annotations
@@ -27,10 +30,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import components, cut
 
-#: Buckets of a set's histogram; members of a key compared in one block.
-BUCKETS, BLOCK = 256, 4096
-#: Shingles of a block of classes whose pairs are verified together.
-WEIGHT = 1 << 19
+#: Shingles of a block of classes, two of which are compared in one cell.
+WEIGHT = 1 << 20
 #: How likely one token of a set is to be matched by chance in an unrelated set; and the cost
 #: of verifying a pair in units of one written key. Both only steer the allocation.
 CHANCE, PAIR_COST = 0.005, 20.0
@@ -71,19 +72,15 @@ def most_different(threshold: float, high: int) -> int:
     return floor((1 - threshold) / (1 + threshold) * (high + larger) + 1e-9)
 
 
-def spare(need: int) -> int:
-    """How many keys of a band a document may leave out, its most crowded ones."""
-    return need // 20
+def slack(need: int) -> int:
+    """Segments beyond what the pigeonhole asks for: so many more must a wanted pair share."""
+    return need // 4
 
 
 def allocation(threshold: float, low: int, high: int, rows: float) -> np.ndarray:
-    """The allowance of each segment of a band.
-
-    Its sum plus its length is over most_different, by enough that a pair still has a common
-    key if both leave out spare of theirs.
-    """
+    """The allowance of each segment of a band; its sum plus its length is over most_different by slack and one."""
     need = most_different(threshold, high) + 1
-    need += 2 * spare(need)
+    need += slack(need)
     best = None
     for ones in range(need // 2 + 1):
         parts = ones + (need - 2 * ones)
@@ -109,16 +106,23 @@ class Plan:
         self.highs = np.array([high for _, high in self.edges])
         self.parts = np.array([len(a) for a in allowed])
         self.allowed, self.offset = np.concatenate(allowed), np.cumsum([0, *self.parts])
-        self.spare = np.array([spare(most_different(threshold, high) + 1) for _, high in self.edges])
+        self.plain = np.array([not x.any() for x in allowed])
+        #: how many differing tokens the found segments of a wanted pair stand for, at least
+        self.gap = np.array([int((x + 1).sum()) - most_different(threshold, high) for x, (_, high) in zip(allowed, self.edges, strict=True)])
 
     def band(self, size):
         return np.searchsorted(self.lows, size, "right") - 1
 
-    def keys(self, h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """All keys and their rows: those of a set's own band, and of the band below, where smaller partners are."""
+    def keys(self, h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All keys, their rows and tags: those of a set's own band, and of the band below, where smaller partners are.
+
+        A tag is 2 * least + below: a set with a partner in that band has least keys or more
+        that others have too. Sets of a plain band share gap segments with a partner, so one
+        with fewer empty segments than that leaves the empty ones out and still shares the rest.
+        """
         sizes = np.bincount(row, minlength=n)
         own = self.band(np.maximum(sizes, 1))
-        keys, rows = [], []
+        keys, rows, tags = [], [], []
         for below in (0, 1):
             band = own - below
             some = (sizes > 0) & (band >= 0)
@@ -134,15 +138,22 @@ class Plan:
             totals = np.zeros(base[-1], np.uint64)
             np.add.at(totals, base[rr] + segment, value)
             of = np.repeat(np.arange(n), parts)
+            filled = np.bincount(base[rr] + segment, minlength=base[-1])[: base[-1]] > 0
+            empty = np.bincount(of[~filled], minlength=n)
+            gap, plain = self.gap[band], self.plain[band]
+            loud = ~plain | (empty >= gap)
+            least = np.where(plain, np.maximum(gap - empty, 1), (gap + 1) // 2)
             tag = K.mix((band[of].astype(np.uint64) << np.uint64(32)) + (np.arange(base[-1]) - base[of]).astype(np.uint64))
-            keys.append(K.mix(totals + tag))
-            rows.append(of)
+            told = filled | loud[of]
+            keys.append(K.mix(totals + tag)[told])
+            rows.append(of[told])
             one = self.allowed[self.offset[band[rr]] + segment] == 1
             if one.any():
                 where = base[rr[one]] + segment[one]
                 keys.append(K.mix(totals[where] - value[one] + tag[where]))
                 rows.append(rr[one])
-        return np.concatenate(keys), np.concatenate(rows)
+            tags += [2 * least[r] + below for r in rows[len(tags) :]]
+        return np.concatenate(keys), np.concatenate(rows), np.concatenate(tags)
 
 
 def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -154,9 +165,9 @@ def _keys(width: int, plan: Plan):
         for batch in batches:
             ids, valid = _ids(batch.column("doc_id"))
             for first, last, h, firsts in shingles(batch.column("text"), width):
-                key, row = plan.keys(h, K.owners(firsts), last - first)
+                key, row, tag = plan.keys(h, K.owners(firsts), last - first)
                 keep = valid[first:last][row]
-                yield pa.RecordBatch.from_arrays([pa.array(K.as_signed(key[keep])), pa.array(ids[first:last][row[keep]])], ["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(K.as_signed(key[keep])), pa.array(ids[first:last][row[keep]]), pa.array(tag[keep].astype(np.int32))], ["key", "doc_id", "tag"])
 
     return run
 
@@ -165,141 +176,182 @@ def _sizes(width: int):
     def run(batches):
         for batch in batches:
             for first, last, h, firsts in shingles(batch.column("text"), width):
-                row, n = K.owners(firsts), last - first
+                n = last - first
                 sums = np.zeros(len(h) + 1, np.uint64)
                 other = np.zeros(len(h) + 1, np.uint64)
                 np.cumsum(K.mix(h), out=sums[1:])
                 np.cumsum(K.mix(h ^ K.BASE), out=other[1:])
-                bucket = (K.mix(h + np.uint64(7)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-                sketch = np.bincount(row * BUCKETS + bucket, minlength=n * BUCKETS).astype(np.uint8)
-                sketch = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * BUCKETS).astype(np.int32)), pa.py_buffer(sketch)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, n), pa.array(np.diff(firsts).astype(np.int64)), pa.array(K.as_signed(sums[firsts[1:]] - sums[firsts[:-1]])), pa.array(K.as_signed(other[firsts[1:]] - other[firsts[:-1]])), sketch],
-                    ["doc_id", "n_shingles", "h1", "h2", "sketch"],
+                    [batch.column("doc_id").slice(first, n), pa.array(np.diff(firsts).astype(np.int64)), pa.array(K.as_signed(sums[firsts[1:]] - sums[firsts[:-1]])), pa.array(K.as_signed(other[firsts[1:]] - other[firsts[:-1]]))],
+                    ["doc_id", "n_shingles", "h1", "h2"],
                 )
 
     return run
 
 
-def _verified(width: int, numerator: int, denominator: int):
+def _sets(width: int):
+    """(rep, n, tokens): the set of each row."""
+
     def run(batches):
         for batch in batches:
-            n = len(batch)
-            sets = []
-            for column in ("text_a", "text_b"):
-                of = []
-                for first, last, h, firsts in shingles(batch.column(column), width):
-                    of += [h[firsts[i] : firsts[i + 1]] for i in range(last - first)]
-                sets.append(of)
-            linked = np.zeros(n, bool)
-            for i in range(n):
-                x, y = sets[0][i], sets[1][i]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                linked[i] = common > 0 and denominator * common >= numerator * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked)], ["a", "b", "linked"])
+            for first, last, h, firsts in shingles(batch.column("text"), width):
+                n = np.diff(firsts)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(n.astype(np.int64)), K.lists(K.as_signed(h), n)], ["rep", "n", "tokens"])
 
     return run
 
 
-def _difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How far histograms differ, row by row: no more than their sets do. Counts are kept modulo 256."""
-    far = (a.astype(np.int16) - b) % 256
-    return np.minimum(far, 256 - far).sum(axis=1)
+def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column end to end, and where each row's begin."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
-def _within(n_a, n_b, far, numerator: int, denominator: int):
-    """Whether sets of these sizes that differ by at least far can reach the threshold.
+def _verified(numerator: int, denominator: int):
+    """The pairs (a, b) of rows (a, b, x, y) whose sets x and y are similar enough."""
 
-    |A and B| is (|A| + |B| - difference) / 2, |A or B| is (|A| + |B| + difference) / 2.
-    """
-    return denominator * (n_a + n_b - far) >= numerator * (n_a + n_b + far)
+    def run(batches):
+        for batch in batches:
+            (x, at), (y, to) = _flat(batch.column("x")), _flat(batch.column("y"))
+            linked = np.zeros(len(batch), bool)
+            for i in range(len(batch)):
+                p, q = x[at[i] : at[i + 1]], y[to[i] : to[i + 1]]
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                linked[i] = common > 0 and denominator * common >= numerator * (len(p) + len(q) - common)
+            yield batch.select(["a", "b"]).filter(pa.array(linked))
 
+    return run
 
-def _possible(pairs: DataFrame, classes: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) of classes that sizes and histograms allow to link."""
 
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("xs", "ys"))
-            ok = _within(batch.column("xn").to_numpy(), batch.column("yn").to_numpy(), _difference(x, y), numerator, denominator)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+def _check(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """The linked ones of pairs (a, b) of classes, of which a class has few.
 
-    x = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("xn"), F.col("sketch").alias("xs"))
-    y = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("yn"), F.col("sketch").alias("ys"))
-    met = pairs.join(x, "a").join(y, "b").where(denominator * F.least("xn", "yn") >= numerator * F.greatest("xn", "yn"))
-    return cut(met.select("a", "b", "xn", "yn", "xs", "ys").mapInArrow(run, "a long, b long"))
+    A set can share only the tokens that are not its own alone, so pairs with too few of
+    those, known from room (see _room), are not looked at.
+    """
+    x, y = (sets.select(F.col("rep").alias(id_), F.col("n").alias(n), F.col("room").alias(r), F.col("tokens").alias(t)) for id_, n, r, t in (("a", "xn", "xr", "x"), ("b", "yn", "yr", "y")))
+    met = pairs.join(x, "a").join(y, "b").where(f"xr >= {numerator} * yn and yr >= {numerator} * xn")
+    return cut(met.select("a", "b", "x", "y").mapInArrow(_verified(numerator, denominator), "a long, b long"), drop=False)
 
 
-def _texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents that occur in pairs."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return cut(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+def _room(r: str, numerator: int, denominator: int):
+    """What a set of n tokens, r of them to be found elsewhere, has room for.
 
+    The intersection of two sets is at most the lesser r and their union at least what each
+    has alone plus the greater r; so they can only be similar enough if the room of either is
+    numerator times the other's size or more.
+    """
+    return F.expr(f"{denominator} * {r} - {numerator} * (n - {r})")
 
-def _check(pairs: DataFrame, docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
-    """(a, b, linked) of pairs of classes, decided on their texts; only texts that are needed are kept."""
-    texts = _texts(pairs, docs)
-    read = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    read = read.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return cut(read.select("a", "b", "text_a", "text_b").mapInArrow(_verified(width, numerator, denominator), "a long, b long, linked boolean"))
 
+def _likely(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """sets (rep, n, tokens) less those that hold too many tokens of their own to link, with their room."""
+    token = sets.select("rep", F.explode("tokens").alias("t")).groupBy("t").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
+    alone = token.where("rep = last").groupBy("rep").agg(F.count("*").alias("u"))
+    known = sets.join(alone, "rep", "left").withColumn("r", F.col("n") - F.coalesce("u", F.lit(0)))
+    return known.where(f"{denominator} * r >= {numerator} * n").select("rep", "n", "tokens", _room("r", numerator, denominator).alias("room"))
 
-def _settled(width: int, numerator: int, denominator: int):
-    """The linked pairs of cells: rows come sorted by (i, j), texts (b is null) and pairs of a cell together."""
 
-    def settle(t: pa.Table) -> tuple[list[int], list[int]]:
-        texts, pairs = t.filter(t.column("b").is_null()), t.filter(t.column("b").is_valid())
-        ids, sets = texts.column("a").to_numpy(), []
-        for batch in texts.to_batches():
-            for first, last, h, firsts in shingles(batch.column("text"), width):
-                sets += [h[firsts[i] : firsts[i + 1]] for i in range(last - first)]
-        bounds = np.cumsum([0, *map(len, sets)])
-        vocabulary, token = np.unique(np.concatenate(sets), return_inverse=True)
-        order = np.argsort(ids)
-        x, y = (order[np.searchsorted(ids, pairs.column(c).to_numpy(), sorter=order)] for c in ("a", "b"))
-        marked, at, out = np.zeros(len(vocabulary), bool), -1, ([], [])
-        for k in np.argsort(x, kind="stable").tolist():
-            if x[k] != at:
-                if at >= 0:
-                    marked[token[bounds[at] : bounds[at + 1]]] = False
-                at = x[k]
-                marked[token[bounds[at] : bounds[at + 1]]] = True
-            common = np.count_nonzero(marked[token[bounds[y[k]] : bounds[y[k] + 1]]])
-            if common and denominator * common >= numerator * (len(sets[at]) + len(sets[y[k]]) - common):
-                out[0].append(ids[at])
-                out[1].append(ids[y[k]])
-        return out
+def _apart(sets: DataFrame, reached: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(rep, n, c, room): the sets that may link with another component, counting only tokens that several components have."""
+    known = sets.join(reached, sets.rep == reached.id, "left").select("rep", "n", F.coalesce("component", "rep").alias("c"), "tokens")
+    token = known.select("rep", "n", "c", F.explode("tokens").alias("t"))
+    across = token.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t")
+    r = token.join(across, "t", "left_semi").groupBy("rep", "n", "c").agg(F.count("*").alias("r")).where(f"{denominator} * r >= {numerator} * n")
+    return r.select("rep", "n", "c", _room("r", numerator, denominator).alias("room"))
 
-    def run(batches):
-        for done in K.groups(batches, ["i", "j"]):
-            if done:
-                a, b = (sum(x, []) for x in zip(*map(settle, done), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return run
+def _dealt(met: DataFrame, apart: DataFrame) -> DataFrame:
+    """(i, j, side, rep, c, n, room): the cells in which sets of different components meet.
+
+    Sets with common keys form a cluster. Small clusters share a cell; a large one is dealt
+    into blocks, of its largest component and of the rest, and two blocks meet in a cell
+    unless both are of the largest component.
+    """
+    near = met.join(apart.select("rep", "c"), "rep")
+    spread = near.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("rep").alias("first")).where("lo <> hi").select("key", "first")
+    links = near.join(spread, "key").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    cluster = components(links).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+    placed = cut(apart.join(cluster, "rep"), drop=False)
+    heavy = placed.groupBy("cluster", "c").agg(F.sum("n").alias("w"))
+    main = heavy.groupBy("cluster").agg(F.max_by("c", F.struct("w", "c")).alias("main"), F.sum("w").alias("all"), F.max("w").alias("most"))
+    bins = F.ceil(placed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("w")).first()["w"] / F.lit(WEIGHT)) + 1
+    rest = F.when(F.col("all") > WEIGHT, F.ceil((F.col("all") - F.col("most")) / WEIGHT)).otherwise(1)
+    mains = F.when(F.col("all") > WEIGHT, F.ceil(F.col("most") / WEIGHT)).otherwise(0)
+    known = placed.join(main.select("cluster", "main", "all", rest.alias("rest"), mains.alias("mains")), "cluster")
+    inner = (F.col("c") == F.col("main")) & (F.col("mains") > 0)
+    mine = F.when(inner, F.col("rest") + F.pmod(F.xxhash64("rep"), F.greatest("mains", F.lit(1)))).otherwise(F.pmod(F.xxhash64("rep"), F.col("rest")))
+    known = known.withColumn("inner", inner).withColumn("mine", mine)
+    known = known.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("inner"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("mains") - 1))))
+    home = F.when(F.col("mains") == 0, F.pmod(F.xxhash64("cluster"), bins)).otherwise(F.xxhash64("cluster", F.least("mine", "other")))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), -1).otherwise(1)
+    return known.select(home.alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "rep", "c", "n", "room")
 
 
-def _check_many(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
-    """(a, b) of the linked ones among pairs of classes that have many partners each.
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for size[0] values, then the same for each further range."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
-    Classes with a common neighbourhood share a block of bounded weight and a pair belongs to
-    the cell of its two blocks, so a text goes once to a cell and not once to each partner.
+
+def settled(side, rep, c, room, tokens, bounds, numerator: int, denominator: int) -> tuple[list[int], list[int]]:
+    """Links that join all components which the sets of one cell link with each other.
+
+    A set looks for partners of other components by its rarest tokens, as many as it cannot
+    do without, and is compared with all that have one of them; components that a link has
+    joined are one from then on, so no more than one link a component comes out.
     """
-    ends = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = ends.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("label"))
-    far = ends.join(near.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("label"))
-    # a class weighs what its set holds, and something for its pairs
-    placed = cut(far.join(classes.select(F.col("rep").alias("a"), (F.col("n_shingles") + WEIGHT // 512).alias("w")), "a"))
-    shares = F.ceil(placed.agg(F.sum("w")).first()[0] / F.lit(WEIGHT))
-    crowd = placed.groupBy("label").agg(F.ceil(F.sum("w") / WEIGHT).alias("split"))
-    small, large = F.xxhash64(F.pmod(F.xxhash64("label"), shares)), F.xxhash64("label", F.pmod(F.xxhash64("a"), F.col("split")))
-    placed = cut(placed.join(crowd, "label").select("a", F.when(F.col("split") > 1, large).otherwise(small).alias("block")))
-    dealt = pairs.join(placed.withColumnRenamed("block", "p"), "a").join(placed.select(F.col("a").alias("b"), F.col("block").alias("q")), "b")
-    dealt = cut(dealt.select(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "a", "b"))
-    wanted = dealt.select("i", "j", F.explode(F.array("a", "b")).alias("a")).distinct()
-    texts = wanted.join(_texts(pairs, docs).withColumnRenamed("doc_id", "a"), "a").select("i", "j", "a", F.lit(None).cast("long").alias("b"), "text")
-    rows = texts.unionByName(dealt.withColumn("text", F.lit(None).cast("string")))
-    return rows.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(_settled(width, numerator, denominator), "a long, b long")
+    n = np.diff(bounds)
+    _, token, held = np.unique(tokens, return_inverse=True, return_counts=True)
+    post, first = np.repeat(np.arange(len(n)), n)[np.argsort(token, kind="stable")], np.concatenate([[0], np.cumsum(held)])
+    _, label = np.unique(c, return_inverse=True)
+    if (side != 0).any():
+        probes = np.flatnonzero(side < 0)
+        rank = side.astype(np.int64)
+    else:
+        # the largest component is found by all others
+        most = np.bincount(label, weights=n).argmax()
+        probes = np.flatnonzero(label != most)
+        rank = np.full(len(n), len(n))
+        rank[probes] = np.arange(len(probes))
+    marked, out = np.zeros(len(held), bool), ([], [])
+    for x in probes.tolist():
+        own = token[bounds[x] : bounds[x + 1]]
+        rare = own[np.argsort(held[own], kind="stable")[: n[x] - -(-numerator * n[x] // denominator) + 1]]
+        rare = rare[held[rare] > 1]
+        found = np.unique(post[_ranges(first[rare], held[rare])])
+        found = found[(label[found] != label[x]) & (rank[found] > rank[x]) & (room[found] >= numerator * n[x]) & (room[x] >= numerator * n[found])]
+        marked[own] = True
+        ends = np.cumsum(n[found])
+        for lot in np.split(found, np.searchsorted(ends, np.arange(WEIGHT, ends[-1], WEIGHT)) if len(ends) else []):
+            lot = lot[label[lot] != label[x]]
+            if not len(lot):
+                continue
+            common = np.add.reduceat(marked[token[_ranges(bounds[lot], n[lot])]].astype(np.int64), np.cumsum(n[lot]) - n[lot])
+            linked = lot[denominator * common >= numerator * (n[x] + n[lot] - common)]
+            others, at = np.unique(label[linked], return_index=True)
+            out[0].extend([int(rep[x])] * len(at))
+            out[1].extend(rep[linked[at]].tolist())
+            if len(others):
+                label[np.isin(label, others)] = label[x]
+        marked[own] = False
+    return out
+
+
+def _settled(numerator: int, denominator: int):
+    """The links of cells, whose rows come sorted by (i, j)."""
+
+    def run(batches):
+        for done in K.groups(batches, ["i", "j"]):
+            a, b = [], []
+            for t in done:
+                tokens, bounds = _flat(t.column("tokens"))
+                found = settled(*(t.column(x).to_numpy() for x in ("side", "rep", "c", "room")), tokens, bounds, numerator, denominator)
+                a += found[0]
+                b += found[1]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def _centred(met: DataFrame) -> DataFrame:
@@ -315,61 +367,9 @@ def _centred(met: DataFrame) -> DataFrame:
     return pairs.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
 
 
-def _near(numerator: int, denominator: int):
-    """Pairs of different components within a (key, block pair) whose histograms allow a link.
-
-    Rows come sorted by (key, i, j); a group is at most two blocks, so it fits a task.
-    """
-
-    def pairs(t: pa.Table):
-        rep, c, n, side = (t.column(x).to_numpy() for x in ("rep", "c", "n", "side"))
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BUCKETS)
-        left = np.flatnonzero(side <= 0)
-        right = np.flatnonzero(side >= 0)
-        for start in range(0, len(left), 64):
-            x = left[start : start + 64]
-            keep = (c[x][:, None] != c[right][None, :]) & (rep[x][:, None] < rep[right][None, :]) | (c[x][:, None] != c[right][None, :]) & (side[x][:, None] < side[right][None, :])
-            small, large = np.minimum(n[x][:, None], n[right][None, :]), np.maximum(n[x][:, None], n[right][None, :])
-            keep &= denominator * small >= numerator * large
-            i, j = np.nonzero(keep)
-            for s in range(0, len(i), 1 << 13):
-                a, b = x[i[s : s + (1 << 13)]], right[j[s : s + (1 << 13)]]
-                ok = _within(n[a], n[b], _difference(sketch[a], sketch[b]), numerator, denominator)
-                yield np.minimum(rep[a], rep[b])[ok], np.maximum(rep[a], rep[b])[ok]
-
-    def emit(t: pa.Table):
-        found = list(pairs(t))
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return a, b
-
-    def run(batches):
-        for done in K.groups(batches, ["key", "i", "j"]):
-            if done:
-                a, b = (np.concatenate(x) for x in zip(*map(emit, done), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return run
-
-
-def _across(met: DataFrame, reached: DataFrame, classes: DataFrame, plan: Plan, numerator: int, denominator: int) -> DataFrame:
-    """(a, b): pairs with a common key, of different components, that their histograms allow."""
-    known = met.join(reached, met.rep == reached.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    spread = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("g")).where("lo <> hi").select("key", "g")
-    # a class may leave out its most crowded keys, as many as the band below it can spare
-    may = F.lit(0)
-    for low, below in zip(plan.lows.tolist(), [0, *plan.spare[:-1].tolist()], strict=True):
-        if below:
-            may = F.when(F.col("n") >= low, below).otherwise(may)
-    own = classes.select("rep", F.col("n_shingles").alias("n"), "sketch").withColumn("may", may)
-    rows = known.join(spread, "key")
-    rows = rows.withColumn("crowd", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("g"), "key")))
-    rows = rows.join(own, "rep").where((F.col("crowd") > F.col("may")) | (F.col("g") <= 8)).select("key", "rep", "c", "n", "sketch", "g")
-    blocks = F.ceil(F.col("g") / BLOCK).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), -1).otherwise(1)
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "rep", "c", "n", "sketch")
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near(numerator, denominator), "a long, b long").distinct()
+def _crowded(met: DataFrame) -> DataFrame:
+    """The rows of met whose key several classes have."""
+    return met.join(met.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key"), "key", "left_semi")
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, numerator: int = 90, denominator: int = 100) -> DataFrame:
@@ -384,10 +384,10 @@ def jaccard_components(docs: DataFrame, width: int = 3, numerator: int = 90, den
     """
     threshold = numerator / denominator
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sizes = cut(docs.mapInArrow(_sizes(width), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"))
+    sizes = cut(docs.mapInArrow(_sizes(width), "doc_id long, n_shingles long, h1 long, h2 long"))
     some = sizes.where("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "h1", "h2"]
-    classes = cut(some.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")))
+    classes = cut(some.groupBy(*same).agg(F.min("doc_id").alias("rep")))
     member = cut(some.select("doc_id", *same).join(classes.select("rep", *same), same).select("doc_id", "rep").distinct())
     # a count for each band: bands grow with the logarithm of the largest size
     sized = classes.groupBy(F.floor(F.log("n_shingles") * 64).alias("l")).agg(F.count("*").alias("n"), F.min("n_shingles").alias("s"), F.max("n_shingles").alias("most")).collect()
@@ -398,26 +398,30 @@ def jaccard_components(docs: DataFrame, width: int = 3, numerator: int = 90, den
         per_band[band] = per_band.get(band, 0) + r["n"]
     plan = Plan(threshold, largest, per_band)
 
-    keys = docs.mapInArrow(_keys(width, plan), "key long, doc_id long")
-    met = keys.selectExpr("key", "doc_id", "count(1) over (partition by key) as n").where("n > 1").select("key", "doc_id")
-    met = cut(met.join(member, "doc_id").select("key", "rep").distinct())
-    met = cut(met.join(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"))
-    first = _check(_possible(_centred(met), classes, numerator, denominator), docs, width, numerator, denominator)
-    linked = first.where("linked").select("a", "b")
+    keys = docs.mapInArrow(_keys(width, plan), "key long, doc_id long, tag int")
+    met = keys.selectExpr("key", "doc_id", "tag", "count(1) over (partition by key) as g").where("g > 1").select("key", "doc_id", "tag")
+    met = cut(met.join(member, "doc_id").select("key", "rep", "tag").distinct())
+    met = cut(_crowded(met), drop=False)
+    enough = met.groupBy("rep", "tag").agg(F.count("*").alias("shared")).where("shared >= shiftright(tag, 1)").select("rep").distinct()
+    texts = docs.join(enough.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = cut(texts.mapInArrow(_sets(width), "rep long, n long, tokens array<long>"))
+    sets = cut(_likely(sets, numerator, denominator))
+    met = cut(_crowded(met.select("key", "rep").distinct().join(sets.select("rep"), "rep", "left_semi")), drop=False)
+
+    links = _check(_centred(met), sets, numerator, denominator)
     # those that their centre did not take meet once more among themselves
-    alone = met.join(linked.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_anti")
-    second = _check(_possible(_centred(cut(alone)), classes, numerator, denominator), docs, width, numerator, denominator)
-    links = linked.union(second.where("linked").select("a", "b"))
-    reached = cut(components(links))
-    tried = first.union(second).select("a", "b")
-    more = cut(_across(met, reached, classes, plan, numerator, denominator).join(tried, ["a", "b"], "left_anti"))
+    alone = met.join(links.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_anti")
+    links = links.union(_check(_centred(cut(alone, drop=False)), sets, numerator, denominator))
+    reached = cut(components(links), drop=False)
+    # what still lies apart is compared in cells
+    apart = cut(_apart(sets, reached, numerator, denominator), drop=False)
+    cells = _dealt(met, apart).join(sets.select("rep", "tokens"), "rep").select("i", "j", "side", "rep", "c", "room", "tokens")
+    more = cut(cells.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(_settled(numerator, denominator), "a long, b long"))
     if not more.isEmpty():
-        third = cut(_check_many(more, docs, classes, width, numerator, denominator))
-        if not third.isEmpty():
-            x, y = reached.select(F.struct("id", "component").alias("x")), reached.select(F.struct("id", "component").alias("y"))
-            between = third.join(x, F.col("a") == F.col("x.id"), "left").join(y, F.col("b") == F.col("y.id"), "left")
-            between = components(between.select(F.coalesce("x.component", "a").alias("a"), F.coalesce("y.component", "b").alias("b")))
-            reached = cut(_merged(reached, between))
+        x, y = reached.select(F.struct("id", "component").alias("x")), reached.select(F.struct("id", "component").alias("y"))
+        between = more.join(x, F.col("a") == F.col("x.id"), "left").join(y, F.col("b") == F.col("y.id"), "left")
+        between = components(between.select(F.coalesce("x.component", "a").alias("a"), F.coalesce("y.component", "b").alias("b")))
+        reached = cut(_merged(reached, between), drop=False)
     of = member.join(reached, member.rep == reached.id, "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     of = of.groupBy("doc_id").agg(F.min("component").alias("component"))
     out = sizes.select("doc_id", "n_shingles").join(of, "doc_id", "left")
