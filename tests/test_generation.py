@@ -44,3 +44,17 @@ def test_report(spark):
     pairs = spark.createDataFrame([("a", "a"), ("b", "a")], "gold string, pred string")
     text = evaluation.report("Scores", {"all": evaluation.class_scores(pairs, ("a", "b"))}, {"matrix": evaluation.confusion(pairs, ("a", "b"))})
     assert "| a | 0.50 | 1.00 | 0.67 | 1 |" in text and text.startswith("# Scores")
+
+
+def test_asking_again_with_the_error_and_pauses(spark):
+    def client():
+        def answer(texts):
+            if not texts[0].endswith("!"):
+                raise ValueError("no bang")
+            return [t + t for t in texts]
+
+        return answer
+
+    df = spark.createDataFrame([("a",), ("b",)], "t string").coalesce(1)
+    got = generation.asked(df, "t", client, batch=1, backoff=0.05, pace=0.05, told=lambda text, error: f"{text} {error}!").collect()
+    assert sorted(r.answer for r in got) == ["a no bang!a no bang!", "b no bang!b no bang!"]

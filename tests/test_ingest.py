@@ -25,16 +25,24 @@ def rows_of(spark, path):
 
 def test_csv(spark, tmp_path):
     p = written(tmp_path, "a.csv", '﻿external_ref,customer_email,subject\nTCK-1,a@x.com,"Bon, jour"\n\nTCK-2,b@x.com\n')
-    assert rows_of(spark, p) == [(1, ["external_ref", "customer_email", "subject"]), (2, ["TCK-1", "a@x.com", "Bon, jour"]), (4, ["TCK-2", "b@x.com"])]
+    assert rows_of(spark, p) == [(1, ["external_ref", "customer_email", "subject"]), (2, ["TCK-1", "a@x.com", "Bon, jour"]), (3, [""]), (4, ["TCK-2", "b@x.com"])]
     rows = ingest.with_headers(cells.read_cells(spark, p))
     assert [tuple(r) for r in ingest.row_errors(rows).collect()] == [(4, "attendu 3, obtenu 2")]
-    assert tuple(ingest.preview(rows).first()) == (2, 1, 2)
+    assert tuple(ingest.preview(rows).first()) == (3, 2, 3)
 
 
 def test_txt_keeps_trailing_cells(spark, tmp_path):
     assert rows_of(spark, written(tmp_path, "a.txt", "a\tb\n\nx\t\n")) == [(1, ["a", "b"]), (3, ["x", ""])]
 
 
+def test_csv_blank_lines_and_backslashes(spark, tmp_path):
+    p = written(tmp_path, "a.csv", 'a,b\n"x \\"y\\" z",2\n\n"q ""r""",3\n')
+    assert rows_of(spark, p) == [(1, ["a", "b"]), (2, ['x "y" z', "2"]), (3, [""]), (4, ['q "r"', "3"])]
+    rows = ingest.with_headers(cells.read_cells(spark, p))
+    assert [(r.line_no, r.message) for r in ingest.preview_errors(rows).collect()] == [(3, "Nombre de colonnes incoherent (attendu 2, obtenu 1)")]
+    assert [r.line_no for r in ingest.preview_rows(rows).collect()] == [2, 3, 4]
+
+
 def test_json_projects_on_first_keys(spark, tmp_path):
     p = written(tmp_path, "a.json", '[{"ref":"1","n":2,"o":{"d":1}}, {"n":null,"extra":5}]')
     assert rows_of(spark, p) == [(0, ["ref", "n", "o"]), (1, ["1", "2", '{"d":1}']), (2, ["", "", ""])]

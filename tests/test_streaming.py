@@ -42,6 +42,28 @@ def test_failing_batch_is_set_aside(spark, tmp_path):
     assert (r.attempts, r.error, json.loads(r.message)["ticketId"]) == (3, "no model", 1) and waits == [1.0, 2.0] and not sink.exists()
 
 
+def test_only_the_failing_message_is_set_aside(spark, tmp_path):
+    src, sink, dead, ckpt = (tmp_path / x for x in ("in", "out", "dead", "ckpt"))
+    put(src, 1, [event(i, f"R{i}") for i in range(1, 31)])
+    waits = []
+
+    def poisoned(df):
+        bad = F.when(F.col("ticketId") == 13, F.raise_error(F.lit("poison")).cast("string")).otherwise(F.col("subject"))
+        return df.select(F.col("ticketId").alias("ticket_id"), bad.alias("subject"))
+
+    consumer.consume(consumer.events(spark, str(src)), poisoned, str(sink), str(dead), str(ckpt), wait=waits.append).awaitTermination()
+    assert sorted(r.ticket_id for r in spark.read.parquet(str(sink)).collect()) == [i for i in range(1, 31) if i != 13]
+    r = spark.read.parquet(str(dead)).collect()
+    assert [json.loads(x.message)["ticketId"] for x in r] == [13] and "poison" in r[0].error and waits == [1.0, 2.0]
+
+
+def test_two_new_requests_of_one_ref(spark):
+    rows = [(3, "N", "c"), (1, "N", "a"), (2, None, "b"), (4, "OLD", "d"), (5, None, "e")]
+    accepted = spark.createDataFrame(rows, "arrived int, externalRef string, subject string").select("arrived", F.struct("externalRef", F.lit(None).cast("string").alias("customerEmail"), "subject", F.lit(None).cast("string").alias("body"), F.lit(None).cast("string").alias("language")).alias("event"))
+    got = {r.subject: (r.result, r.id, r.stored_id) for r in consumer.ingested(accepted, spark.createDataFrame([(9, "OLD")], "id long, external_ref string")).collect()}
+    assert got == {"a": ("ACCEPTED", 10, None), "b": ("ACCEPTED", 11, None), "c": ("DUPLICATE", None, 10), "d": ("DUPLICATE", None, 9), "e": ("ACCEPTED", 12, None)}
+
+
 def test_delays():
     assert [consumer.connect_delay(n) for n in range(6)] == [1, 2, 4, 8, 15, 15]
 

@@ -37,3 +37,12 @@ def hashed_embeddings(rows: DataFrame, key: str, tokens: Column, length: int = 6
     found = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     value = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: (F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).cast("float"))
     return found.select(key, value.alias("vector"))
+
+
+def masked_mean(vectors: Column, mask: Column) -> Column:
+    """The mean of those of an array of vectors whose mask is 1; zeros if there is none."""
+    zeros = F.transform(F.get(vectors, 0), lambda x: F.lit(0.0))
+    kept = F.zip_with(vectors, mask, lambda v, m: F.transform(v, lambda x: x.cast("double") * m))
+    total = F.aggregate(kept, zeros, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
+    n = F.aggregate(mask, F.lit(0.0), lambda acc, m: acc + m)
+    return F.transform(total, lambda x: x / F.greatest(n, F.lit(1e-9)))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.feature import CountVectorizer, NGram, Normalizer, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise
+from .sinks import placed
 
 
 def accuracy(pairs: DataFrame) -> DataFrame:
@@ -84,9 +85,10 @@ def quota(rows: DataFrame, cell: list[str], order: str, most: int) -> DataFrame:
 
 def stratified_split(rows: DataFrame, stratum: str, key: Column, share: float = 0.15) -> DataFrame:
     """rows with split: the first share of each stratum in order of key, one at least, validates."""
-    position = F.row_number().over(Window.partitionBy(stratum).orderBy(key))
-    size = F.count("*").over(Window.partitionBy(stratum))
-    return rows.withColumn("split", F.when(position <= F.greatest(F.lit(1), F.floor(size * share)), "validation").otherwise("train"))
+    sizes = rows.groupBy(F.col(stratum).alias("__s")).agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("__most"))
+    ranked = placed(rows.withColumn("__key", key), "__key", "__place", stratum)
+    met = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("__s")))
+    return met.withColumn("split", F.when(F.col("__place") <= F.col("__most"), "validation").otherwise("train")).select(*rows.columns, "split")
 
 
 def unseen(rows: DataFrame, seen: DataFrame, column: str, within: bool = True, order: str | None = None) -> DataFrame:
@@ -129,14 +131,14 @@ def keyphrases(rows: DataFrame, key: str, column: str, most: int = 5) -> DataFra
 
 
 def train_svc(rows: DataFrame, column: str, label: str, features: int = 1 << 16) -> PipelineModel:
-    """One-against-rest linear classifiers over one- and two-grams in two texts or more."""
+    """One-against-rest linear classifiers over TF-IDF of one- and two-grams in two texts or more."""
     from pyspark.ml.feature import SQLTransformer
 
     both = SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__")
     stages = [
         StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc"), RegexTokenizer(inputCol=column, outputCol="words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2),
         NGram(n=2, inputCol="words", outputCol="pairs"), both, CountVectorizer(inputCol="grams", outputCol="counts", minDF=2, vocabSize=features),
-        Normalizer(inputCol="counts", outputCol="features"), OneVsRest(classifier=LinearSVC(regParam=0.01, maxIter=30)),
+        IDF(inputCol="counts", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="features"), OneVsRest(classifier=LinearSVC(regParam=0.01, maxIter=30)),
     ]
     return Pipeline(stages=stages).fit(rows)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -15,8 +16,14 @@ from . import evaluation, similar, sinks
 
 # Subjects and bodies of sample tickets.
 SAMPLES = {
-    "fr": (("Problème de connexion", "Remboursement demandé", "Question sur ma commande"), ("Bonjour, je ne peux plus me connecter.", "Je souhaite être remboursé.", "Où en est ma commande ?")),
-    "en": (("Login issue", "Refund request", "Question about my order"), ("Hello, I cannot log in anymore.", "I would like a refund.", "Where is my order?")),
+    "fr": (
+        ("Probleme de connexion", "Facture incorrecte", "Remboursement demande", "Application qui plante", "Mot de passe oublie", "Livraison en retard"),
+        ("Bonjour, je n'arrive pas a acceder a mon compte depuis ce matin.", "Ma derniere facture ne correspond pas a mon abonnement.", "Je souhaite etre rembourse suite a une erreur de commande."),
+    ),
+    "en": (
+        ("Login issue", "Wrong invoice", "Refund request", "App keeps crashing", "Forgot password", "Late delivery"),
+        ("Hi, I cannot access my account since this morning.", "My last invoice does not match my subscription.", "I would like a refund following an order mistake."),
+    ),
 }
 
 #: A model's answer to a list of texts: a JSON text for each, or None.
@@ -30,12 +37,12 @@ def drawn(k: int, *parts: Column) -> Column:
 
 
 def sample_tickets(spark: SparkSession, n: int = 10_000, seed: int = 42) -> DataFrame:
-    """n tickets a minute apart from 2026-01-01, each in a drawn language with texts of that language."""
+    """n tickets a minute apart, the first a minute into 2026, each in a drawn language with texts of that language."""
     languages = list(SAMPLES)
     i = F.col("id")
     row = spark.range(n).withColumn("l", drawn(len(languages), F.lit(seed), F.lit("l"), i))
-    choose = lambda part: F.element_at(F.element_at(F.array(*[F.array(*map(F.lit, SAMPLES[x][part])) for x in languages]), F.col("l") + 1), drawn(3, F.lit(seed), F.lit(part), i) + 1)
-    at = F.timestamp_seconds(F.lit(1_767_225_600) + i * 60)
+    choose = lambda part: F.element_at(F.element_at(F.array(*[F.array(*map(F.lit, SAMPLES[x][part])) for x in languages]), F.col("l") + 1), drawn(len(SAMPLES[languages[0]][part]), F.lit(seed), F.lit(part), i) + 1)
+    at = F.timestamp_seconds(F.lit(1_767_225_600) + (i + 1) * 60)
     return row.select(
         F.format_string("TCK-%06d", i + 1).alias("external_ref"), F.format_string("client%d@example.com", i + 1).alias("customer_email"), choose(0).alias("subject"), choose(1).alias("body"),
         F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), F.element_at(F.array(*map(F.lit, languages)), F.col("l") + 1).alias("language"),
@@ -67,30 +74,39 @@ def label_id(c: Column, labels: tuple[str, ...]) -> Column:
     return F.nullif(F.array_position(F.array(*map(F.lit, labels)), c), F.lit(0)) - 1
 
 
-def asked(rows: DataFrame, column: str, answers: Callable[[], Answers] | Sequence[Callable[[], Answers]], needed: Column | None = None, batch: int = 16, attempts: int = 2) -> DataFrame:
+def asked(
+    rows: DataFrame, column: str, answers: Callable[[], Answers] | Sequence[Callable[[], Answers]], needed: Column | None = None, batch: int = 16, attempts: int = 2,
+    backoff: float = 0.0, pace: float = 0.0, told: Callable[[str, str], str] | None = None,
+) -> DataFrame:
     """rows with answer, from an outside model for the rows that need it and NULL for the others.
 
     answers makes a client, once a task; of several, the next is tried when one fails, each so
-    many times, and a batch that all fail stays without answer. Only rows that need it reach Python.
+    many times, and a batch that all fail stays without answer. Only rows that need it reach
+    Python. A task pauses backoff seconds before a second attempt, twice as long before each
+    further one, and starts calls at least pace seconds apart; told(text, error) makes the
+    text of a further attempt.
     """
     makers = list(answers) if isinstance(answers, (list, tuple)) else [answers]
     needed = F.lit(True) if needed is None else F.coalesce(needed, F.lit(False))
 
-    def ask(clients, texts):
+    def ask(clients, texts, last):
         for client in clients:
-            for _ in range(attempts):
+            said = texts
+            for attempt in range(attempts):
+                time.sleep(max(0.0, backoff * 2 ** (attempt - 1) if attempt else 0.0, last[0] + pace - time.monotonic()))
+                last[0] = time.monotonic()
                 try:
-                    got = list(client(texts))[: len(texts)]
+                    got = list(client(said))[: len(texts)]
                     return got + [None] * (len(texts) - len(got))
-                except Exception:  # noqa: BLE001 - whatever a provider raises, the next one is asked
-                    continue
+                except Exception as e:  # noqa: BLE001 - whatever a provider raises, the next one is asked
+                    said = [told(t, str(e)) for t in texts] if told else texts
         return [None] * len(texts)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        clients = [make() for make in makers]
+        clients, last = [make() for make in makers], [-pace]
         for b in batches:
             texts = b.column(column).to_pylist()
-            said = [a for s in range(0, len(texts), batch) for a in ask(clients, texts[s : s + batch])]
+            said = [a for s in range(0, len(texts), batch) for a in ask(clients, texts[s : s + batch], last)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string())], [*b.schema.names, "answer"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", answer string"
@@ -141,6 +157,6 @@ def positional_zip(left: DataFrame, right: DataFrame, order: str) -> DataFrame:
 
     Places are counted by partition after a range sort, so no task numbers all rows.
     """
-    number = lambda df: sinks.with_ids(df, df.sparkSession.range(0), order).withColumnRenamed("id", "__place")
+    number = lambda df: sinks.placed(df, order, "__place")
     return number(left).join(number(right).drop(order), "__place", "left").drop("__place")
 

@@ -15,12 +15,12 @@ PREVIEW, ERRORS = 50, 100
 
 # Header names by which a field is found when the user maps nothing.
 CANDIDATES = {
-    "externalRef": ("external_ref", "externalref", "ref", "reference", "id", "ticket_id"),
-    "customerEmail": ("customer_email", "customeremail", "email", "mail", "client_email"),
-    "subject": ("subject", "sujet", "title", "titre", "objet"),
-    "body": ("body", "message", "description", "contenu", "corps", "text"),
-    "createdAt": ("created_at", "createdat", "date", "created"),
-    "language": ("language", "langue", "lang"),
+    "externalRef": ("external_ref", "ref", "reference", "id"),
+    "customerEmail": ("customer_email", "email", "mail"),
+    "subject": ("subject", "sujet", "title", "titre"),
+    "body": ("body", "corps", "message", "description", "content"),
+    "createdAt": ("created_at", "date", "created"),
+    "language": ("language", "lang", "langue"),
 }
 
 
@@ -78,7 +78,8 @@ def project(rows: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 def row_errors(rows: DataFrame) -> DataFrame:
     """(line_no, message) of rows whose number of cells is not that of the headers."""
     bad = rows.where(F.size("cells") != F.size("headers"))
-    return bad.select("line_no", F.format_string("attendu %d, obtenu %d", F.size("headers"), F.size("cells")).alias("message"))
+    # the message is a fixed text
+    return bad.select("line_no", F.format_string("Nombre de colonnes incoherent (attendu %d, obtenu %d)", F.size("headers"), F.size("cells")).alias("message"))
 
 
 def preview(rows: DataFrame) -> DataFrame:
@@ -87,6 +88,36 @@ def preview(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total_rows"), F.least(F.count_if(ragged), F.lit(ERRORS)).alias("error_count"), F.least(F.count("*"), F.lit(PREVIEW)).alias("preview_rows"))
 
 
+def preview_rows(rows: DataFrame) -> DataFrame:
+    """(line_no, cells) of the first rows, as many as a preview shows."""
+    return rows.select("line_no", "cells").orderBy("line_no").limit(PREVIEW)
+
+
+def preview_errors(rows: DataFrame) -> DataFrame:
+    """(line_no, message) of the first row errors, as many as a preview lists."""
+    return row_errors(rows).orderBy("line_no").limit(ERRORS)
+
+
+def uploaded(rows: DataFrame, files: DataFrame, imports: DataFrame, by: int | None = None) -> DataFrame:
+    """The imports table with a row AWAITING_VALIDATION for each file (path, type) and its number of rows."""
+    counted = rows.groupBy("path").agg(F.count("*").cast("int").alias("row_count"))
+    new = files.select("path", "type").join(counted, "path", "left").select(
+        F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("type").alias("file_type"), F.lit(by).cast("long").alias("uploaded_by"), F.coalesce("row_count", F.lit(0)).alias("row_count"),
+        F.lit("AWAITING_VALIDATION").alias("status"), F.lit(None).cast("map<string,string>").alias("column_mapping"), F.lit(None).cast("string").alias("extraction_meta"), F.current_timestamp().alias("created_at"),
+    )
+    return imports.unionByName(with_ids(new, imports, "filename"))
+
+
+def settled(imports: DataFrame, import_id: int, mapping: Mapping[str, str | None]) -> DataFrame:
+    """The imports table with one import DONE under its mapping; refused unless it awaits validation."""
+    now = imports.where(F.col("id") == import_id).select("status").first()
+    if now is None or now["status"] != "AWAITING_VALIDATION":
+        raise ImportState(now and now["status"])
+    this = F.col("id") == import_id
+    used = F.create_map(*[F.lit(x) for pair in sanitise(mapping).items() for x in pair])
+    return imports.withColumn("status", F.when(this, "DONE").otherwise(F.col("status"))).withColumn("column_mapping", F.when(this, used).otherwise(F.col("column_mapping")))
+
+
 def with_headers(cells: DataFrame) -> DataFrame:
     """Rows (path, line_no, headers, cells): each file's first record as headers of the others."""
     first = cells.groupBy("path").agg(F.min(F.struct("line_no", "cells")).alias("h"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def insert_ignore(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -43,17 +47,62 @@ def set_null(children: DataFrame, column: str, parents: DataFrame, key: str) ->
     return joined.select(*[F.col("__p").alias(c) if c == column else F.col(c) for c in children.columns])
 
 
-def with_ids(new: DataFrame, existing: DataFrame, order: str) -> DataFrame:
-    """new with dense ids after the largest stored one, in the given order.
+def placed(rows: DataFrame, order: str, name: str, by: str | None = None) -> DataFrame:
+    """rows with their place from 1 on in the given order (within each value of by), numbered by many tasks.
 
-    Rows are sorted over partitions by range; each partition then numbers its own from where
-    those before it end, so that no single task numbers all.
+    Rows are dealt into runs of the order at values drawn from it, held in the plan, so a
+    row's run is a matter of its value and not of where it is computed. Each run is numbered
+    apart, from where those before it end. Nulls come first; equal values in any order.
     """
-    parts = new.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    parts = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    # a row for each partition
-    sizes = parts.groupBy("__part").agg(F.count("*").alias("__c"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = rows.select(F.col(order).alias("o")).where("o is not null").orderBy(F.rand(7)).limit(16 * n).collect()
+    values = sorted(r["o"] for r in drawn)
+    cuts = sorted({values[len(values) * k // n] for k in range(1, n)}) if values else []
+    run = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    keys = ["__run"] + ([by] if by else [])
+    dealt = rows.withColumn("__run", run).withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first(order))))
+    # a row for each run, and value of by
+    sizes = rows.select(run.alias("__run"), *([by] if by else [])).groupBy(*keys).agg(F.count("*").alias("__c"))
+    earlier = Window.partitionBy(*([by] if by else [])).orderBy("__run")
+    before = sizes.select(F.col("__run").alias("__r"), *([F.col(by).alias("__by")] if by else []), (F.sum("__c").over(earlier) - F.col("__c")).alias("__before"))
+    same = F.col("__run") == F.col("__r")
+    met = dealt.join(before, same & F.col(by).eqNullSafe(F.col("__by"))) if by else dealt.join(F.broadcast(before), same)
+    return met.select(*rows.columns, (F.col("__before") + F.col("__n")).alias(name))
+
+
+def with_ids(new: DataFrame, existing: DataFrame, order: str) -> DataFrame:
+    """new with dense ids after the largest stored one, in the given order."""
     base = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__base"))
-    before = sizes.select("__part", (F.sum("__c").over(Window.orderBy("__part")) - F.col("__c")).alias("__before"))
-    numbered = parts.join(F.broadcast(before), "__part").crossJoin(F.broadcast(base))
-    return numbered.select((F.col("__base") + F.col("__before") + F.col("__n")).alias("id"), *new.columns)
+    numbered = placed(new, order, "__place").crossJoin(F.broadcast(base))
+    return numbered.select((F.col("__base") + F.col("__place")).alias("id"), *new.columns)
+
+
+def stored(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, int]:
+    """(the newest version of the table at path, its number); an empty table and 0 where there is none."""
+    try:
+        versions = spark.read.schema(StructType([*schema.fields, StructField("version", LongType())])).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema), 0
+    newest = versions.agg(F.max("version")).first()[0] or 0
+    return versions.where(F.col("version") == newest).drop("version"), newest
+
+
+def store(spark: SparkSession, path: str, schema: StructType, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Writes merge(the table at path) as its next version and returns it.
+
+    A version's files appear when its job ends, so a run that is lost leaves the one before
+    in place, and what is read is never what is written.
+    """
+    table, version = stored(spark, path, schema)
+    merge(table).write.mode("errorifexists").parquet(f"{path}/version={version + 1}")
+    return stored(spark, path, schema)[0]
+
+
+def store_analyses(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
+    """Adds analyses; of each ticket the first that was ever stored stays."""
+    return store(spark, path, new.schema, lambda table: first_write_wins(new, table, "ticket_id", "created_at"))
+
+
+def store_embeddings(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
+    """Puts vectors in; of each ticket the newest stays, with the time of the first."""
+    return store(spark, path, new.schema, lambda table: last_write_wins(new, table, "ticket_id", "created_at", keep=("created_at",)))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, security, text, vectors
 from ..operators import evaluation, generation, ingest, similar, sinks, tickets
-from ..schemas import CATEGORIES, PRIORITIES, SENTIMENTS, violations
-from ..streaming import bucket
+from ..schemas import CATEGORIES, IMPORTS, PRIORITIES, SENTIMENTS, violations
+from ..sources import cells, jsonl, sniff
+from ..streaming import bucket, consumer
 from . import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,7 +113,7 @@ def ingest_map_project(s, d):
     return found.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
-@query("SELECT (event_id + 2)::INTEGER AS line_no, 'attendu 6, obtenu 3' AS message FROM events WHERE event_id % 10 = 0")
+@query("SELECT (event_id + 2)::INTEGER AS line_no, 'Nombre de colonnes incoherent (attendu 6, obtenu 3)' AS message FROM events WHERE event_id % 10 = 0")
 def ingest_row_errors(s, d):
     return ingest.row_errors(_rows(s, d))
 
@@ -122,6 +123,73 @@ def ingest_preview(s, d):
     return ingest.preview(_rows(s, d))
 
 
+@query("SELECT (event_id + 2)::INTEGER AS line_no, CASE WHEN event_id % 10 = 0 THEN 3 ELSE 6 END::INTEGER AS n_cells FROM events ORDER BY event_id LIMIT 50")
+def ingest_preview_rows(s, d):
+    return ingest.preview_rows(_rows(s, d)).select("line_no", F.size("cells").alias("n_cells"))
+
+
+@query("SELECT (event_id + 2)::INTEGER AS line_no, 'Nombre de colonnes incoherent (attendu 6, obtenu 3)' AS message FROM events WHERE event_id % 10 = 0 ORDER BY event_id LIMIT 100")
+def ingest_preview_errors(s, d):
+    return ingest.preview_errors(_rows(s, d))
+
+
+@query("SELECT row_number() OVER (ORDER BY n_name) AS id, n_name || '.csv' AS filename, 'CSV' AS file_type, 2::INTEGER AS row_count, CASE WHEN row_number() OVER (ORDER BY n_name) = 3 THEN 'DONE' ELSE 'AWAITING_VALIDATION' END AS status FROM nation")
+def import_states(s, d):
+    """A file a nation is uploaded, and the third import confirmed."""
+    files = views.table(s, d, "nation").select(F.concat(F.lit("in/"), "n_name", F.lit(".csv")).alias("path"), F.lit("CSV").alias("type"))
+    rows = files.select("path", F.explode(F.array(F.lit(1), F.lit(2))).alias("line_no"))
+    done = ingest.settled(ingest.uploaded(rows, files, s.createDataFrame([], IMPORTS)), 3, {"subject": "s"})
+    return done.select("id", "filename", "file_type", "row_count", "status")
+
+
+# --- files -------------------------------------------------------------------------------
+
+
+def _files(s, d, kind, *content, code="UTF-8"):
+    """A file for each nation, as its rows of cells."""
+    made = views.table(s, d, "nation").select("n_nationkey", F.concat(F.col("n_nationkey").cast("string"), F.lit("." + kind)).alias("path"), F.encode(F.concat(*[c if isinstance(c, Column) else F.lit(c) for c in content]), code).alias("content"))
+    return cells.parsed(made.select("path", "content")).select(F.regexp_extract("path", "^[0-9]+", 0).cast("long").alias("n"), "line_no", F.array_join("cells", "|").alias("cells"))
+
+
+@query("""SELECT n_nationkey AS n, l::INTEGER AS line_no, CASE l WHEN 1 THEN 'name|region' WHEN 2 THEN n_name || ' "x"|' || n_regionkey WHEN 3 THEN '' ELSE 'last|a "b"' END AS cells FROM nation, range(1, 5) t(l)""")
+def csv_records(s, d):
+    return _files(s, d, "csv", 'name,region\n"', F.col("n_name"), ' \\"x\\"",', F.col("n_regionkey").cast("string"), '\n\nlast,"a ""b"""\n')
+
+
+@query("SELECT n_nationkey AS n, l::INTEGER AS line_no, CASE l WHEN 1 THEN 'name|key|' ELSE n_name || '|' || n_nationkey || '|' END AS cells FROM nation, (VALUES (1), (3)) t(l)")
+def txt_records(s, d):
+    return _files(s, d, "tsv", "\ufeffname\tkey\t\r\n\r\n", F.col("n_name"), "\t", F.col("n_nationkey").cast("string"), "\t\n")
+
+
+@query("SELECT n_nationkey AS n, l::INTEGER AS line_no, CASE l WHEN 0 THEN 'name|n' WHEN 1 THEN n_name || '|1' WHEN 2 THEN '|2' ELSE '|' END AS cells FROM nation, range(0, 4) t(l)")
+def json_records(s, d):
+    return _files(s, d, "json", '[{"name": "', F.col("n_name"), '", "n": 1}, {"n": 2, "extra": [1, true]}, {"name": null}]')
+
+
+@query("SELECT n_nationkey AS n, 1::INTEGER AS line_no, 'é|' || n_name AS cells FROM nation")
+def latin_records(s, d):
+    return _files(s, d, "txt", "é\t", F.col("n_name"), code="ISO-8859-1")
+
+
+@query("SELECT n_nationkey AS n, 1::INTEGER AS line_no, 'é|' || n_name AS cells FROM nation")
+def utf16_records(s, d):
+    return _files(s, d, "txt", "\ufeffé\t", F.col("n_name"), code="UTF-16LE")
+
+
+HEADS = (("a.csv", "504B0304"), ("a.docx", "504B0304"), ("a.txt", "255044462D31"), ("b.TSV", "61"), ("b.zzz", "61"), ("c.csv", "EFBBBF61"), ("c.json", "FFFE6100"), ("d.json", "FEFF0061"), ("d.csv", "61E9"))
+
+
+@query("SELECT * FROM (VALUES ('a.csv', 'XLSX', 'UTF-8'), ('a.docx', 'DOCX', 'UTF-8'), ('a.txt', 'PDF', 'UTF-8'), ('b.TSV', 'TXT', 'UTF-8'), ('b.zzz', NULL, 'UTF-8'), ('c.csv', 'CSV', 'UTF-8'), ('c.json', 'JSON', 'UTF-16LE'), ('d.json', 'JSON', 'UTF-16BE'), ('d.csv', 'CSV', 'ISO-8859-1')) t(name, type, charset)")
+def file_sniffing(s, d):
+    heads = s.range(1).select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.unhex(F.lit(h)).alias("head")) for n, h in HEADS])).alias("f")).select("f.*")
+    return heads.select("name", sniff.file_type(F.col("name"), F.col("head")).alias("type"), sniff.charset(F.col("head")).alias("charset"))
+
+
+@query("""SELECT '{"id":' || n_nationkey || ',"name":"' || n_name || '","note":null}' AS value FROM nation""")
+def jsonl_lines(s, d):
+    return jsonl.records(views.table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("note")))
+
+
 @query("""SELECT i, CASE WHEN i IN (1, 2) THEN TIMESTAMP '2026-01-01 00:01:00' WHEN i = 3 THEN TIMESTAMP '2025-12-31 22:01:00' END AS at FROM range(1, 8) t(i)""")
 def ingest_timestamp_parse(s, d):
     v = s.range(1, 8).select(F.col("id").alias("i"), F.element_at(F.array(*map(F.lit, ["2026-01-01T00:01:00", " 2026-01-01T00:01:00Z ", "2026-01-01T00:01:00+02:00", "2026-01-01", "2026-01-01 00:01:00", "nope", " "])), F.col("id").cast("int")).alias("c"))
@@ -255,12 +323,14 @@ def unaccent(s, d):
     return views.table(s, d, "documents").where("lang = 'fr'").select("doc_id", text.unaccent(F.col("text")).alias("plain"))
 
 
-@query("""WITH t AS (SELECT item_id, lower(substr(text, 1, 40)) AS a, lower(substr(text, 11, 40)) AS b FROM benchmark),
+@query("""WITH t AS (SELECT a.item_id, lower(a.text) AS a, lower(b.text) AS b FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
 g AS (SELECT item_id, list_distinct(list_transform(range(1, (length(a) + 2)::BIGINT), lambda i: substr('  ' || a || ' ', i::BIGINT, 3))) AS x, list_distinct(list_transform(range(1, (length(b) + 2)::BIGINT), lambda i: substr('  ' || b || ' ', i::BIGINT, 3))) AS y FROM t)
 SELECT item_id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE, 6) AS similarity FROM g""")
 def trigram_similarity(s, d):
-    b = views.table(s, d, "benchmark")
-    return b.select("item_id", F.round(text.trigram_similarity(F.substring("text", 1, 40), F.substring("text", 11, 40)), 6).alias("similarity"))
+    """Each item's whole text against that of the next id."""
+    b = views.table(s, d, "benchmark").select("item_id", "text")
+    both = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other")), "item_id")
+    return both.select("item_id", F.round(text.trigram_similarity(F.col("text"), F.col("other")), 6).alias("similarity"))
 
 
 # --- triage ------------------------------------------------------------------------------
@@ -278,8 +348,8 @@ def priority_rules_orders(s, d):
 
 
 FIXTURE = (
-    ("Le site est en panne, c'est urgent !", "TECHNIQUE", "NEG"), ("Je conteste ce montant débité.", "FACTURATION", "NEG"), ("Merci beaucoup pour votre aide rapide !", "DEMANDE", "POS"),
-    ("Quand la collection sera-t-elle disponible ?", "DEMANDE", "NEU"), ("Je voudrais modifier mon adresse de livraison.", "COMPTE", "NEU"), ("DOUBLE PRÉLÈVEMENT", "DEMANDE", "NEU"), ("Le volume est faible", "COMPTE", "NEU"),
+    ("Impossible de payer, c'est URGENT", "TECHNIQUE", "NEG"), ("La somme sur mon relevé est fausse.", "FACTURATION", "NEG"), ("Votre équipe a été très aimable.", "COMPTE", "POS"),
+    ("Quels sont vos horaires ?", "DEMANDE", "NEU"), ("Mon nom de famille a changé.", "COMPTE", "NEU"), ("UN DOUBLE PRÉLÈVEMENT CE MOIS", "DEMANDE", "NEU"), ("Le son du volume grésille", "COMPTE", "NEU"),
 )
 
 
@@ -394,20 +464,20 @@ def spec_grid(s, d):
     return evaluation.spec_grid(s, 800, PRIORITIES, SENTIMENTS)
 
 
-TERMS = r"""w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: length(x) > 1) AS w FROM benchmark),
-t AS (SELECT item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), tf AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2), raw AS (SELECT item_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN df USING (term)),
-weighted AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS weight FROM raw)"""
+TERMS = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: length(x) > 1) AS w FROM documents),
+t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2), raw AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN df USING (term)),
+weighted AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
 
 
-@query(f"WITH {TERMS} SELECT item_id, term, round(weight, 6) AS weight FROM weighted")
+@query(f"WITH {TERMS} SELECT doc_id, term, round(weight, 6) AS weight FROM weighted")
 def tfidf_terms(s, d):
-    return evaluation.tfidf(views.table(s, d, "benchmark"), "item_id", "text").select("item_id", "term", F.round("weight", 6).alias("weight"))
+    return evaluation.tfidf(views.table(s, d, "documents"), "doc_id", "text").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-@query(f"WITH {TERMS} SELECT item_id, rank::INTEGER AS rank, term FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY round(weight, 9) DESC, term) AS rank FROM weighted) WHERE rank <= 5")
+@query(f"WITH {TERMS} SELECT doc_id, rank::INTEGER AS rank, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) AS rank FROM weighted) WHERE rank <= 5")
 def keyphrases_top5(s, d):
-    return evaluation.keyphrases(views.table(s, d, "benchmark"), "item_id", "text")
+    return evaluation.keyphrases(views.table(s, d, "documents"), "doc_id", "text")
 
 
 @query()
@@ -466,6 +536,14 @@ def mean_pool_label(s, d):
     return x.groupBy("label", (F.col("i") + 1).cast("long").alias("i")).agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
 
 
+@query("SELECT vec_id, i::BIGINT AS i, round((embedding[i]::DOUBLE + embedding[i + 8]::DOUBLE * (vec_id % 2) + embedding[i + 16]::DOUBLE * (vec_id % 3 = 0)::INT) / (1 + vec_id % 2 + (vec_id % 3 = 0)::INT), 6) AS mean FROM embeddings, range(1, 9) t(i)")
+def masked_mean_pool(s, d):
+    e = views.table(s, d, "embeddings")
+    mask = F.array(F.lit(1), (F.col("vec_id") % 2).cast("int"), (F.col("vec_id") % 3 == 0).cast("int"))
+    pooled = vectors.masked_mean(F.array(F.slice("embedding", 1, 8), F.slice("embedding", 9, 8), F.slice("embedding", 17, 8)), mask)
+    return e.select("vec_id", F.posexplode(pooled).alias("p", "m")).select("vec_id", (F.col("p") + 1).cast("long").alias("i"), F.round("m", 6).alias("mean"))
+
+
 @query("SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: format('{:.6f}', x::DOUBLE)), ',') || ']' AS literal FROM embeddings")
 def pgvector_literal(s, d):
     return views.table(s, d, "embeddings").select("vec_id", vectors.literal(F.col("embedding")).alias("literal"))
@@ -494,12 +572,29 @@ def bucket_client(s, d):
     return e.select("event_id", security.client(F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise("  "), F.col("user_id").cast("string")).alias("client"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+b AS (SELECT user_id, event_id, t, n, 4.0::DOUBLE AS tokens, true AS allowed FROM e WHERE n = 1 UNION ALL
+  SELECT user_id, event_id, t, n, had - CASE WHEN had >= 1 THEN 1 ELSE 0 END, had >= 1 FROM
+    (SELECT e.*, least(5.0::DOUBLE, b.tokens + greatest(e.t - b.t, 0) * (5.0::DOUBLE / 3600.0::DOUBLE)) AS had FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n + 1))
+SELECT user_id AS client, event_id, allowed FROM b""")
 def token_bucket_admission(s, d):
     e = views.table(s, d, "events").select(F.col("user_id").alias("client"), "ts", "event_id")
     return bucket.admitted(e, "client", "ts", "event_id", capacity=5, refill=5, period=3600)
 
 
+@query("""WITH e AS (SELECT event_id, user_id, 'R' || user_id AS r, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT *, (SELECT max(user_id) FROM e WHERE user_id % 5 = 0) + row_number() OVER (ORDER BY event_id) AS id FROM e WHERE user_id % 5 <> 0 AND k = 1)
+SELECT r AS external_ref, 'ACCEPTED' AS result, NULL::BIGINT AS stored_id, id FROM f
+UNION ALL SELECT e.r, 'DUPLICATE', CASE WHEN e.user_id % 5 = 0 THEN e.user_id ELSE f.id END, NULL FROM e LEFT JOIN f USING (user_id) WHERE e.user_id % 5 = 0 OR e.k > 1""")
+def webhook_ingested(s, d):
+    e = views.table(s, d, "events")
+    ref = F.concat(F.lit("R"), F.col("user_id").cast("string"))
+    none = F.lit(None).cast("string")
+    accepted = e.select(F.col("event_id").alias("arrived"), F.struct(ref.alias("externalRef"), none.alias("customerEmail"), F.col("event_type").alias("subject"), none.alias("body"), F.lit("fr").alias("language")).alias("event"))
+    known = e.where("user_id % 5 = 0").select(F.col("user_id").alias("id"), ref.alias("external_ref")).distinct()
+    return consumer.ingested(accepted, known).select("external_ref", "result", "stored_id", "id")
+
+
 @query("SELECT event_id, '{\"ticketId\":' || event_id || ',\"subject\":\"' || event_type || '\"}' AS message FROM events")
 def event_messages(s, d):
     return views.table(s, d, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("ticketId"), F.col("event_type").alias("subject"))).alias("message"))
@@ -546,9 +641,9 @@ def bonus_sessions(s, d):
 # --- search fusion ---------------------------------------------------------------------------
 
 ASKED = ("the", "of", "and")
-BM25_SQL = r"""w AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS t FROM benchmark), l AS (SELECT item_id, count(*)::DOUBLE AS len FROM w GROUP BY 1),
-tf AS (SELECT item_id, t, count(*)::DOUBLE AS tf FROM w WHERE t IN ('the', 'of', 'and') GROUP BY ALL), df AS (SELECT t, count(*)::DOUBLE AS df FROM tf GROUP BY t),
-bm AS (SELECT item_id, sum(ln(1 + ((SELECT count(*) FROM l) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT avg(len) FROM l)))) AS score FROM tf JOIN df USING (t) JOIN l USING (item_id) GROUP BY item_id)"""
+BM25_SQL = r"""w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS t FROM documents), l AS (SELECT doc_id, count(*)::DOUBLE AS len FROM w GROUP BY 1),
+tf AS (SELECT doc_id, t, count(*)::DOUBLE AS tf FROM w WHERE t IN ('the', 'of', 'and') GROUP BY ALL), df AS (SELECT t, count(*)::DOUBLE AS df FROM tf GROUP BY t),
+bm AS (SELECT doc_id, sum(ln(1 + ((SELECT count(*) FROM l) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT avg(len) FROM l)))) AS score FROM tf JOIN df USING (t) JOIN l USING (doc_id) GROUP BY doc_id)"""
 
 
 def bm25(docs: DataFrame, key: str, column: str, terms: tuple[str, ...]) -> DataFrame:
@@ -563,19 +658,19 @@ def bm25(docs: DataFrame, key: str, column: str, terms: tuple[str, ...]) -> Data
     return scored.groupBy(key).agg(F.sum(idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean")))).alias("score"))
 
 
-@query(f"WITH {BM25_SQL} SELECT item_id, round(score, 6) AS score FROM bm")
+@query(f"WITH {BM25_SQL} SELECT doc_id, round(score, 6) AS score FROM bm")
 def bm25_scores(s, d):
-    return bm25(views.table(s, d, "benchmark"), "item_id", "text", ASKED).select("item_id", F.round("score", 6).alias("score"))
+    return bm25(views.table(s, d, "documents"), "doc_id", "text", ASKED).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {BM25_SQL}, r AS (SELECT item_id, row_number() OVER (ORDER BY round(score, 9) DESC, item_id) AS a, row_number() OVER (ORDER BY item_id) AS b FROM bm) SELECT item_id, round(CASE WHEN a <= 20 THEN 1 / (60.0::DOUBLE + a) ELSE 0 END + CASE WHEN b <= 20 THEN 1 / (60.0::DOUBLE + b) ELSE 0 END, 9) AS fused FROM r WHERE a <= 20 OR b <= 20")
+@query(f"WITH {BM25_SQL}, r AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS a, row_number() OVER (ORDER BY doc_id) AS b FROM bm) SELECT doc_id, round(CASE WHEN a <= 20 THEN 1 / (60.0::DOUBLE + a) ELSE 0 END + CASE WHEN b <= 20 THEN 1 / (60.0::DOUBLE + b) ELSE 0 END, 9) AS fused FROM r WHERE a <= 20 OR b <= 20")
 def rank_fusion(s, d):
     """Reciprocal rank fusion of two top-20 lists; ranks come from lists cut by limit first."""
-    scored = bm25(views.table(s, d, "benchmark"), "item_id", "text", ASKED).select("item_id", F.round("score", 9).alias("r"))
-    top = lambda name, *order: scored.orderBy(*order).limit(20).select("item_id", F.row_number().over(Window.orderBy(*order)).alias(name))
-    both = top("a", F.desc("r"), "item_id").join(top("b", "item_id"), "item_id", "full_outer")
+    scored = bm25(views.table(s, d, "documents"), "doc_id", "text", ASKED).select("doc_id", F.round("score", 9).alias("r"))
+    top = lambda name, *order: scored.orderBy(*order).limit(20).select("doc_id", F.row_number().over(Window.orderBy(*order)).alias(name))
+    both = top("a", F.desc("r"), "doc_id").join(top("b", "doc_id"), "doc_id", "full_outer")
     share = lambda c: F.coalesce(1 / (60.0 + F.col(c)), F.lit(0.0))
-    return both.select("item_id", F.round(share("a") + share("b"), 9).alias("fused"))
+    return both.select("doc_id", F.round(share("a") + share("b"), 9).alias("fused"))
 
 
 # --- generation ------------------------------------------------------------------------------
@@ -585,10 +680,10 @@ HASHED = "(('0x' || substr(md5({0}), 1, 8))::BIGINT % {1})"
 
 def _sample_sql(n):
     pools = "{" + ", ".join(f"'{k}': [" + ", ".join("[" + ", ".join("'" + x.replace("'", "''") + "'" for x in part) + "]" for part in v) + "]" for k, v in generation.SAMPLES.items()) + "}"
-    at = lambda part, l: f"{pools}.{l}[{part + 1}][{HASHED.format(f"'42/{part}/' || i", 3)} + 1]"
+    at = lambda part, l: f"{pools}.{l}[{part + 1}][{HASHED.format(f"'42/{part}/' || i", len(generation.SAMPLES['fr'][part]))} + 1]"
     pick = lambda part: f"CASE WHEN {HASHED.format("'42/l/' || i", 2)} = 0 THEN {at(part, 'fr')} ELSE {at(part, 'en')} END"
     return f"""SELECT 'TCK-' || lpad((i + 1)::VARCHAR, 6, '0') AS external_ref, 'client' || (i + 1) || '@example.com' AS customer_email, {pick(0)} AS subject, {pick(1)} AS body,
-  strftime(TIMESTAMP '2026-01-01' + to_minutes(i::INTEGER), '%Y-%m-%dT%H:%M:%S') AS created_at, CASE WHEN {HASHED.format("'42/l/' || i", 2)} = 0 THEN 'fr' ELSE 'en' END AS language FROM range({n}) t(i)"""
+  strftime(TIMESTAMP '2026-01-01' + to_minutes(i::INTEGER + 1), '%Y-%m-%dT%H:%M:%S') AS created_at, CASE WHEN {HASHED.format("'42/l/' || i", 2)} = 0 THEN 'fr' ELSE 'en' END AS language FROM range({n}) t(i)"""
 
 
 @query(_sample_sql(10_000))
@@ -596,10 +691,9 @@ def sample_tickets(s, d):
     return generation.sample_tickets(s)
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY md5('42/' || doc_id)) AS rank FROM documents ORDER BY md5('42/' || doc_id) LIMIT 100")
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('42/' || doc_id)) AS rank FROM documents")
 def shuffle_seeded(s, d):
-    top = generation.shuffled(views.table(s, d, "documents").select("doc_id"), "doc_id").orderBy("place").limit(100)
-    return top.select("doc_id", F.row_number().over(Window.orderBy("place")).cast("long").alias("rank"))
+    return sinks.placed(generation.shuffled(views.table(s, d, "documents").select("doc_id"), "doc_id"), "place", "rank").select("doc_id", "rank")
 
 
 @query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")
@@ -632,13 +726,13 @@ def backfill_counts(s, d):
     return docs.agg(F.count("*").alias("n")).crossJoin(new.agg(F.count("*").alias("backfilled")))
 
 
-@query(f"WITH {views.VECTORS} SELECT 1.0::DOUBLE AS recall")
+@query()
 def recall_at_k(s, d):
-    """The batch search against the ticket-by-ticket search of its first query."""
+    """The share of all near vectors of every id divisible by 100 that hashing finds; hashes are drawn, so without SQL."""
     v = views.vectors(s, d)
-    found = similar.nearest_of_queries(v, v.where("ticket_id = 100").select(F.col("ticket_id").alias("query_id"), F.col("vector").alias("q")))
-    truth = similar.by_ticket(v, v.select(F.col("ticket_id").alias("id"), F.lit("").alias("subject")), 100).select(F.lit(100).cast("long").alias("query_id"), "ticket_id")
-    return generation.recall_at(found, truth, 5)
+    pairs = lambda p: p.select(F.col("a").alias("query_id"), F.col("b").alias("ticket_id")).union(p.select("b", "a")).where("query_id % 100 = 0")
+    found = pairs(similar.likely_duplicates(v, 0.35, tables=16, bucket=2.0)).withColumn("rank", F.lit(1))
+    return generation.recall_at(found, pairs(similar.duplicates(v, 0.35)), 1)
 
 
 @query("SELECT a.doc_id, b.item_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents) a LEFT JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) AS n FROM benchmark) b USING (n)")

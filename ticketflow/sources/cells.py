@@ -24,10 +24,12 @@ SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
 def csv_cells(text: str) -> Iterator[tuple[int, list[str]]]:
-    """Records from 1 on, the header being the first; blank records count but are left out."""
-    for n, row in enumerate(csv.reader(io.StringIO(text)), 1):
-        if row:
-            yield n, row
+    """Records from 1 on, the header being the first; a blank line is a record of one empty cell.
+
+    A quote within quotes is doubled or stands behind a backslash.
+    """
+    for n, row in enumerate(csv.reader(io.StringIO(text), escapechar="\\"), 1):
+        yield n, row or [""]
 
 
 def txt_cells(text: str) -> Iterator[tuple[int, list[str]]]:
@@ -111,6 +113,13 @@ def _parsed(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(chunk)), pa.array([n for n, _ in chunk], pa.int32()), pa.array([c for _, c in chunk], pa.list_(pa.string()))], ["path", "line_no", "cells"])
 
 
+def parsed(files: DataFrame) -> DataFrame:
+    """(path, line_no, cells) of files (path, content), by what their names and first bytes say they are."""
+    head = F.substring("content", 1, sniff.HEAD)
+    chosen = files.select("path", sniff.file_type(F.col("path"), head).alias("type"), sniff.charset(head).alias("charset"), "content")
+    return chosen.mapInArrow(_parsed, SCHEMA)
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, cells) of the structured files under path, header records included.
 
@@ -120,7 +129,4 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     odd = known.where(~F.coalesce(F.col("type"), F.lit("")).isin(*PARSERS, "XLSX")).select("path", "type").first()
     if odd:
         raise sniff.UnsupportedType(f"{odd['path']}: {odd['type']}")
-    files = spark.read.format("binaryFile").load(path)
-    head = F.substring("content", 1, sniff.HEAD)
-    chosen = files.select("path", sniff.file_type(F.col("path"), head).alias("type"), sniff.charset(head).alias("charset"), "content")
-    return chosen.mapInArrow(_parsed, SCHEMA)
+    return parsed(spark.read.format("binaryFile").load(path))

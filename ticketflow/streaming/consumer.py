@@ -5,15 +5,18 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions import rules, security, text
+from ..operators.sinks import with_ids
 from ..schemas import TICKET_CREATED
 
 ATTEMPTS = 3
+#: Parts of a batch that fails, and how often parts are split again.
+SPLIT, DEPTH = 8, 16
 
 
 def retry_delay(attempt: int) -> float:
@@ -53,25 +56,38 @@ def triaged(events: DataFrame) -> DataFrame:
 def consume(stream: DataFrame, analyse: Callable[[DataFrame], DataFrame], sink: str, quarantine: str, checkpoint: str, key: str = "ticket_id", attempts: int = ATTEMPTS, wait: Callable[[float], None] = time.sleep) -> StreamingQuery:
     """Runs analyse over each micro-batch and appends what is new to the sink, as long as input is there.
 
-    A batch is tried several times; if it still fails, its rows go to the quarantine with the
-    number of attempts and the error, and the stream goes on. The sink holds one row a key:
-    the first wins, also when a batch runs again after a crash.
+    A batch is tried several times. If it still fails it is split, so that only the messages
+    that fail by themselves go to the quarantine, with the number of attempts and the error;
+    the others are stored and the stream goes on. The sink holds one row a key: the first
+    wins, also when a batch runs again after a crash.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        for attempt in range(1, attempts + 1):
+    def add(df: DataFrame) -> None:
+        made = analyse(df)
+        first = made.groupBy(key).agg(F.min(F.struct(*made.columns)).alias("r")).select("r.*")
+        stored = stored_table(df.sparkSession, sink, made.schema)
+        first.join(stored.select(key), key, "left_anti").select(made.columns).write.mode("append").parquet(sink)
+
+    def settle(df: DataFrame, tries: int, depth: int = 0) -> None:
+        for attempt in range(1, tries + 1):
             try:
-                made = analyse(df)
-                first = made.groupBy(key).agg(F.min(F.struct(*made.columns)).alias("r")).select("r.*")
-                stored = stored_table(spark, sink, made.schema)
-                first.join(stored.select(key), key, "left_anti").select(made.columns).write.mode("append").parquet(sink)
-                return
-            except Exception as e:  # noqa: BLE001 - any failure of a batch is retried, then set aside
-                if attempt == attempts:
-                    df.select(F.to_json(F.struct("*")).alias("message"), F.lit(attempts).alias("attempts"), F.lit(str(e)[:500]).alias("error")).write.mode("append").parquet(quarantine)
-                else:
+                return add(df)
+            except Exception as e:  # noqa: BLE001 - any failure is retried, then set aside
+                error = str(e)[:500]
+                if attempt < tries:
                     wait(retry_delay(attempt))
+        message = F.to_json(F.struct("*"))
+        if depth < DEPTH and df.select(message).distinct().limit(2).count() > 1:
+            part = F.pmod(F.xxhash64(F.lit(depth), message), F.lit(SPLIT))
+            for k in range(SPLIT):
+                some = df.where(part == k)
+                if not some.isEmpty():
+                    settle(some, 1, depth + 1)
+        else:
+            df.select(message.alias("message"), F.lit(attempts).alias("attempts"), F.lit(error).alias("error")).write.mode("append").parquet(quarantine)
+
+    def batch(df: DataFrame, _: int) -> None:
+        settle(df, attempts)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -101,9 +117,23 @@ def webhook(requests: DataFrame, key: str, secret: bytes) -> DataFrame:
     return parsed.withColumn("outcome", F.when(~ok, "UNAUTHORISED").when(blank, "INVALID").otherwise("ACCEPTED"))
 
 
-def ingested(accepted: DataFrame, tickets: DataFrame) -> DataFrame:
-    """Accepted requests as WEBHOOK tickets: status ACCEPTED, or DUPLICATE with the stored id."""
-    e = accepted.select(F.col("event.*"))
-    new = e.select(text.blank_to_null(F.col("externalRef")).alias("external_ref"), F.lit("WEBHOOK").alias("source"), text.blank_to_null(F.col("customerEmail")).alias("customer_email"), text.blank_to_null(F.col("subject")).alias("subject"), text.blank_to_null(F.col("body")).alias("body"), text.known_language(F.col("language")).alias("language"))
-    old = tickets.where("external_ref is not null").select("external_ref", F.col("id").alias("stored_id"))
-    return new.join(old, "external_ref", "left").withColumn("result", F.when(F.col("stored_id").isNull(), "ACCEPTED").otherwise("DUPLICATE"))
+def ingested(accepted: DataFrame, tickets: DataFrame, arrival: str = "arrived") -> DataFrame:
+    """Accepted requests as WEBHOOK tickets with ids: ACCEPTED, or DUPLICATE with the id that the ref has.
+
+    A ref counts as known if a ticket has it or an earlier request of the same batch, in
+    order of the column arrival, or of the bodies where there is none. id is the new ticket's,
+    stored_id the one that a duplicate repeats.
+    """
+    order = F.col(arrival) if arrival in accepted.columns else F.col("body")
+    e = accepted.select(order.alias("arrived"), F.col("event.*"))
+    new = e.select("arrived", text.blank_to_null(F.col("externalRef")).alias("external_ref"), F.lit("WEBHOOK").alias("source"), text.blank_to_null(F.col("customerEmail")).alias("customer_email"), text.blank_to_null(F.col("subject")).alias("subject"), text.blank_to_null(F.col("body")).alias("body"), text.known_language(F.col("language")).alias("language"))
+    old = tickets.where("external_ref is not null").select(F.col("external_ref").alias("ref"), F.col("id").alias("known"))
+    # refs are short lists of requests each; those without one never meet
+    turn = F.row_number().over(Window.partitionBy("external_ref").orderBy("arrived"))
+    named = new.where("external_ref is not null").join(old, F.col("external_ref") == F.col("ref"), "left").drop("ref").withColumn("turn", turn)
+    bare = new.where("external_ref is null").withColumn("known", F.lit(None).cast("long")).withColumn("turn", F.lit(1))
+    fresh = with_ids(named.unionByName(bare).where("known is null and turn = 1"), tickets, "arrived").withColumn("result", F.lit("ACCEPTED")).withColumn("stored_id", F.col("known"))
+    firsts = fresh.where("external_ref is not null").select(F.col("external_ref").alias("ref"), F.col("id").alias("own"))
+    again = named.where("known is not null or turn > 1").join(firsts, F.col("external_ref") == F.col("ref"), "left").withColumn("stored_id", F.coalesce("known", "own")).withColumn("id", F.lit(None).cast("long")).withColumn("result", F.lit("DUPLICATE"))
+    columns = ["external_ref", "source", "customer_email", "subject", "body", "language", "id", "stored_id", "result"]
+    return fresh.select(columns).unionByName(again.select(columns))
