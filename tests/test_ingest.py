@@ -27,7 +27,7 @@ def test_csv(spark, tmp_path):
     p = written(tmp_path, "a.csv", '﻿external_ref,customer_email,subject\nTCK-1,a@x.com,"Bon, jour"\n\nTCK-2,b@x.com\n')
     assert rows_of(spark, p) == [(1, ["external_ref", "customer_email", "subject"]), (2, ["TCK-1", "a@x.com", "Bon, jour"]), (3, [""]), (4, ["TCK-2", "b@x.com"])]
     rows = ingest.with_headers(cells.read_cells(spark, p))
-    assert [tuple(r) for r in ingest.row_errors(rows).collect()] == [(4, "attendu 3, obtenu 2")]
+    assert [tuple(r) for r in ingest.row_errors(rows).orderBy("line_no").collect()] == [(3, "Nombre de colonnes incoherent (attendu 3, obtenu 1)"), (4, "Nombre de colonnes incoherent (attendu 3, obtenu 2)")]
     assert tuple(ingest.preview(rows).first()) == (3, 2, 3)
 
 
