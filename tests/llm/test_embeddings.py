@@ -33,7 +33,24 @@ def test_recall_and_precision(spark, clustered, monkeypatch, block):
     n = np.array([got[i].n_links for i in ids])
     assert (n <= links).all() and n.sum() >= 0.97 * links.sum() > 1000
     assert all(got[i].kept == (got[i].component_id == i) for i in ids)
-    assert all((got[i].component_id < i) <= (links[i] > 0) for i in ids)
+    assert [got[i].component_id for i in ids] == brute(ids, x)[1].tolist()
+
+
+def test_recall_on_given_vectors(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").collect()
+    near = np.array([r.embedding for r in rows], float)
+    near = np.concatenate([near, near + 0.03 * np.random.default_rng(4).standard_normal(near.shape)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near)], "vec_id long, embedding array<double>")
+    links, _ = brute(list(range(len(near))), near)
+    n = np.array([r.n_links for r in E.near_duplicates(df).orderBy("vec_id").collect()])
+    assert (n <= links).all() and n.sum() >= 0.95 * links.sum() >= len(rows)
+
+
+def test_lengths_that_squares_cannot_hold(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1.0]), (3, [3.0, 0.0]), (4, [1e-200, 0.0]), (5, [0.0, 5e-324]), (6, [0.0, 1.7e308]), (7, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
 
 
 def pairs_off_centre(rng, share, n, dim=64, threshold=0.9):

@@ -79,6 +79,39 @@ def test_exact_passages_of_documents(spark, small):
     assert want and want <= got and len(got - want) <= 2
 
 
+def near_in(p, t):
+    """The fewest edits between p and any part of t."""
+    return slow_distance(p, t)
+
+
+def test_finds_what_edit_distance_finds(spark):
+    """Against a scan of all documents by edit distance; items of every length about the bounds."""
+    rng = random.Random(12)
+    sizes = [*range(10, 24), 33, 34, 50, 51, 90, 150, 200]
+    items = [(i, "".join(rng.choice("abcdefghij") for _ in range(m))) for i, m in enumerate(sizes)]
+    docs = []
+    for i, (_, t) in enumerate(items):
+        for e in (0, 1, 2, 3, 12):
+            docs.append((100 * i + e, "".join(rng.choice("klmnop") for _ in range(15)) + edited(t, e, e) + "".join(rng.choice("klmnop") for _ in range(9))))
+    bench = spark.createDataFrame([*items, (None, "null item of some length"), (50, "tiny"), (51, "a b"), (52, "!"), (53, "part one of it all"), (53, "second part of it")], "item_id long, text string")
+    docs += [(9001, "x null item of some length y"), (9002, "a TINY! thing"), (9003, "tinyish"), (9004, "so a b"), (9005, "ab"), (9006, "the second part of it is here"), (9007, "tiny"), (9007, "tiny")]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, n_segments int")
+    index = D.Index(items, 10, 0.06, 200)
+    want = {(d, i) for d, t in docs for i, p in items if near_in(p.encode(), t.lower().encode()) <= index.edits(len(p))}
+    rows = D.matches(df, bench).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    assert got == want | {(9001, None), (9002, 50), (9007, 50), (9004, 51), (9006, 53)} and len(rows) == len(got) + 1
+    assert sorted(r.doc_id for r in D.clean(df, bench).collect()) == sorted(d for d, _ in docs if not any(d == x for x, _ in got))
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(5)
+    item = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    text = "".join(rng.choice("ijklmnop ") for _ in range(400_000))
+    df = spark.createDataFrame([(1, text + item + text), (2, text * 4)], "doc_id long, text string")
+    assert [r.doc_id for r in D.matches(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [1]
+
+
 # --- mixing
 
 
@@ -106,6 +139,9 @@ def test_mixing_reaches_its_targets(spark):
 def test_mixing_of_odd_rows(odd_docs, no_docs):
     assert mixing.poisson_mix(no_docs).count() == 0
     assert set(mixing.poisson_mix(odd_docs, epochs=3.0).columns) == {*odd_docs.columns, "shuffle_key"}
+    clash = odd_docs.withColumn("cdf", F.lit("mine")).withColumn("rate", F.lit("r")).withColumnRenamed("rest", "a.b")
+    got = mixing.poisson_mix(clash, epochs=5.0)
+    assert set(got.columns) == {*clash.columns, "shuffle_key"} and {(r.cdf, r.rate, r["a.b"]) for r in got.collect()} == {("mine", "r", "r")}
 
 
 # --- urls
@@ -145,12 +181,57 @@ def test_given_rules(spark):
 
 def test_mined_rules_block(spark):
     urls = [f"http://h{i % 7}.example.info/{'promo' if i % 3 == 0 else 'news'}/{'win' if i % 2 == 0 else 'read'}/{i}" for i in range(240)] + ["http://free-casino.example.info/x"] * 9
-    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0 and i % 2 == 0)) for i in range(240)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1, int(i >= 240 or i % 3 == 0 and i % 2 == 0)) for i in range(249)], "doc_id long, quality int, toxic int")
     got = {r.page_id: (r.verdict, r.matched) for r in url_rules.judged(pages_of(spark, urls), labels).collect()}
     assert all((got[i][0] == "block") == (i % 6 == 0 or i >= 240) for i in range(249))
     assert got[0][1] == "p:promo p:win" and got[1][1] is None
 
 
+def slow_rules(items, support, confidence, lift):
+    """All rules of one or two tokens, by counting every pair."""
+    from itertools import combinations
+
+    n, bad = len(items), sum(b for _, b in items)
+    often = {t for s, _ in items for t in s if sum(t in x for x, _ in items) >= url_rules.UBIQUITOUS * n}
+    counted = {}
+    for tokens, b in items:
+        own = sorted(tokens - often)
+        for s in [(t,) for t in own] + list(combinations(own, 2)):
+            seen = counted.setdefault(s, [0, 0])
+            seen[0] += 1
+            seen[1] += b
+    least = max(support * n, url_rules.LEAST_URLS)
+    rules = {s: (hit / all_, hit / n) for s, (all_, hit) in counted.items() if hit >= least and hit / all_ >= confidence and hit / all_ / (bad / n) >= lift}
+    return {s: c for s, c in rules.items() if len(s) == 1 or not any((t,) in rules for t in s)}
+
+
+@pytest.mark.parametrize("bound", [0, 2_000])
+def test_rules_equal_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(url_rules, "RULES", bound)
+    rng = random.Random(4)
+    pool = ["aa", "bb", "cc", "dd", "ee", "ff"]
+    urls = [f"http://{rng.choice(pool)}.info/{rng.choice(pool)}/{rng.choice(pool)}" for _ in range(300)] + [f"http://{rng.choice(pool)}.info/{rng.choice(pool)}/qq{k % 2}" for k in range(40)] + ["http://aa.info/bb/cc"] * 2 + [None, ""]
+    bad = {i: int(u is not None and ("aa.info" in u and "/bb" in u or "cc.info" in u and "/dd" in u or "/qq" in u and rng.random() < 0.9)) for i, u in enumerate(urls)}
+    labels = spark.createDataFrame([(i, 1, b) for i, b in bad.items() if i % 7], "doc_id long, quality int, toxic int")
+    pages = pages_of(spark, urls)
+    tokens = {r.page_id: set(r.t) for r in pages.select("page_id", url_rules.tokens_of(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("t")).collect()}
+    want = slow_rules([(tokens[i], b) for i, b in bad.items() if i % 7], 0.002, 0.7, 1.5)
+    prepared = pages.select("page_id", url_rules.tokens_of(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("tokens"))
+    got = {tuple(r.tokens): (r.confidence, r.support) for r in url_rules.mine(url_rules.labelled(prepared, labels)).collect()}
+    assert set(got) == set(want) and len(want) > 3 and any(len(s) == 2 for s in want)
+    assert all(got[s] == pytest.approx(want[s]) for s in want)
+    for r in url_rules.judged(pages, labels, rules=()).collect():
+        fits = sorted((-want[s][0], list(s)) for s in want if set(s) <= tokens[r.page_id])
+        assert (r.verdict, r.matched) == (("block", " ".join(fits[0][1])) if fits else ("allow", None))
+
+
+def test_odd_pages(spark):
+    rows = [(1, "http://a.com/en/"), (1, "http://a.com/en/"), (None, "http://b.org/es/"), (2, "http://c.net/de/" + "x/y" * 20_000), (3, None)]
+    df = spark.createDataFrame([(*r, "t", 1, 2, "b") for r in rows], "page_id long, url string, tokens string, host int, path int, best string")
+    got = sorted(((r.page_id, r.rule, r.verdict) for r in url_rules.judged(df, empty_labels(spark)).collect()), key=str)
+    assert got == [(1, "com/en/", "block"), (1, "com/en/", "block"), (2, "net/de/", "allow"), (3, None, "allow"), (None, "org/es/", "block")]
+
+
 def test_urls_stay_in_the_jvm(spark):
     df = url_rules.judged(pages_of(spark, ["http://a.com/en/"]), empty_labels(spark))
     plan = df._jdf.queryExecution().executedPlan().toString()

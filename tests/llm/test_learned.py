@@ -33,6 +33,83 @@ def test_clauses_do_not_share_context():
     assert scores("You there! What an idiot.")[0] == 4.0 and scores("IDIOT!!")[0] == 4.0
 
 
+@pytest.mark.parametrize(
+    ("text", "as_much_as"),
+    [
+        ("«you idiot»", "you idiot"), ("‘you idiot’", "you idiot"), ("you idiot…", "you idiot"), ("such—idiot", "such idiot"), ("“idiot„", "idiot"), ("you aren't an idiot", "you are not an idiot"), ("you aren’t an idiot", "you are not an idiot"),
+        ("¡idiot!", "idiot"), ("the\u00a0idiot", "the idiot"),
+    ],
+)
+def test_typographic_signs_part_words(text, as_much_as):
+    a, b = scores(text, as_much_as)
+    assert a == b > 0
+
+
+def test_speech_is_reported_before_and_after():
+    plain, before, after, guillemets, low = scores("you idiot", 'he said "you idiot"', '"You idiot," he said', "«You idiot», dijo", "„You idiot“ sagte er")
+    assert before < plain and after < plain and guillemets < plain and low < plain
+
+
+def test_accented_capitals():
+    assert toxicity.read_signs(np.frombuffer("ÄÉÑ×ß".encode(), np.uint8)).tobytes().decode() == "äéñ×ß"
+    lex = toxicity.Lexicon({"ärger": 2.0})
+    assert toxicity.text_scores(pa.array(["ÄRGER"]), lex)[0, 0] == 2.0
+
+
+def slow_score(text, units):
+    """Clauses by hand: every word in turn, with what stands before it and after."""
+    import re
+
+    kinds = {w: k for k, ws in toxicity.WORDS.items() for w in ws.split()}
+    total = 0.0
+    for clause in re.split(r"[.!?;:\n]", text.lower()):
+        items = re.findall(r'[a-z\x80-\U0010ffff]+|"', clause)
+        said = lambda w: "quote" if w == '"' else units.get(w) or kinds.get(w)
+
+        def softened(words):
+            told = quoted = False
+            out = []
+            for w in words:
+                k = said(w)
+                if k == "quote":
+                    told, quoted = told and not quoted, told and not quoted
+                elif k == toxicity.REPORT and not quoted:
+                    told = True
+                out.append(0.5 if quoted else 0.8 if told else 1.0)
+            return out
+
+        ahead, behind = softened(items), softened(items[::-1])[::-1]
+        since, aimed = 9, False
+        for w, a, b in zip(items, ahead, behind, strict=True):
+            k = said(w)
+            insult = isinstance(k, float) or k == toxicity.THREAT
+            if k == toxicity.NEGATION:
+                since = 0
+            elif insult:
+                weight = k if isinstance(k, float) else 1.0
+                total += weight * a * b * (0.4 if since < 3 else 1.0) * ((1.3 if isinstance(k, float) else 2.0) if aimed else 1.0)
+            else:
+                since += 1
+                aimed = aimed or k == toxicity.TARGET
+    return total
+
+
+def test_grammar_equals_the_slow_way():
+    rng = np.random.default_rng(8)
+    pool = ["idiot", "zorgel", "kill", "you", "not", "said", '"', "fine", "day", "nie", ".", "the"]
+    texts = [" ".join(rng.choice(pool, 14)) for _ in range(300)]
+    units = {"idiot": 4.25, "zorgel": 2.5}
+    got = toxicity.text_scores(pa.array(texts), toxicity.Lexicon(units))[:, 0]
+    assert np.allclose(got, [slow_score(t, units) for t in texts])
+
+
+def test_the_filter_keeps_columns_named_like_its_own(labelled, spark):
+    docs, labels, _ = labelled
+    named = docs.selectExpr("*", "'keep' as score", "'k' as n_clauses")
+    kept = toxicity.keep_civil(named, labels)
+    assert kept.columns == named.columns and {(r.score, r.n_clauses) for r in kept.collect()} == {("keep", "k")}
+
+
 def test_composition_multiplies():
     s = toxicity.clause_score([toxicity.TARGET, toxicity.NEGATION, toxicity.INSULT], [0, 0, 1.0])
     assert s == pytest.approx(1.3 * 0.4)
@@ -139,6 +216,42 @@ def test_ngrams_equal_the_slow_way():
         assert sorted(np.unique(seen[i], return_counts=True)[1]) == sorted(counts.values()), t
 
 
+def test_only_letters_count():
+    texts = pa.array(["😀😀", "12 — !", "𝒳", "ab😀ab", b"\xff\xfe".decode("latin-1"), "中文"])
+    assert np.concatenate([has for *_, has in language.grams(texts)]).tolist() == [False, False, True, True, True, True]
+    profiles = language.Profiles.of([("en", int(c), k) for k, c in enumerate(np.unique(next(language.grams(pa.array(["the cat"])))[2]))], 400)
+    names, score = profiles.judge(texts)
+    assert names[:2] == ["und", "und"] and score[:2].tolist() == [0.0, 0.0]
+
+
+def test_distance_and_score_equal_the_slow_way():
+    train = {"en": "the cat and the dog and the rat", "de": "der hund und die katze und die maus", "xx": "zzz qqq"}
+    rows, length = [], 30
+    places = {}
+    for lang, t in train.items():
+        code, _, rank = language.ranked(*next(language.grams(pa.array([t])))[2:4], length)
+        rows += [(lang, int(c), int(r)) for c, r in zip(code, rank, strict=True)]
+        places[lang] = {int(c): int(r) for c, r in zip(code, rank, strict=True)}
+    profiles = language.Profiles.of(rows, length)
+    texts = ["the rat", "die maus und", "qqq", "a", "the hund"]
+    names, scores_ = profiles.judge(pa.array(texts))
+    for t, name, score in zip(texts, names, scores_, strict=True):
+        code, _, rank = language.ranked(*next(language.grams(pa.array([t])))[2:4], length)
+        near = {}
+        for lang, known in places.items():
+            near[lang] = 1 - sum(abs(known[int(c)] - int(r)) if int(c) in known else length for c, r in zip(code, rank, strict=True)) / (len(code) * length)
+        best = max(sorted(near), key=lambda k: near[k])
+        assert name == best and score == pytest.approx(1 / sum(np.exp(20 * (v - near[best])) for v in near.values()))
+
+
+def test_one_very_long_text(spark):
+    text = "the quick brown fox jumps over the lazy dog " * 60_000
+    docs = spark.createDataFrame([(1, text, "en"), (2, "der schnelle braune fuchs", "de"), (3, "the lazy dog", "en"), (4, "und der fuchs", "de"), (5, "the fox", "en")], "doc_id long, text string, lang string")
+    assert len(language.predicted(docs).collect()) == 5
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 6)], "doc_id long, quality int, toxic int")
+    assert quality.judged(docs, labels).count() == 5 and toxicity.judged(docs, labels).count() == 5
+
+
 def test_language_of_odd_rows(spark, odd_docs, no_docs):
     got = {}
     for r in language.predicted(odd_docs).collect():

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import cut
 
 #: Bytes of benchmark text that one pass over the documents looks for.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 FILTER_BITS = 21
 
 _SEPARATOR = np.ones(256, bool)
@@ -58,21 +59,28 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], q: int, rate: float, segment: int):
         self.q, self.rate = q, rate
-        self.item, self.text, hashes, owner, place = [], [], [], [], []
+        self.item, self.text, hashes, owner, place, short = [], [], [], [], [], []
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             form = normal_form(raw, np.array([0, len(raw)]))[0].tobytes().strip()
             cuts = [(0, len(form))] if len(form) <= segment else [(s, s + segment) for s in [*range(0, len(form) - segment, segment // 2), len(form) - segment]]
             for s, e in cuts:
-                if self.needed(e - s) >= 1:
+                if s == e:
+                    continue
+                if e - s < q:
+                    short.append((item, form[s:e]))
+                else:
                     h = grams(np.frombuffer(form[s:e], np.uint8), q)
                     hashes.append(h)
                     owner.append(np.full(len(h), len(self.item)))
                     place.append(np.arange(len(h)))
                     self.item.append(item)
                     self.text.append(form[s:e])
+        #: items of fewer than q bytes, found as whole words only
+        self.short = [i for i, _ in short]
+        self.brief = {n: sorted((K.span_hash(K.prefix_sums(K.BYTE_VALUE[np.frombuffer(f, np.uint8)]), np.array([0]), np.array([n]))[0], k) for k, (_, f) in enumerate(short) if len(f) == n) for n in {len(f) for _, f in short}}
         cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        h, owner, place = cat(hashes, np.uint64), cat(owner, np.int64), cat(place, np.int64)
+        h, owner, place = cat(hashes, np.uint64), cat(owner, np.int32), cat(place, np.int32)
         order = np.argsort(h, kind="stable")
         self.h, self.owner, self.place = h[order], owner[order], place[order]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
@@ -82,7 +90,8 @@ class Index:
         self.budget = max([self.edits(len(t)) for t in self.text], default=0)
 
     def edits(self, m: int) -> int:
-        return int(self.rate * m)
+        """At most rate times the length, and no more than the lemma has a bound for."""
+        return min(int(self.rate * m), (m - self.q) // self.q)
 
     def needed(self, m: int) -> int:
         return m - self.q + 1 - self.q * self.edits(m)
@@ -99,6 +108,25 @@ class Index:
         where = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
         return np.repeat(at, n), self.owner[where], self.place[where]
 
+    def words(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(row, place in short) of the short items that stand in texts in normal form as whole words."""
+        if not self.brief or not len(data):
+            return
+        space = np.concatenate([data == 0x20, [True]])
+        edge = np.zeros(len(data) + 1, bool)
+        edge[bounds] = True
+        starts = np.flatnonzero(~space[:-1] & (edge[:-1] | np.concatenate([[True], space[:-2]])))
+        sums = K.prefix_sums(K.BYTE_VALUE[data])
+        for n, known in self.brief.items():
+            ends = starts + n
+            ok = ends <= bounds[np.searchsorted(bounds, starts, "right")]
+            at = starts[ok]
+            at = at[space[at + n] | edge[at + n]]
+            h, row = K.span_hash(sums, at, at + n), np.searchsorted(bounds, at, "right") - 1
+            for value, k in known:
+                for r in np.unique(row[h == value]).tolist():
+                    yield r, k
+
     def found(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
         """(row, segment, edits) of the segments that occur within their budget."""
         pos, seg, place = self.hits(grams(data, self.q))
@@ -155,28 +183,33 @@ def banded_distance(pattern: bytes, text: bytes, budget: int) -> int | None:
 
 def _index_blocks(bench: DataFrame, q: int, rate: float, segment: int) -> Iterator[Index]:
     """One index for each block of the benchmark; a block is bounded, whatever the benchmark's size."""
-    bench = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    bench = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK))
     for block in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        yield Index(sorted((r.item_id, r.text) for r in rows), q, rate, segment)
+        yield Index(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])), q, rate, segment)
 
 
-def _rows(batch: pa.RecordBatch, index: Index) -> Iterator[tuple[int, int, int]]:
+def _rows(batch: pa.RecordBatch, index: Index) -> Iterator[tuple[int, int | None, int]]:
+    """(row, item, edits) of each segment of an item that is found."""
     for first, _, data, bounds in K.chunks(batch.column("text")):
         data, bounds = normal_form(data, bounds)
         for row, segment, edits in index.found(data, bounds):
-            yield row + first, segment, edits
+            yield row + first, index.item[segment], edits
+        for row, k in index.words(data, bounds):
+            yield row + first, index.short[k], 0
 
 
 def matches(docs: DataFrame, bench: DataFrame, q: int = 10, rate: float = 0.06, segment: int = 200) -> DataFrame:
     """(doc_id, item_id, n_segments, edits): the benchmark items that occur in documents.
 
     Texts are compared in lower case with runs of signs and spaces as one space. An item
-    occurs if one of its segments occurs with edits up to rate times its length; edits is
-    the fewest of any segment. Null or empty texts and items too short for the bound
-    match nothing. Repeated rows give a row each; a null doc_id keeps its matches.
+    occurs if one of its segments occurs with edits up to rate times its length, and no more
+    than the lemma allows for (none under 20 bytes); edits is the fewest of any segment. An
+    item of fewer than q bytes occurs where it stands as whole words. Null or empty texts
+    match nothing. Repeated rows give a row each, rows that repeat an item_id are parts of
+    one item, and null ids of either side keep their matches.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -187,9 +220,9 @@ def matches(docs: DataFrame, bench: DataFrame, q: int = 10, rate: float = 0.06,
         def run(batches, held=held):
             for batch in batches:
                 index, best = held.value, {}
-                for row, segment, edits in _rows(batch, index):
-                    n, least = best.get((row, index.item[segment]), (0, edits))
-                    best[row, index.item[segment]] = n + 1, min(least, edits)
+                for row, item, edits in _rows(batch, index):
+                    n, least = best.get((row, item), (0, edits))
+                    best[row, item] = n + 1, min(least, edits)
                 rows = pa.array([r for r, _ in best], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), pa.array([i for _, i in best], pa.int64()), pa.array([n for n, _ in best.values()], pa.int64()), pa.array([e for _, e in best.values()], pa.int64())], ["doc_id", "item_id", "n_segments", "edits"])
 
@@ -199,9 +232,14 @@ def matches(docs: DataFrame, bench: DataFrame, q: int = 10, rate: float = 0.06,
 
 
 def clean(docs: DataFrame, bench: DataFrame, q: int = 10, rate: float = 0.06, segment: int = 200) -> DataFrame:
-    """The rows of docs in whose text no benchmark item occurs; nothing is shuffled."""
+    """The rows of docs in whose text no benchmark item occurs (see matches); nothing is shuffled.
+
+    What one block of the benchmark leaves is written before the next is looked for, so a
+    worker holds one index only.
+    """
     spark = docs.sparkSession
-    for index in _index_blocks(bench, q, rate, segment):
+    for k, index in enumerate(_index_blocks(bench, q, rate, segment)):
+        docs = cut(docs) if k else docs
         held = spark.sparkContext.broadcast(index)
 
         def run(batches, held=held):

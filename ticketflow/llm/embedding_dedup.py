@@ -270,6 +270,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     sound = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     usable = whole.where("vec_id is not null and embedding is not null").where(F.size("embedding") > 0).where(sound)
+    # lengths that squares cannot hold are brought into range by a power of two, which changes no angle
+    size = F.array_max(F.transform("embedding", F.abs))
+    by = F.when(size > 1e100, 2.0**-700).when(size < 1e-100, 2.0**700)
+    usable = usable.withColumn("by", by).withColumn("embedding", F.when(F.col("by").isNull(), F.col("embedding")).otherwise(F.transform("embedding", lambda x: x * F.col("by"))))
     usable = usable.withColumn("norm", norm).where((F.col("norm") > 0) & (F.col("norm") < float("inf"))).select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
     same = ["h1", "h2"]
     classes = cut(usable.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.min("embedding").alias("embedding")))

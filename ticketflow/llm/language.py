@@ -25,18 +25,17 @@ UNKNOWN = "und"
 #: Languages that one model may tell apart.
 LANGUAGES = 2_000
 
-_CODES = 1 << 16
+#: Bits of a letter: none has a code point of more.
+_BITS = np.uint64(18)
 
 
 def _letters() -> np.ndarray:
-    """For each UTF-16 unit its lower-case letter, or 0 if it is none; halves of pairs count as letters."""
-    out = np.zeros(_CODES, np.uint16)
-    for c in range(_CODES):
-        if 0xD800 <= c < 0xE000:
-            out[c] = c
-        elif chr(c).isalpha():
+    """For each code point its lower-case letter, or 0 if it is none."""
+    out = np.zeros(0x110000, np.uint32)
+    for c in range(1 << 18):
+        if chr(c).isalpha():
             low = chr(c).lower()
-            out[c] = ord(low) if len(low) == 1 and ord(low) < _CODES else c
+            out[c] = ord(low) if len(low) == 1 else c
     return out
 
 
@@ -49,42 +48,49 @@ def letters() -> np.ndarray:
     return _letters_cache[0]
 
 
+def _points(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts end to end, and how many each has; broken bytes become a sign of their own."""
+    raw = data.tobytes()
+    points = lambda b: np.frombuffer(b.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    found = points(raw)
+    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
+    if heads[-1] == len(found):
+        return found, np.diff(heads)
+    each = [points(raw[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return np.concatenate(each), np.array([len(u) for u in each])
+
+
 def grams(text: pa.Array):
     """(first row, last row + 1, n-gram codes, their rows, which rows have a letter) of runs of rows.
 
-    Words are runs of letters, with a 0 before and after; a code is the n letters in base
-    2**16, so it tells the n-gram exactly.
+    Words are runs of letters, with a 0 before and after; a code is the n letters side by
+    side, so it tells the n-gram exactly.
     """
     for first, last, data, bounds in K.chunks(text):
-        raw = data.tobytes()
-        units = [np.frombuffer(raw[a:b].decode("utf-8", "replace").encode("utf-16-le"), np.uint16) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        sizes = np.array([len(u) for u in units])
+        points, sizes = _points(data, bounds)
         # a 0 on either side of each document
-        at = np.zeros(len(units) + 1, np.int64)
-        np.cumsum(sizes + 1, out=at[1:])
-        x = np.zeros(at[-1] + 1, np.uint64)
-        row = np.repeat(np.arange(len(units)), sizes + 1)
-        row = np.append(row, max(len(units) - 1, 0))
-        for u, a in zip(units, at[:-1].tolist(), strict=True):
-            x[a + 1 : a + 1 + len(u)] = letters()[u]
+        row = np.repeat(np.arange(last - first), sizes + 1)
+        row = np.append(row, last - first - 1)
+        x = np.zeros(len(row), np.uint64)
+        x[np.arange(len(points)) + np.repeat(np.arange(1, len(sizes) + 1), sizes)] = letters()[points]
         one = x > 0
         has = np.bincount(row[one], minlength=last - first) > 0
         codes, rows = [x[one]], [row[one]]
-        pair = (x[:-1] << np.uint64(16)) | x[1:]
+        pair = (x[:-1] << _BITS) | x[1:]
         keep = one[:-1] | one[1:]
         # the 0 between two documents belongs to the next one; its pair with the last letter to the one before
-        codes.append(pair[keep] + np.uint64(1 << 40))
+        codes.append(pair[keep] | np.uint64(1 << 60))
         rows.append(np.where(one[:-1], row[:-1], row[1:])[keep])
-        triple = (pair[:-1] << np.uint64(16)) | x[2:]
+        triple = (pair[:-1] << _BITS) | x[2:]
         keep = one[1:-1]
-        codes.append(triple[keep] + np.uint64(1 << 50))
+        codes.append(triple[keep] | np.uint64(1 << 61))
         rows.append(row[1:-1][keep])
         yield first, last, np.concatenate(codes), np.concatenate(rows), has
 
 
 def ranked(codes: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code, row, rank) of the most frequent n-grams of each row; ties go to the smaller code."""
-    # all codes are under 2**51, so a row and a scramble of the code share one sort key
+    # a row and a scramble of the code share one sort key
     tag = (rows.astype(np.uint64) << np.uint64(40)) | (K.mix(codes) >> np.uint64(24))
     order = np.argsort(tag)
     tag = tag[order]
@@ -125,8 +131,7 @@ class Profiles:
             far = np.abs(self.ranks[where] - rank[:, None])
             far[where == len(self.codes)] = self.length
             far = np.where(self.ranks[where] == self.length, self.length, far)
-            total = np.zeros((last - first, len(self.languages)))
-            np.add.at(total, row, far)
+            total = np.stack([np.bincount(row, far[:, k], last - first) for k in range(len(self.languages))], axis=1)
             worst = np.maximum(np.bincount(row, minlength=last - first) * self.length, 1)[:, None]
             near = 1 - total / worst
             best = near.argmax(axis=1)

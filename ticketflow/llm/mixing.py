@@ -50,14 +50,15 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, flatten: floa
     of its own; a null doc_id hashes as an empty one; rows that repeat a doc_id get the same
     number of copies. Texts are not looked at. Columns copy and shuffle_key are replaced.
     """
-    docs = docs.select([c for c in docs.columns if c not in ("copy", "shuffle_key")])
-    r = cut(rates(docs, weights, flatten, epochs)).select(F.col("source").alias("__source"), "cdf")
+    names = [f"`{c}`" for c in docs.columns if c not in ("copy", "shuffle_key")]
+    docs = docs.select(names)
+    r = cut(rates(docs, weights, flatten, epochs)).select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
     if r.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         r = F.broadcast(r)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     drawn = docs.select("*", unit_hash(F.lit(str(seed)), key).alias("__u"))
-    counted = drawn.join(r, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__n", F.expr("size(filter(cdf, c -> c <= __u))"))
-    copies = counted.where("__n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
+    counted = drawn.join(r, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__n", F.expr("size(filter(__cdf, c -> c <= __u))"))
+    copies = counted.where("__n > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
     keyed = copies.withColumn("shuffle_key", F.substring(F.md5(F.concat_ws("/", F.lit(f"{seed}s"), key, F.col("copy").cast("string")).cast("binary")), 1, 16))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 

@@ -151,7 +151,22 @@ def joined_words(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, ends:
     return pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(total[bounds].astype(np.int32)), pa.py_buffer(data[mask]))
 
 
-def _removal(window: int, names: list[str]):
+def _less(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray, removed: np.ndarray) -> pa.Array:
+    """The texts without the removed words and what parts each from the next word; all else stays as it is."""
+    gone = np.flatnonzero(removed)
+    stop = ends.copy()
+    inner = np.flatnonzero(np.diff(K.owners(firsts)) == 0)
+    stop[inner] = starts[inner + 1]
+    edges = np.zeros(len(data) + 1, np.int8)
+    np.add.at(edges, starts[gone], 1)
+    np.add.at(edges, stop[gone], -1)
+    mask = np.cumsum(edges[:-1], dtype=np.int8) == 0
+    total = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(mask, out=total[1:])
+    return pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(total[bounds].astype(np.int32)), pa.py_buffer(data[mask]))
+
+
+def _removal(window: int, names: list[str], layout: bool):
     def run(batches):
         for batch in batches:
             for first, last, data, bounds in K.chunks(batch.column("text")):
@@ -166,7 +181,7 @@ def _removal(window: int, names: list[str]):
                     np.add.at(gone, at + window, -1)
                 removed = np.cumsum(gone[:-1]) > 0
                 total = np.concatenate([[0], np.cumsum(removed)])[firsts]
-                text = joined_words(data, bounds, starts, ends, firsts, ~removed)
+                text = _less(data, bounds, starts, ends, firsts, removed) if layout else joined_words(data, bounds, starts, ends, firsts, ~removed)
                 made = {"text": text, "n_words": pa.array(np.diff(firsts)), "n_removed": pa.array(np.diff(total))}
                 yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n).slice(first, last - first) for n in names], names)
 
@@ -177,13 +192,14 @@ def _grouped(rows: DataFrame, value: str, name: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_list(value).alias(name))
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, period: int = 7) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, period: int = 7, layout: bool = False) -> DataFrame:
     """docs with repeated passages cut from text, plus n_words and n_removed.
 
     A word is cut if a window of so many consecutive words covers it whose sequence also
     starts in a document with a smaller doc_id; windows are judged on the input. text
-    becomes the words left, joined by one space. A null text has no words and becomes
-    empty. A row with a null doc_id loses nothing and is nothing's earlier document; rows
+    becomes the words left, joined by one space; with layout it stays as it is but for the
+    words cut, so a text that loses nothing is unchanged. A null text has no words and
+    becomes empty. A row with a null doc_id loses nothing and is nothing's earlier document; rows
     that repeat a doc_id are not earlier than each other. Columns named n_words or
     n_removed are replaced; all others are kept. An empty table gives an empty one.
     """
@@ -204,6 +220,6 @@ def remove_repeats(docs: DataFrame, window: int = 13, period: int = 7) -> DataFr
     late = _grouped(late, "w1", "ws")
 
     out = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("rest", kind), StructField("n_words", LongType()), StructField("n_removed", LongType())])
-    left = base.join(late.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_removal(window, out.names), out)
+    left = base.join(late.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_removal(window, out.names, layout), out)
     own = [F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns if c not in ("n_words", "n_removed")]
     return left.select(*own, "n_words", "n_removed")

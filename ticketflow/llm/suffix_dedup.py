@@ -175,7 +175,7 @@ def interval_tree(suffixes: list[tuple[bytes, int]], length: int) -> list[tuple[
 def _repeats(length: int):
     """Spans of repeats among the tiles of each (g, salt); for split anchors also one row a window.
 
-    Rows: (kind, w, doc_id, start, size). kind 0 is a span of a maximal repeat, 1 a window of a
+    Rows: (kind, w, w2, doc_id, start, size), w and w2 being two hashes of a window. kind 0 is a span of a maximal repeat, 1 a window of a
     split anchor that this part saw once, 2 one of the windows that it saw more often.
     """
 
@@ -247,13 +247,14 @@ def _batch(raw, bounds, doc, lo, n, split, length):
                 spans[0].append(doc[tile[i]])
                 spans[1].append(lo[tile[i]] + index[i])
                 spans[2].append(size)
-    names = ["kind", "w", "doc_id", "start", "size"]
+    names = ["kind", "w", "w2", "doc_id", "start", "size"]
     m = len(spans[0])
-    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(np.zeros(m, np.int64)), pa.array(spans[0], pa.int64()), pa.array(spans[1], pa.int64()), pa.array(spans[2], pa.int64())], names)
+    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(spans[0], pa.int64()), pa.array(spans[1], pa.int64()), pa.array(spans[2], pa.int64())], names)
     if split.any():
         one = order[start][split[tile[order[start]]]]
         kind = np.where(count[of[start]] > 1, 2, 1)[split[tile[order[start]]]].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(K.as_signed(h[one])), pa.array(doc[tile[one]]), pa.array(lo[tile[one]] + index[one]), pa.array(np.full(len(one), length))], names)
+        other = K.prefix_sums(K.mix(K.BYTE_VALUE)[raw])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(K.as_signed(h[one])), pa.array(K.as_signed(K.span_hash(other, at[one], at[one] + length))), pa.array(doc[tile[one]]), pa.array(lo[tile[one]] + index[one]), pa.array(np.full(len(one), length))], names)
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 50) -> DataFrame:
@@ -274,9 +275,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 50) -> DataFr
     dealt = shared.join(crowded, "g", "left").select("doc_id", F.struct("g", F.pmod(F.xxhash64("doc_id", "lo"), parts).cast("int").alias("salt"), F.col("m").isNotNull().alias("split"), "lo", "n").alias("t"))
     listed = dealt.groupBy("doc_id").agg(F.collect_list("t").alias("tiles"))
     contexts = base.where("doc_id is not null").join(listed.hint("shuffle_hash"), "doc_id").mapInArrow(_contexts(length), "g long, salt int, split boolean, doc_id long, lo int, n int, ctx binary")
-    met = contexts.repartition("g", "salt").sortWithinPartitions("g", "salt").mapInArrow(_repeats(length), "kind int, w long, doc_id long, start long, size long")
+    met = contexts.repartition("g", "salt").sortWithinPartitions("g", "salt").mapInArrow(_repeats(length), "kind int, w long, w2 long, doc_id long, start long, size long")
     met = cut(met)
-    apart = met.where("kind > 0").selectExpr("kind", "doc_id", "start", "size", "count(1) over (partition by w) as n").where("kind = 1 and n > 1")
+    apart = met.where("kind > 0").selectExpr("kind", "doc_id", "start", "size", "count(1) over (partition by w, w2) as n").where("kind = 1 and n > 1")
     # a window seen often in one part and never again needs nothing more; one seen in two parts marks both
     return whole.union(met.where("kind = 0").select("doc_id", "start", "size")).union(apart.select("doc_id", "start", "size"))
 

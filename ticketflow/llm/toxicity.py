@@ -26,8 +26,8 @@ from . import kernels as K
 from .learning import held_out, labelled_sample
 from .ngram_join import shingles
 
-#: Labelled rows learned from and units of the lexicon, at most.
-SAMPLE, LEXICON = 20_000, 4_000
+#: Labelled rows learned from, at most; it bounds the lexicon too, as a unit needs a share of them.
+SAMPLE = 20_000
 #: A unit must be seen in so many toxic texts, and in this share of them.
 SUPPORT, SHARE = 4, 0.01
 STEMS = (4, 5, 6, 7)
@@ -40,7 +40,7 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
 WORDS = {
     THREAT: "kill hurt destroy beat punch burn stab shoot töten umbringen schlagen verletzen tuer frapper détruire matar golpear destruir",
     TARGET: "you your yours he him she her they them their everyone people du dich dir dein ihr euch sie er tu toi vous votre ils elles il elle tú usted ustedes vosotros ellos ellas él ella",
-    NEGATION: "not no never neither nor hardly nicht kein keine nie niemals ne pas non jamais aucun ni nunca jamás ningún tampoco",
+    NEGATION: "not no never neither nor hardly cannot nicht kein keine keinen nie niemals ne pas non jamais aucun ni nunca jamás ningún tampoco",
     REPORT: "said says say told wrote quoted claimed called reported sagte sagt schrieb nannte behauptete dit disait écrit appelé dijo dice escribió llamó",
 }
 
@@ -50,6 +50,39 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?;:\n"]] = True
 _QUOTE = np.zeros(256, bool)
 _QUOTE[ord('"')] = True
+# Last bytes of the signs of two and three bytes that are no letters, and what they are read as.
+_TWO = {0xA0: " ", 0xA1: ".", 0xA7: " ", 0xAB: '"', 0xB0: " ", 0xB4: "'", 0xB7: " ", 0xBB: '"', 0xBF: "."}
+_THREE = {**dict.fromkeys(range(0x80, 0x98), " "), 0xAF: " ", 0x98: "'", 0x99: "'", 0x9A: '"', 0x9C: '"', 0x9D: '"', 0x9E: '"', 0x9F: '"', 0xA2: " ", 0xA6: ".", 0xB9: '"', 0xBA: '"'}
+
+
+def read_signs(data: np.ndarray) -> np.ndarray:
+    """The bytes in lower case (ASCII and accented Latin letters), with typographic signs as plain ones in each of their bytes."""
+    data = K.lower_ascii(data)
+    capital = np.zeros(len(data), bool)
+    capital[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    out = np.where(capital, data + 0x20, data).astype(np.uint8)
+    for head, table in (([0xC2], _TWO), ([0xE2, 0x80], _THREE)):
+        n = len(head)
+        if len(data) <= n:
+            continue
+        at = np.flatnonzero(np.all([data[i : len(data) - n + i] == b for i, b in enumerate(head)], axis=0))
+        sign = np.zeros(256, np.uint8)
+        sign[list(table)] = [ord(c) for c in table.values()]
+        found = sign[data[at + n]]
+        for i in range(n + 1):
+            out[at[found > 0] + i] = found[found > 0]
+    # a sign of several bytes is one mark
+    again = np.flatnonzero((out[1:] == ord('"')) & (data[1:] >= 0x80) & (data[1:] < 0xC0)) + 1
+    out[again] = 0x20
+    return out
+
+
+def contracted(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which words are the t of a contracted not, as in aren't, by either apostrophe."""
+    at = lambda k: data[np.maximum(starts - k, 0)]
+    mark, n = ord("'"), ord("n")
+    alone = (ends - starts == 1) & (data[starts] == ord("t")) & (starts > 1) if len(starts) else np.zeros(0, bool)
+    return alone & (at(1) == mark) & ((at(2) == n) | (at(2) == mark) & (at(3) == mark) & (at(4) == n))
 
 
 @dataclass(frozen=True)
@@ -92,15 +125,23 @@ def _report() -> Transducer:
 
 
 GRAMMAR = _negation().compose(_target()).compose(_report())
+#: Read from the end of a clause, for speech whose report follows it.
+BACKWARD = _report()
+#: Passes all weights on as they are.
+NEUTRAL = Transducer(1, {})
 
 
-def clause_score(symbols: list[int], weights: list[float], grammar: Transducer = GRAMMAR) -> float:
-    state, score = 0, 0.0
-    for symbol, weight in zip(symbols, weights, strict=True):
+def _factors(symbols: list[int], grammar: Transducer) -> list[float]:
+    state, out = 0, []
+    for symbol in symbols:
         state, factor = grammar.step(state, symbol)
-        if symbol in (INSULT, THREAT):
-            score += weight * factor
-    return score
+        out.append(factor)
+    return out
+
+
+def clause_score(symbols: list[int], weights: list[float], grammar: Transducer = GRAMMAR, backward: Transducer = BACKWARD) -> float:
+    ahead, back = _factors(symbols, grammar), _factors(symbols[::-1], backward)[::-1]
+    return sum(w * a * b for symbol, w, a, b in zip(symbols, weights, ahead, back, strict=True) if symbol in (INSULT, THREAT))
 
 
 @dataclass
@@ -152,12 +193,14 @@ def letter_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return K.words(np.where(_LETTER[data], data, 0x20), bounds)
 
 
-def text_scores(text: pa.Array, lexicon: Lexicon) -> np.ndarray:
+def text_scores(text: pa.Array, lexicon: Lexicon, grammar: Transducer = GRAMMAR, backward: Transducer = BACKWARD) -> np.ndarray:
     """Per text: the sum of its clauses' scores, the largest, and the number of clauses that score."""
     out = np.zeros((len(text), 3))
     for first, _, data, bounds in K.chunks(text):
+        data = read_signs(data)
         starts, ends, firsts = letter_words(data, bounds)
-        kind, weight = lexicon.read(K.lower_ascii(data), starts, ends)
+        kind, weight = lexicon.read(data, starts, ends)
+        kind[contracted(data, starts, ends)] = NEGATION
         hot = np.flatnonzero((kind == INSULT) | (kind == THREAT))
         if not len(hot):
             continue
@@ -167,10 +210,10 @@ def text_scores(text: pa.Array, lexicon: Lexicon) -> np.ndarray:
         for c in np.unique(clause[hot]):
             a, b = np.searchsorted(clause, [c, c + 1])
             places = [(int(starts[i]), int(kind[i]), float(weight[i])) for i in range(a, b)]
-            low, high = starts[a], ends[b - 1]
+            low, high = stops[c - 1], stops[c] if c < len(stops) else len(data)
             marks = quotes[np.searchsorted(quotes, low) : np.searchsorted(quotes, high)]
             places = sorted(places + [(int(m), QUOTE, 0.0) for m in marks])
-            score = clause_score([k for _, k, _ in places], [w for _, _, w in places])
+            score = clause_score([k for _, k, _ in places], [w for _, _, w in places], grammar, backward)
             row = first + int(np.searchsorted(firsts, a, "right")) - 1
             out[row] += score, 0, score > 0
             out[row, 1] = max(out[row, 1], score)
@@ -182,9 +225,9 @@ def _units(batches):
     for batch in batches:
         counts = (Counter(), Counter())
         for y, text in zip(batch.column("y").to_pylist(), batch.column("text"), strict=True):
-            data = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.zeros(0, np.uint8)
+            data = read_signs(np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.zeros(0, np.uint8))
             starts, ends, _ = letter_words(data, np.array([0, len(data)]))
-            raw = K.lower_ascii(data).tobytes()
+            raw = data.tobytes()
             own = {raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)}
             own |= {w[:n] + b"*" for w in own for n in STEMS if len(w) > n}
             counts[y].update(own)
@@ -243,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
         units = sample.mapInArrow(_units, "unit string, pos long, neg long").groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         odds = (F.col("pos") + 0.5) / (pos + 1) / ((F.col("neg") + 0.5) / (neg + 1))
         units = units.where(~F.col("unit").contains("\ufffd")).where(F.col("pos") >= max(SUPPORT, SHARE * pos)).withColumn("w", F.log(odds)).where(F.col("w") >= float(np.log(ODDS)))
-        found = units.orderBy(F.desc("pos"), F.desc("w"), "unit").limit(LEXICON).collect()
+        found = units.orderBy(F.desc("pos"), F.desc("w"), "unit").collect()
         lexicon = Lexicon({r["unit"]: r["w"] for r in found})
 
         def features(batches):
@@ -287,5 +330,12 @@ def judged(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score below the threshold; nothing of docs is shuffled."""
-    return score(docs, train(docs, labels, most)).where(F.col("score") < threshold).select(docs.columns)
+    """The rows of docs that score below the threshold, as they are; nothing of docs is shuffled."""
+    model = train(docs, labels, most)
+
+    def run(batches):
+        for batch in batches:
+            f = text_scores(batch.column("text"), model.lexicon)
+            yield batch.filter(pa.array(model.probability(f) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -19,11 +19,8 @@ from .common import cut
 #: (action, host suffix, path prefix)
 GIVEN = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
-#: Words in a url that mark a page as unwanted where no label speaks.
-SEEDS = ("casino", "bets", "pills", "viagra", "porn", "xxx", "ads", "track", "tracker", "spam")
-
 BAD = "\u0001bad"
-#: Rules up to which the index is broadcast; the number kept is at most RULES.
+#: Rules up to which their index is broadcast; more meet the urls by a join.
 RULES = 2_000
 #: A rule's urls, at least, however small the support makes it.
 LEAST_URLS = 8
@@ -56,22 +53,17 @@ def tokens_of(host: Column, path: Column) -> Column:
 def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(items) of the pages with a label: their tokens, and BAD where the label is bad.
 
-    A page is bad if labels call its id of low quality or toxic, or if a seed word stands in
-    its url; a page without label or seed word says nothing. Labels of one id agree if any
-    is bad.
+    A page is bad if any label calls its id of low quality or toxic; one without says nothing.
     """
     told = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("told"))
-    seeded = F.arrays_overlap(F.transform("tokens", lambda t: F.substring(t, 3, 1 << 20)), F.array(*map(F.lit, SEEDS)))
-    known = pages.join(told, "page_id", "left").withColumn("bad", F.when(seeded, 1).otherwise(F.col("told")))
-    known = known.where("bad is not null")
-    return known.select(F.when(F.col("bad") == 1, F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
+    known = pages.join(told.where("told is not null"), "page_id")
+    return known.select(F.when(F.col("told") == 1, F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
 
 
-def mine(transactions: DataFrame, support: float = 0.002, confidence: float = 0.7, lift: float = 1.5, most: int = RULES) -> DataFrame:
+def mine(transactions: DataFrame, support: float = 0.002, confidence: float = 0.7, lift: float = 1.5) -> DataFrame:
     """(tokens, confidence, support) of the rules tokens => bad, of one or two tokens.
 
-    A pair is dropped if one of its tokens alone is a rule. At most so many are returned,
-    the most confident and best supported.
+    A pair is dropped if one of its tokens alone is a rule.
     """
     spark = transactions.sparkSession
     n = transactions.count()
@@ -83,14 +75,15 @@ def mine(transactions: DataFrame, support: float = 0.002, confidence: float = 0.
     if plain:
         transactions = transactions.select(F.array_except("items", F.array(*map(F.lit, plain))).alias("items"))
     transactions = transactions.where(F.size("items") > 0)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, LEAST_URLS / n)), minConfidence=confidence).fit(transactions)
+    told = max(1, transactions.count())
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support * n, LEAST_URLS) / told), minConfidence=confidence).fit(transactions)
     rules = model.associationRules.where(F.array_contains("consequent", BAD)).where(F.size("antecedent") <= 2).where(F.col("lift") >= lift)
-    rules = cut(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
+    rules = cut(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", (F.col("support") * told / n).alias("support")), drop=False)
     single = rules.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("t"))
     one, two = single.select(F.col("t").alias("t0")), single.select(F.col("t").alias("t1"))
     pairs = rules.where(F.size("tokens") == 2)
     pairs = pairs.join(one, F.col("tokens")[0] == F.col("t0"), "left_anti").join(two, F.col("tokens")[1] == F.col("t1"), "left_anti")
-    return rules.where(F.size("tokens") == 1).union(pairs).orderBy(F.desc("confidence"), F.desc("support"), "tokens").limit(most)
+    return rules.where(F.size("tokens") == 1).union(pairs)
 
 
 def given_rule(host: Column, path: Column, rules: Iterable[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -120,12 +113,19 @@ def judged(pages: DataFrame, labels: DataFrame, rules: Iterable[tuple[str, str,
     spark: SparkSession = pages.sparkSession
     pages = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("tokens", tokens_of(F.col("host"), F.col("path")))
     mined = cut(mine(labelled(pages, labels), support, confidence))
-    # bounded by RULES, so the index fits a broadcast and urls are not exploded to a shuffle
-    index = mined.select(F.col("tokens")[0].alias("t"), F.col("tokens").alias("need"), "confidence")
-    index = index.groupBy("t").agg(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "need"))).alias("found"))
-    lookup = index.agg(F.map_from_entries(F.collect_list(F.struct("t", "found"))).alias("posting"))
-    entries = F.flatten(F.transform("tokens", lambda t: F.coalesce(F.try_element_at(F.col("posting"), t), F.array().cast("array<struct<c:double,need:array<string>>>"))))
-    met = F.filter(entries, lambda e: F.size(F.array_except(e["need"], F.col("tokens"))) == 0)
-    hit = pages.crossJoin(F.broadcast(lookup)).withColumn("best", F.array_min(met))
+    index = mined.select(F.col("tokens")[0].alias("t"), F.struct((-F.col("confidence")).alias("c"), F.col("tokens").alias("need")).alias("e"))
+    holds = lambda e: F.size(F.array_except(e["need"], F.col("tokens"))) == 0
+    if index.limit(RULES + 1).count() <= RULES:
+        # the index fits a broadcast, so urls are not exploded to a shuffle
+        found = index.groupBy("t").agg(F.sort_array(F.collect_list("e")).alias("found"))
+        lookup = found.agg(F.map_from_entries(F.collect_list(F.struct("t", "found"))).alias("posting"))
+        entries = F.flatten(F.transform("tokens", lambda t: F.coalesce(F.try_element_at(F.col("posting"), t), F.array().cast("array<struct<c:double,need:array<string>>>"))))
+        hit = pages.crossJoin(F.broadcast(lookup)).withColumn("best", F.array_min(F.filter(entries, holds)))
+    else:
+        # what a url matches is a matter of its tokens, so equal lists are judged once
+        asked = pages.select("tokens").distinct()
+        met = asked.select("tokens", F.explode("tokens").alias("t")).join(index, "t").where(holds(F.col("e")))
+        best = met.groupBy("tokens").agg(F.min("e").alias("best"))
+        hit = pages.join(best, "tokens", "left")
     rule, action = given_rule(F.col("host"), F.col("path"), rules)
     return hit.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, F.when(F.col("best").isNotNull(), "block").otherwise("allow")).alias("verdict"), F.array_join(F.col("best.need"), " ").alias("matched"))
