@@ -133,3 +133,42 @@ def test_nearest_of_many_queries_in_blocks(spark):
     q = v.selectExpr("ticket_id as query_id", "vector as q").where("query_id % 2 = 0")
     whole, blocks = (sorted(map(tuple, similar.nearest_of_queries(v, q, 3, most_queries=n).collect())) for n in (30, 12))
     assert blocks == whole and len(whole) == 30 * 3
+
+
+def test_nearest_and_duplicates_equal_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.standard_normal((40, 6)), np.zeros((1, 6))])
+    x[20:26] = x[3]
+    rows = [(i, "AB"[i % 2], v.tolist()) for i, v in enumerate(x)] + [(50, "A", None), (51, "A", [1.0, 2.0]), (52, "A", [1.0] * 5 + [None]), (53, None, x[3].tolist()), (54, "A", [float("nan")] * 6)]
+    df = spark.createDataFrame(rows, "ticket_id long, category string, vector array<double>").repartition(3)
+    with np.errstate(invalid="ignore"):
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+    cos = {i: unit[i] for i in range(40)} | {53: unit[3]}
+    near = similar.nearest_of_queries(df, df.selectExpr("ticket_id as query_id", "vector as q").where("query_id in (0, 3, 40, 51)"), 5)
+    got = {}
+    for r in near.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.ticket_id, r.similarity))
+    for q in (0, 3):
+        want = sorted(((-round(float(cos[q] @ v), 12), i) for i, v in cos.items() if i != q))[:5]
+        assert [(i, -c) for c, i in want] == [(i, pytest.approx(s, abs=6e-5)) for i, s in got[q]]
+    assert got[40] == [(i, None) for i in range(5)]
+    # alone in its length, it has no neighbour with a direction
+    assert got[51] == [(i, None) for i in range(5)]
+    category = {i: c for i, c, _ in rows}
+    pairs = {(i, j) for i in cos for j in cos if i < j and category[i] == category[j] and category[i] and cos[i] @ cos[j] >= 0.5}
+    for block in (2048, 5):
+        assert {(r.a, r.b) for r in similar.duplicates(df, 0.5, block).collect()} == pairs
+
+
+def test_filters_on_the_analysis(spark):
+    t = spark.range(4).withColumn("status", F.lit("NEW"))
+    a = spark.createDataFrame([(0, "COMPTE", "HIGH", "NEG"), (1, "COMPTE", "LOW", "NEG"), (2, None, None, None)], "ticket_id long, category string, priority string, sentiment string")
+    ids = lambda **c: sorted(r.id for r in tickets.filtered(t, a, **c).collect())
+    assert ids(category=" compte ") == [0, 1] and ids(category="COMPTE", priority="low") == [1] and ids(priority=" ") == [0, 1, 2, 3]
+    assert {r.id: r.category for r in tickets.with_analyses(t, a).collect()} == {0: "COMPTE", 1: "COMPTE", 2: None, 3: None}
+    with pytest.raises(ValueError, match="priority"):
+        ids(priority="URGENT")
+    with pytest.raises(ValueError, match="analyses"):
+        tickets.filtered(t, priority="HIGH")

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 
 DUPLICATE, NEAREST, MOST_NEAREST = 0.92, 5, 50
+#: Vectors multiplied at once with a batch or block.
+TILE = 256
 
 
 def _checked(k: int) -> int:
@@ -45,38 +52,119 @@ def find(spark: SparkSession, vectors: DataFrame, tickets: DataFrame, ticket_id:
     return by_vector(vectors, tickets, vector or [0.0], k).where(F.lit(vector is not None))
 
 
+def _sound(t: pa.Table | pa.RecordBatch, key: str, vector: str, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and unit vectors of the rows that have a direction of this length, and the keys of the others."""
+    ids, v = t.column(key), t.column(vector)
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    fits = pc.fill_null(pc.equal(pc.list_value_length(v), length), False)
+    x = v.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, length)
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+    ok = np.isfinite(norm) & (norm > 0)
+    whole = np.flatnonzero(fits.to_numpy(zero_copy_only=False))[ok]
+    ids = np.asarray(ids.to_numpy()) if isinstance(ids, pa.ChunkedArray) else ids.to_numpy(zero_copy_only=False)
+    return ids[whole], x[ok] / norm[ok, None], np.delete(ids, whole)
+
+
+def _first_of_each(q: np.ndarray, ids: np.ndarray, cos: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each query: by cosine, those without one last, then by id."""
+    order = np.lexsort((ids, -np.nan_to_num(cos, nan=-2.0), q))
+    starts = np.flatnonzero(np.append(True, q[order][1:] != q[order][:-1])) if len(order) else np.zeros(0, np.int64)
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return order[rank < k]
+
+
+def _best(asked: pa.Table, k: int):
+    """(query_id, ticket_id, cos) of the k best rows of a task for each query."""
+    lengths = [n for n in pc.unique(pc.list_value_length(asked.column("q"))).to_pylist() if n]
+    blocks = [_sound(asked, "query_id", "q", n)[:2] for n in lengths]
+    known = np.concatenate([ids for ids, _ in blocks]) if blocks else np.zeros(0, np.int64)
+    dull = np.setdiff1d(asked.column("query_id").to_numpy(), known)
+
+    def near(batch, ids, unit):
+        """Candidates of a batch for queries of one length; k + 1 values, as one may be the query itself."""
+        rows, x, other = _sound(batch, "ticket_id", "vector", unit.shape[1])
+        rows, x = rows[order := np.argsort(rows, kind="stable")], x[order]
+        for s in range(0, len(ids), TILE):
+            # equal vectors must tie, whatever the order of a sum
+            cos = np.round(unit[s : s + TILE] @ x.T, 12)
+            if len(rows) > k + 1:
+                least = np.partition(cos, len(rows) - k - 1, axis=1)[:, len(rows) - k - 1]
+                i, j = np.nonzero(cos >= least[:, None])
+            else:
+                i, j = np.indices(cos.shape).reshape(2, -1)
+            yield ids[s + i], rows[j], cos[i, j]
+        few = np.sort(other)[: k + 1]
+        yield np.repeat(ids, len(few)), np.tile(few, len(ids)), np.full(len(ids) * len(few), np.nan)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for batch in batches:
+            few = np.sort(batch.column("ticket_id").to_numpy())[: k + 1]
+            parts = [held, (np.repeat(dull, len(few)), np.tile(few, len(dull)), np.full(len(dull) * len(few), np.nan))]
+            parts += [c for ids, unit in blocks for c in near(batch, ids, unit)]
+            q, ids, cos = (np.concatenate([p[n] for p in parts]) for n in range(3))
+            q, ids, cos = (v[q != ids] for v in (q, ids, cos))
+            held = tuple(v[_first_of_each(q, ids, cos, k)] for v in (q, ids, cos))
+        yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.int64()), pa.array(held[1], pa.int64()), pa.array(held[2], mask=np.isnan(held[2]))], ["query_id", "ticket_id", "cos"])
+
+    return run
+
+
 def nearest_of_queries(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, most_queries: int = 10_000) -> DataFrame:
     """(query_id, ticket_id, similarity, rank) of the k nearest of each query (query_id, q).
 
     The queries (query_id is distinct) are asked in blocks by a hash, of about half of most_queries each if
-    they are more; a block is broadcast, and each task keeps its best k of each query before they meet.
+    they are more. A block goes to every task, which multiplies it with its batches of vectors and keeps
+    its best k of each query before they meet. What has no direction (null, zero, another length, a
+    component that is no number) has a null similarity and comes last.
     """
+    queries = queries.select(F.col("query_id").cast("long"), "q")
     n = queries.count()
     blocks = 1 if n <= most_queries else -(-2 * n // most_queries)
     near = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("cos"), "ticket_id")
     found = None
     for i in range(blocks):
         asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
-        scored = vectors.crossJoin(F.broadcast(asked)).where("ticket_id <> query_id").select("query_id", "ticket_id", cosine(F.col("vector"), F.col("q")).alias("cos"))
+        scored = vectors.select(F.col("ticket_id").cast("long"), "vector").mapInArrow(_best(asked.toArrow(), k), "query_id long, ticket_id long, cos double")
         best = scored.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("query_id", "ticket_id", F.round("cos", 4).alias("similarity"), "rank")
         found = best if found is None else found.union(best)
     return found
 
 
-def duplicates(vectors: DataFrame, threshold: float = DUPLICATE, blocks: int = 8) -> DataFrame:
+def _close(threshold: float):
+    """The pairs at the threshold of a group: within it, or between its two sides."""
+
+    def run(keys: tuple, t: pa.Table) -> pa.Table:
+        length, i, j = (keys[n].as_py() for n in (1, 2, 3))
+        sides = [t] if i == j else [t.filter(pc.equal(t.column("mine"), side)) for side in (i, j)]
+        (a, x, _), (b, y, _) = (_sound(side, "ticket_id", "vector", length) for side in (sides[0], sides[-1]))
+        out = []
+        for s in range(0, len(a), TILE):
+            cos = np.round(x[s : s + TILE] @ y.T, 12)
+            u, v = np.nonzero(cos >= threshold)
+            first, second = a[s + u], b[v]
+            keep = first < second if i == j else first != second
+            out.append((np.minimum(first, second)[keep], np.maximum(first, second)[keep], cos[u, v][keep]))
+        cols = [np.concatenate([o[n] for o in out]) if out else np.zeros(0, kind) for n, kind in enumerate((np.int64, np.int64, np.float64))]
+        return pa.table([pa.array(c) for c in cols], names=["a", "b", "cos"])
+
+    return run
+
+
+def duplicates(vectors: DataFrame, threshold: float = DUPLICATE, block: int = 2048) -> DataFrame:
     """(a, b, similarity): all pairs of one category at the threshold or above, with a < b.
 
-    Exact, so the work is the square of a category's size; a category is dealt over pairs of
-    blocks, so that a large one is not one task's. For many vectors use likely_duplicates.
+    Exact, so the work is the square of a category's size; a category is cut into blocks of about so
+    many rows and its pairs of blocks are multiplied apart, so that a large one is not one task's. A vector
+    without direction, and one without category, has no duplicate. For many vectors use likely_duplicates.
     """
-    block = F.pmod(F.xxhash64("ticket_id"), F.lit(blocks)).cast("int")
-    own = vectors.withColumn("mine", block)
-    first = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    second = own.withColumn("other", F.col("mine")).withColumn("mine", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    a = first.select("category", F.col("mine").alias("i"), F.col("other").alias("j"), F.col("ticket_id").alias("a"), F.col("vector").alias("va"))
-    b = second.select("category", F.col("mine").alias("i"), F.col("other").alias("j"), F.col("ticket_id").alias("b"), F.col("vector").alias("vb"))
-    pairs = a.join(b, ["category", "i", "j"]).where("a < b").withColumn("cos", cosine(F.col("va"), F.col("vb")))
-    return pairs.where(F.col("cos") >= threshold).select("a", "b", F.round("cos", 4).alias("similarity"))
+    own = vectors.select("category", F.col("ticket_id").cast("long").alias("ticket_id"), "vector", F.size("vector").alias("length")).where("length > 0")
+    sizes = own.groupBy("category", "length").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = own.join(sizes, ["category", "length"]).withColumn("mine", F.pmod(F.xxhash64("ticket_id"), F.col("blocks").cast("long")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = dealt.select("category", "length", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "ticket_id", "vector")
+    pairs = groups.groupBy("category", "length", "i", "j").applyInArrow(_close(threshold), "a long, b long, cos double")
+    return pairs.select("a", "b", F.round("cos", 4).alias("similarity"))
 
 
 def likely_duplicates(vectors: DataFrame, threshold: float = DUPLICATE, tables: int = 8, bucket: float = 1.0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import excerpt
-from ..schemas import LANGUAGES, SOURCES, STATUSES
+from ..schemas import CATEGORIES, LANGUAGES, PRIORITIES, SENTIMENTS, SOURCES, STATUSES
 
 SORTS = {"createdAt": "created_at", "subject": "subject", "status": "status", "source": "source", "language": "language", "id": "id"}
 SIZE, MOST = 20, 100
@@ -65,8 +65,27 @@ def summary(tickets: DataFrame) -> DataFrame:
     return tickets.select("id", "external_ref", "source", "customer_email", "subject", excerpt(F.col("body")).alias("excerpt"), "language", "status", "created_at")
 
 
-def filtered(tickets: DataFrame, **criteria) -> DataFrame:
-    return reduce(lambda df, test: df.where(test), predicate(**criteria), tickets)
+def with_analyses(tickets: DataFrame, analyses: DataFrame) -> DataFrame:
+    """tickets with category, priority and sentiment of their analysis, NULL where there is none."""
+    found = analyses.select(F.col("ticket_id").alias("id"), "category", "priority", "sentiment")
+    return tickets.join(found, "id", "left")
+
+
+def filtered(tickets: DataFrame, analyses: DataFrame | None = None, category: str | None = None, priority: str | None = None, sentiment: str | None = None, **criteria) -> DataFrame:
+    """The tickets that meet the criteria that are given.
+
+    Criteria on the analysis ask for analyses (ticket_id, category, priority, sentiment); both
+    sides are filtered before they meet, and tickets without an analysis fail.
+    """
+    found = reduce(lambda df, test: df.where(test), predicate(**criteria), tickets)
+    asked = {"category": (category, CATEGORIES), "priority": (priority, PRIORITIES), "sentiment": (sentiment, SENTIMENTS)}
+    wanted = {name: v for name, (value, allowed) in asked.items() if (v := enum_value(value, allowed, name)) is not None}
+    if not wanted:
+        return found
+    if analyses is None:
+        raise ValueError(f"{', '.join(wanted)}: analyses are needed")
+    fit = reduce(lambda df, c: df.where(F.col(c) == wanted[c]), wanted, analyses)
+    return found.join(fit.select(F.col("ticket_id").alias("id")), "id", "left_semi")
 
 
 def search(tickets: DataFrame, page: int = 0, size: int = SIZE, sort: str | None = None, direction: str | None = None, **criteria) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, security, text, vectors
-from ..operators import evaluation, generation, ingest, similar, sinks, tickets
+from ..operators import evaluation, generation, ingest, ranking, reports, similar, sinks, tickets
 from ..schemas import CATEGORIES, IMPORTS, PRIORITIES, SENTIMENTS, violations
 from ..sources import cells, jsonl, sniff
 from ..streaming import bucket, consumer
@@ -83,9 +83,22 @@ def excerpt_projection(s, d):
 
 @query(f"WITH {views.TICKETS}, t AS (SELECT *, md5(id::VARCHAR) AS h FROM tickets), a AS (SELECT id, CASE WHEN substr(h, 1, 1) < '8' THEN 'HIGH' ELSE 'LOW' END AS priority FROM t WHERE id % 7 <> 0) SELECT t.id, a.priority FROM t LEFT JOIN a ON t.id = a.id WHERE a.priority = 'HIGH' AND t.status = 'NEW'")
 def ticket_filter_by_priority(s, d):
-    t = views.tickets(s, d)
-    a = t.where("id % 7 <> 0").select("id", F.when(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 1) < "8", "HIGH").otherwise("LOW").alias("priority"))
-    return tickets.filtered(t, status="NEW").join(a, "id").where("priority = 'HIGH'").select("id", "priority")
+    t, a = views.tickets(s, d), views.analyses(s, d)
+    found = tickets.filtered(t, a, priority=" high ", status="NEW")
+    return tickets.with_analyses(found, a).select("id", "priority")
+
+
+@query(f"""WITH {views.TICKETS}, {views.ANALYSES} SELECT t.id, category, sentiment FROM tickets t JOIN analyses a ON a.ticket_id = t.id
+WHERE category = 'FACTURATION' AND sentiment = 'NEG' AND language = 'fr'""")
+def ticket_filter_by_analysis(s, d):
+    t, a = views.tickets(s, d), views.analyses(s, d)
+    found = tickets.filtered(t, a, category="facturation", sentiment="neg", language="fr")
+    return tickets.with_analyses(found, a).select("id", "category", "sentiment")
+
+
+@query(f"WITH {views.TICKETS}, {views.ANALYSES} SELECT id, category, priority, sentiment FROM tickets LEFT JOIN analyses ON ticket_id = id")
+def tickets_with_analyses(s, d):
+    return tickets.with_analyses(views.tickets(s, d), views.analyses(s, d)).select("id", "category", "priority", "sentiment")
 
 
 @query("SELECT event_id AS id FROM events WHERE event_id = 42 AND event_type IS NOT NULL")
@@ -605,24 +618,40 @@ def event_messages(s, d):
 
 @query("""SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean_value, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY ALL""")
 def dashboard_daily(s, d):
-    e = views.table(s, d, "events")
-    q = lambda p: F.expr(f"percentile_disc({p}) within group (order by value)")
-    return e.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), q(0.5).alias("p50"), q(0.95).alias("p95"))
+    found = reports.daily(views.table(s, d, "events"), "ts", "event_type", "value")
+    return found.select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("mean", 6).alias("mean_value"), "p50", "p95")
 
 
 @query("SELECT dayofweek(ts)::INTEGER + 1 AS weekday, hour(ts)::INTEGER AS hour, count(*) AS n FROM events GROUP BY ALL")
 def dashboard_heatmap(s, d):
-    return views.table(s, d, "events").groupBy(F.dayofweek("ts").alias("weekday"), F.hour("ts").alias("hour")).agg(F.count("*").alias("n"))
+    return reports.heatmap(views.table(s, d, "events"), "ts")
+
+
+@query(f"""WITH {views.TICKETS}, {views.ANALYSES} SELECT count(*) AS n, round(avg(coalesce(escalated_to_llm, false)::INT::DOUBLE), 6) AS escalation_rate, round(avg(confidence), 6) AS mean_confidence,
+  quantile_disc(latency_ms, 0.5) AS p50_ms, quantile_disc(latency_ms, 0.95) AS p95_ms FROM analyses""")
+def dashboard_rates(s, d):
+    return reports.analysis_rates(views.analyses(s, d)).select("n", F.round("escalation_rate", 6).alias("escalation_rate"), F.round("mean_confidence", 6).alias("mean_confidence"), "p50_ms", "p95_ms")
+
+
+def _volumes(s, d):
+    return reports.volumes(views.table(s, d, "events"), "ts", "event_type").withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @query("""WITH h AS (SELECT event_type, date_trunc('day', ts) AS day, count(*)::DOUBLE AS n FROM events GROUP BY ALL), m AS (SELECT event_type, median(n) AS med FROM h GROUP BY event_type),
 x AS (SELECT h.*, med, abs(n - med) AS dev FROM h JOIN m USING (event_type)), y AS (SELECT event_type, median(dev) AS mad FROM x GROUP BY event_type)
 SELECT event_type, day, n, round(CASE WHEN mad > 0 THEN 0.6745 * (n - med) / mad END, 6) AS z FROM x JOIN y USING (event_type)""")
 def volume_anomaly(s, d):
-    h = views.table(s, d, "events").groupBy("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count("*").cast("double").alias("n"))
-    x = h.join(h.groupBy("event_type").agg(F.median("n").alias("med")), "event_type")
-    mad = x.groupBy("event_type").agg(F.median(F.abs(F.col("n") - F.col("med"))).alias("mad"))
-    return x.join(mad, "event_type").select("event_type", "day", "n", F.round(F.try_divide(0.6745 * (F.col("n") - F.col("med")), F.nullif("mad", F.lit(0.0))), 6).alias("z"))
+    return reports.robust_z(_volumes(s, d), "event_type", "n").select("event_type", "day", "n", F.round("z", 6).alias("z"))
+
+
+@query("""WITH h AS (SELECT event_type, date_trunc('day', ts) AS day, count(*)::DOUBLE AS n FROM events GROUP BY ALL),
+t AS (SELECT *, avg(n) OVER (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL 3 DAYS PRECEDING AND INTERVAL 3 DAYS FOLLOWING) AS trend FROM h),
+s AS (SELECT event_type, dayofweek(day) AS w, median(n - trend) AS season FROM t GROUP BY ALL), r AS (SELECT t.*, season, n - trend - season AS rest FROM t JOIN s ON s.event_type = t.event_type AND w = dayofweek(day)),
+m AS (SELECT event_type, median(rest) AS med FROM r GROUP BY event_type), x AS (SELECT r.*, rest - med AS off FROM r JOIN m USING (event_type)), y AS (SELECT event_type, median(abs(off)) AS mad FROM x GROUP BY event_type)
+SELECT event_type, day, n, round(trend, 6) AS trend, round(season, 6) AS season, round(CASE WHEN mad > 0 THEN 0.6745 * off / mad END, 5) AS z FROM x JOIN y USING (event_type)""")
+def volume_anomaly_seasonal(s, d):
+    found = reports.seasonal_anomaly(_volumes(s, d), "event_type")
+    return found.select("event_type", "day", "n", F.round("trend", 6).alias("trend"), F.round("season", 6).alias("season"), F.round("z", 5).alias("z"))
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -646,31 +675,16 @@ tf AS (SELECT doc_id, t, count(*)::DOUBLE AS tf FROM w WHERE t IN ('the', 'of',
 bm AS (SELECT doc_id, sum(ln(1 + ((SELECT count(*) FROM l) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT avg(len) FROM l)))) AS score FROM tf JOIN df USING (t) JOIN l USING (doc_id) GROUP BY doc_id)"""
 
 
-def bm25(docs: DataFrame, key: str, column: str, terms: tuple[str, ...]) -> DataFrame:
-    """(key, score) of the texts that hold a term."""
-    words = docs.select(key, F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}_]+"), lambda w: w != "").alias("w"))
-    lengths = words.select(key, F.size("w").cast("double").alias("len"), F.array(*[F.struct(F.lit(t).alias("t"), (F.size("w") - F.size(F.array_remove("w", t))).cast("double").alias("tf")) for t in terms]).alias("tfs"))
-    total = lengths.where("len > 0").agg(F.avg("len").alias("mean"), F.count("*").alias("n"))
-    tf = lengths.select(key, "len", F.explode("tfs").alias("x")).select(key, "len", "x.t", "x.tf").where("tf > 0")
-    df = tf.groupBy("t").agg(F.count("*").cast("double").alias("df"))
-    scored = tf.join(F.broadcast(df), "t").crossJoin(F.broadcast(total))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return scored.groupBy(key).agg(F.sum(idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean")))).alias("score"))
-
-
 @query(f"WITH {BM25_SQL} SELECT doc_id, round(score, 6) AS score FROM bm")
 def bm25_scores(s, d):
-    return bm25(views.table(s, d, "documents"), "doc_id", "text", ASKED).select("doc_id", F.round("score", 6).alias("score"))
+    return ranking.bm25(views.table(s, d, "documents"), "doc_id", "text", ASKED).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BM25_SQL}, r AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS a, row_number() OVER (ORDER BY doc_id) AS b FROM bm) SELECT doc_id, round(CASE WHEN a <= 20 THEN 1 / (60.0::DOUBLE + a) ELSE 0 END + CASE WHEN b <= 20 THEN 1 / (60.0::DOUBLE + b) ELSE 0 END, 9) AS fused FROM r WHERE a <= 20 OR b <= 20")
 def rank_fusion(s, d):
     """Reciprocal rank fusion of two top-20 lists; ranks come from lists cut by limit first."""
-    scored = bm25(views.table(s, d, "documents"), "doc_id", "text", ASKED).select("doc_id", F.round("score", 9).alias("r"))
-    top = lambda name, *order: scored.orderBy(*order).limit(20).select("doc_id", F.row_number().over(Window.orderBy(*order)).alias(name))
-    both = top("a", F.desc("r"), "doc_id").join(top("b", "doc_id"), "doc_id", "full_outer")
-    share = lambda c: F.coalesce(1 / (60.0 + F.col(c)), F.lit(0.0))
-    return both.select("doc_id", F.round(share("a") + share("b"), 9).alias("fused"))
+    scored = ranking.bm25(views.table(s, d, "documents"), "doc_id", "text", ASKED).select("doc_id", F.round("score", 9).alias("r"))
+    return ranking.fused(scored, "doc_id", [[F.desc("r"), "doc_id"], ["doc_id"]]).select("doc_id", F.round("fused", 9).alias("fused"))
 
 
 # --- generation ------------------------------------------------------------------------------

@@ -29,6 +29,23 @@ tickets AS (SELECT event_id AS id, CASE WHEN event_type <> 'view' THEN 'U' || us
   (['NEW', 'ANALYZED', 'IN_PROGRESS', 'RESOLVED', 'MERGED'])[event_id % 5 + 1] AS status, ts AS created_at FROM events)"""
 
 
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each ticket but every seventh, an analysis drawn from its id."""
+    of = lambda *values, by=1: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.floor(F.col("event_id") / by), F.lit(len(values))) + 1).cast("int"))
+    first = F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 1)
+    return table(spark, sf_dir, "events").where("event_id % 7 <> 0").select(
+        F.col("event_id").alias("ticket_id"), F.when(first < "8", "HIGH").otherwise("LOW").alias("priority"), of("TECHNIQUE", "FACTURATION", "COMPTE", "RECLAMATION", "DEMANDE").alias("category"),
+        of("NEG", "NEU", "POS", by=5).alias("sentiment"), (F.pmod(F.col("event_id") * 37, F.lit(100)) / 100).alias("confidence"), F.pmod(F.col("event_id") * 53, F.lit(997)).cast("int").alias("latency_ms"),
+        of(True, False, None, False).alias("escalated_to_llm"),
+    )
+
+
+ANALYSES = """
+analyses AS (SELECT event_id AS ticket_id, CASE WHEN substr(md5(event_id::VARCHAR), 1, 1) < '8' THEN 'HIGH' ELSE 'LOW' END AS priority, (['TECHNIQUE', 'FACTURATION', 'COMPTE', 'RECLAMATION', 'DEMANDE'])[event_id % 5 + 1] AS category,
+  (['NEG', 'NEU', 'POS'])[event_id // 5 % 3 + 1] AS sentiment, event_id * 37 % 100 / 100.0::DOUBLE AS confidence, (event_id * 53 % 997)::INTEGER AS latency_ms, ([true, false, NULL, false])[event_id % 4 + 1] AS escalated_to_llm
+  FROM events WHERE event_id % 7 <> 0)"""
+
+
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as tickets with long texts."""
     d = table(spark, sf_dir, "documents")
