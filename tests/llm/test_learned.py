@@ -111,8 +111,40 @@ def test_the_filter_keeps_columns_named_like_its_own(labelled, spark):
 
 
 def test_composition_multiplies():
-    s = toxicity.clause_score([toxicity.TARGET, toxicity.NEGATION, toxicity.INSULT], [0, 0, 1.0])
-    assert s == pytest.approx(1.3 * 0.4)
+    ahead, _ = toxicity.grammar()
+    state, factors = 0, []
+    for symbol in (toxicity.TARGET, toxicity.NEGATION, toxicity.INSULT):
+        state, f = ahead.step(state, symbol)
+        factors.append(f)
+    assert factors == [1.0, 1.0, pytest.approx(1.3 * 0.4)]
+
+
+def test_contexts_hold_what_the_grammar_multiplies():
+    rng = np.random.default_rng(9)
+    pool = ["idiot", "lowei", "loweist", "kill", "you", "not", "said", '"', "fine", ".", "a"]
+    texts = pa.array([" ".join(rng.choice(pool, 20)) for _ in range(200)] + ["", None])
+    row, context, weight = toxicity.contexts(texts, lexicon())
+    for factors in (toxicity.PRIOR, toxicity.Factors(0.1, 3.0, 1.0, 0.9, 0.2)):
+        sums = np.bincount(row, weight * np.exp(toxicity.context_logs()[context] @ np.log(factors)), len(texts))
+        assert np.allclose(sums, toxicity.text_scores(texts, lexicon(), toxicity.grammar(factors))[:, 0])
+
+
+def test_long_clauses_are_read_whole():
+    far = "not " + "fine " * 50_000 + "idiot"
+    near = "you " + "fine " * 50_000 + "idiot"
+    assert scores(far, near) == [4.0, pytest.approx(4.0 * 1.3)]
+
+
+def test_factors_follow_the_labels():
+    """Negated insults labelled harmless lower the factor, ones labelled toxic raise it, never above 1."""
+    plain, negated = ["what an idiot"] * 60, ["this is not an idiot"] * 60
+    texts = pa.array(plain + negated + ["a fine day"] * 60)
+    found = toxicity.contexts(texts, lexicon())
+    low, high = (toxicity.fitted_factors(*found, np.repeat([1.0, y, 0.0], 60)) for y in (0.0, 1.0))
+    assert low.negated < 0.3 and low.negated < toxicity.PRIOR.negated < high.negated <= 1.0
+    assert low.told == high.told == pytest.approx(toxicity.PRIOR.told)
+    none = np.zeros(0, np.int64)
+    assert toxicity.fitted_factors(none, none, np.zeros(0), np.repeat([1.0, 0.0], 5)) == pytest.approx(toxicity.PRIOR)
 
 
 def made(n=400, seed=0):

@@ -7,14 +7,17 @@ shortly before lowers it, reported speech lowers it. A clause scores what its in
 threats weigh on the best path; a text is judged by its clauses' scores.
 
 Which words insult is learned: words and word stems that labelled toxic texts have and other
-labelled texts lack, weighted by log odds.
+labelled texts lack, weighted by log odds. By how much a context raises or lowers a weight is
+learned too: the factors of the transducers start from PRIOR and move as far as labels ask.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +95,11 @@ class Transducer:
     n_states: int
     moves: dict[tuple[int, int], tuple[int, float]]
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """The next state and the factor by state and symbol."""
+        steps = [[self.step(s, symbol) for symbol in range(7)] for s in range(self.n_states)]
+        return np.array([[s for s, _ in row] for row in steps]), np.array([[f for _, f in row] for row in steps])
+
     def step(self, state: int, symbol: int) -> tuple[int, float]:
         return self.moves.get((state, symbol), (state, 1.0))
 
@@ -104,46 +112,63 @@ class Transducer:
         return Transducer(self.n_states * other.n_states, moves)
 
 
-def _negation() -> Transducer:
-    moves = {(s, NEGATION): (3, 1.0) for s in range(4)}
-    for s in range(1, 4):
+class Factors(NamedTuple):
+    """What a context multiplies a weight by: below 1 it softens, above 1 it sharpens."""
+
+    negated: float
+    aimed_insult: float
+    aimed_threat: float
+    told: float
+    quoted: float
+
+
+#: Factors before any label is seen, and how far, as the deviation of their logarithms, labels may well lie from them.
+PRIOR, SPREAD = Factors(0.4, 1.3, 2.0, 0.8, 0.5), 0.5
+#: Words that a negation reaches.
+REACH = 3
+
+
+def _negation(f: Factors) -> Transducer:
+    moves = {(s, NEGATION): (REACH, 1.0) for s in range(REACH + 1)}
+    for s in range(1, REACH + 1):
         for symbol in (OTHER, TARGET, REPORT, QUOTE):
             moves[s, symbol] = s - 1, 1.0
         for symbol in (INSULT, THREAT):
-            moves[s, symbol] = s, 0.4
-    return Transducer(4, moves)
+            moves[s, symbol] = s, f.negated
+    return Transducer(REACH + 1, moves)
 
 
-def _target() -> Transducer:
-    return Transducer(2, {(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.3), (1, THREAT): (1, 2.0)})
+def _target(f: Factors) -> Transducer:
+    return Transducer(2, {(0, TARGET): (1, 1.0), (1, INSULT): (1, f.aimed_insult), (1, THREAT): (1, f.aimed_threat)})
 
 
-def _report() -> Transducer:
+def _report(f: Factors) -> Transducer:
     quoted = {(1, QUOTE): (2, 1.0), (2, QUOTE): (0, 1.0)}
-    softened = {(s, symbol): (s, f) for s, f in ((1, 0.8), (2, 0.5)) for symbol in (INSULT, THREAT)}
+    softened = {(s, symbol): (s, g) for s, g in ((1, f.told), (2, f.quoted)) for symbol in (INSULT, THREAT)}
     return Transducer(3, {(0, REPORT): (1, 1.0), (1, REPORT): (1, 1.0)} | quoted | softened)
 
 
-GRAMMAR = _negation().compose(_target()).compose(_report())
-#: Read from the end of a clause, for speech whose report follows it.
-BACKWARD = _report()
-#: Passes all weights on as they are.
-NEUTRAL = Transducer(1, {})
+def grammar(f: Factors = PRIOR) -> tuple[Transducer, Transducer]:
+    """The transducer that reads a clause ahead, and that which reads it from its end, for speech whose report follows it."""
+    return _negation(f).compose(_target(f)).compose(_report(f)), _report(f)
 
 
-def _factors(symbols: list[int], grammar: Transducer) -> list[float]:
-    state, out = 0, []
-    for symbol in symbols:
-        state, factor = grammar.step(state, symbol)
-        out.append(factor)
+#: Passes all weights on as they are.
+NEUTRAL = Transducer(1, {}), Transducer(1, {})
+
+
+def _states(moves: np.ndarray, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: int) -> np.ndarray:
+    """The state in which each symbol is read. All clauses, the longest first, are read at once, from starts on by step."""
+    out = np.zeros(len(symbols), np.int64)
+    state = np.zeros(len(starts), np.int64)
+    for t in range(int(lengths[0]) if len(lengths) else 0):
+        n = int(np.searchsorted(-lengths, -t, "left"))
+        at = starts[:n] + step * t
+        out[at] = state[:n]
+        state[:n] = moves[state[:n], symbols[at]]
     return out
 
 
-def clause_score(symbols: list[int], weights: list[float], grammar: Transducer = GRAMMAR, backward: Transducer = BACKWARD) -> float:
-    ahead, back = _factors(symbols, grammar), _factors(symbols[::-1], backward)[::-1]
-    return sum(w * a * b for symbol, w, a, b in zip(symbols, weights, ahead, back, strict=True) if symbol in (INSULT, THREAT))
-
-
 @dataclass
 class Lexicon:
     """Weights of insulting words and stems, by hash, with the fixed words of the grammar."""
@@ -193,33 +218,127 @@ def letter_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return K.words(np.where(_LETTER[data], data, 0x20), bounds)
 
 
-def text_scores(text: pa.Array, lexicon: Lexicon, grammar: Transducer = GRAMMAR, backward: Transducer = BACKWARD) -> np.ndarray:
-    """Per text: the sum of its clauses' scores, the largest, and the number of clauses that score."""
-    out = np.zeros((len(text), 3))
+class Hits(NamedTuple):
+    """The insults and threats of some texts: text, clause, which of the two, weight, and the states they are read in."""
+
+    row: np.ndarray
+    clause: np.ndarray
+    symbol: np.ndarray
+    weight: np.ndarray
+    ahead: np.ndarray
+    back: np.ndarray
+
+
+def hits(text: pa.Array, lexicon: Lexicon, rules: tuple[Transducer, Transducer]) -> Iterator[Hits]:
+    moves, behind = (r.tables()[0] for r in rules)
     for first, _, data, bounds in K.chunks(text):
         data = read_signs(data)
         starts, ends, firsts = letter_words(data, bounds)
         kind, weight = lexicon.read(data, starts, ends)
         kind[contracted(data, starts, ends)] = NEGATION
-        hot = np.flatnonzero((kind == INSULT) | (kind == THREAT))
-        if not len(hot):
+        hot = (kind == INSULT) | (kind == THREAT)
+        if not hot.any():
             continue
         stops = np.union1d(np.flatnonzero(_STOP[data]), bounds)
         quotes = np.flatnonzero(_QUOTE[data])
-        clause = np.searchsorted(stops, starts, "right")
-        for c in np.unique(clause[hot]):
-            a, b = np.searchsorted(clause, [c, c + 1])
-            places = [(int(starts[i]), int(kind[i]), float(weight[i])) for i in range(a, b)]
-            low, high = stops[c - 1], stops[c] if c < len(stops) else len(data)
-            marks = quotes[np.searchsorted(quotes, low) : np.searchsorted(quotes, high)]
-            places = sorted(places + [(int(m), QUOTE, 0.0) for m in marks])
-            score = clause_score([k for _, k, _ in places], [w for _, _, w in places], grammar, backward)
-            row = first + int(np.searchsorted(firsts, a, "right")) - 1
-            out[row] += score, 0, score > 0
-            out[row, 1] = max(out[row, 1], score)
+        clauses = np.unique(np.searchsorted(stops, starts[hot], "right"))
+        # the words and quote marks of the clauses with a hit, in order
+        at = np.concatenate([starts, quotes])
+        symbol = np.concatenate([kind, np.full(len(quotes), QUOTE, kind.dtype)]).astype(np.int64)
+        weight = np.concatenate([weight, np.zeros(len(quotes))])
+        clause = np.searchsorted(stops, at, "right")
+        kept = np.flatnonzero(np.isin(clause, clauses))
+        kept = kept[np.argsort(at[kept], kind="stable")]
+        # other words only end a negation's reach: more of them in a row change no state
+        said = symbol[kept] != OTHER
+        near = said.copy()
+        for k in range(1, REACH + 1):
+            near[k:] |= said[:-k]
+        kept = kept[near]
+        at, symbol, weight, clause = at[kept], symbol[kept], weight[kept], clause[kept]
+        _, low, lengths = np.unique(clause, return_index=True, return_counts=True)
+        order = np.argsort(-lengths, kind="stable")
+        low, lengths = low[order], lengths[order]
+        ahead = _states(moves, symbol, low, lengths, 1)
+        back = _states(behind, symbol, low + lengths - 1, lengths, -1)
+        hit = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
+        word = np.searchsorted(starts, at[hit])
+        row = first + np.searchsorted(firsts, word, "right") - 1
+        yield Hits(row, np.searchsorted(clauses, clause[hit]), symbol[hit], weight[hit], ahead[hit], back[hit])
+
+
+def text_scores(text: pa.Array, lexicon: Lexicon, rules: tuple[Transducer, Transducer] | None = None) -> np.ndarray:
+    """Per text: the sum of its clauses' scores, the largest, and the number of clauses that score."""
+    rules = rules or grammar()
+    ahead, back = (r.tables()[1] for r in rules)
+    out = np.zeros((len(text), 3))
+    for h in hits(text, lexicon, rules):
+        score = np.bincount(h.clause, h.weight * ahead[h.ahead, h.symbol] * back[h.back, h.symbol])
+        row = np.zeros(len(score), np.int64)
+        row[h.clause] = h.row
+        np.add.at(out[:, 0], row, score)
+        np.maximum.at(out[:, 1], row, score)
+        np.add.at(out[:, 2], row, score > 0)
     return out
 
 
+def contexts(text: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, context, weight): the weights of each text's hits, summed by the states and the symbol they are read with."""
+    rules = grammar()
+    n = rules[0].n_states * rules[1].n_states * 2
+    found = [np.bincount(h.row * n + (h.ahead * rules[1].n_states + h.back) * 2 + (h.symbol == THREAT), h.weight) for h in hits(text, lexicon, rules)]
+    total = np.zeros(len(text) * n)
+    for f in found:
+        total[: len(f)] += f
+    at = np.flatnonzero(total)
+    return at // n, at % n, total[at]
+
+
+def context_logs() -> np.ndarray:
+    """By context and factor: the power of the factor that the context multiplies a weight by."""
+    columns = []
+    for k in range(len(PRIOR)):
+        ahead, back = (np.log(r.tables()[1][:, [INSULT, THREAT]]) for r in grammar(Factors(*[np.e if i == k else 1.0 for i in range(len(PRIOR))])))
+        columns.append((ahead[:, None, :] + back[None, :, :]).ravel())
+    return np.stack(columns, axis=1)
+
+
+def fitted_factors(row: np.ndarray, context: np.ndarray, weight: np.ndarray, y: np.ndarray, steps: int = 60) -> Factors:
+    """The likeliest factors, given labels y of texts and their contexts.
+
+    A text's logit is linear in log(1 + its score). Logarithms of factors have a normal prior
+    about those of PRIOR and keep their sign: what softens never sharpens.
+    """
+    logs, prior = context_logs()[context], np.log(PRIOR)
+    centre = np.concatenate([[0.0, 0.0], prior])
+    pull = np.concatenate([[1e-2, 1e-2], np.full(len(prior), SPREAD**-2)])
+
+    def at(v):
+        raised = weight * np.exp(logs @ v[2:])
+        score = np.bincount(row, raised, len(y))
+        slopes = np.stack([np.bincount(row, raised * logs[:, k], len(y)) for k in range(len(prior))], axis=1)
+        z = np.clip(v[0] + v[1] * np.log1p(score), -30, 30)
+        loss = np.logaddexp(0, z).sum() - z @ y + (pull * (v - centre) ** 2).sum() / 2
+        return loss, z, np.hstack([np.ones((len(y), 1)), np.log1p(score)[:, None], v[1] * slopes / (1 + score)[:, None]])
+
+    v, size = centre.copy(), 1.0
+    loss, z, x = at(v)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-z))
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(pull)
+        new = v + size * np.linalg.solve(h, x.T @ (y - p) - pull * (v - centre))
+        new[2:] = np.where(prior < 0, np.minimum(new[2:], 0.0), np.maximum(new[2:], 0.0))
+        tried = at(new)
+        if tried[0] > loss:
+            size /= 2
+            continue
+        done = loss - tried[0] < 1e-9
+        v, (loss, z, x), size = new, tried, min(1.0, 2 * size)
+        if done:
+            break
+    return Factors(*np.exp(v[2:]).tolist())
+
+
 def _units(batches):
     """Counts, over the texts of a batch, of the words and stems that a text has."""
     for batch in batches:
@@ -250,6 +369,10 @@ class Model:
     lexicon: Lexicon
     scale: np.ndarray
     weights: np.ndarray
+    factors: Factors = PRIOR
+
+    def features(self, text: pa.Array) -> np.ndarray:
+        return text_scores(text, self.lexicon, grammar(self.factors))
 
     def probability(self, features: np.ndarray) -> np.ndarray:
         x = np.log1p(features) / self.scale
@@ -271,7 +394,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    """Learns lexicon and calibration from at most so many labelled training rows.
+    """Learns lexicon, factors and calibration from at most so many labelled training rows.
 
     Near copies (texts whose smallest shingle hash agrees) count once, so that a passage that
     was copied often is not taken for an insult.
@@ -289,9 +412,25 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
         found = units.orderBy(F.desc("pos"), F.desc("w"), "unit").collect()
         lexicon = Lexicon({r["unit"]: r["w"] for r in found})
 
+        def read(batches):
+            for batch in batches:
+                row, context, weight = contexts(batch.column("text"), lexicon)
+                ends = np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (context, weight)]
+                yield pa.RecordBatch.from_arrays([batch.column("y"), *lists], ["y", "context", "weight"])
+
+        seen = sample.mapInArrow(read, "y int, context array<long>, weight array<double>").toArrow().combine_chunks()
+        y = seen.column("y").to_numpy().astype(float)
+        factors = PRIOR
+        if pos and neg:
+            lists = [seen.column(c).combine_chunks() for c in ("context", "weight")]
+            row = np.repeat(np.arange(len(y)), lists[0].value_lengths().to_numpy())
+            factors = fitted_factors(row, *(v.flatten().to_numpy() for v in lists), y)
+        rules = grammar(factors)
+
         def features(batches):
             for batch in batches:
-                f = text_scores(batch.column("text"), lexicon)
+                f = text_scores(batch.column("text"), lexicon, rules)
                 yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array(np.ascontiguousarray(f[:, i])) for i in range(3))], ["y", "a", "b", "c"])
 
         rows = np.array([tuple(r) for r in sample.mapInArrow(features, "y int, a double, b double, c double").collect()], float).reshape(-1, 4)
@@ -300,8 +439,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     x = np.log1p(rows[:, 1:])
     scale = np.maximum(x.std(axis=0), 1e-3) if len(x) else np.ones(3)
     if not pos or not neg:
-        return Model(lexicon, scale, np.array([2.0 if pos else -2.0, 0, 0, 0]))
-    return Model(lexicon, scale, logistic(x / scale, rows[:, 0]))
+        return Model(lexicon, scale, np.array([2.0 if pos else -2.0, 0, 0, 0]), factors)
+    return Model(lexicon, scale, logistic(x / scale, rows[:, 0]), factors)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -311,7 +450,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            f = text_scores(batch.column("text"), model.lexicon)
+            f = model.features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.probability(f)), pa.array(f[:, 2].astype(np.int64))], [*names, "score", "n_clauses"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType()), StructField("n_clauses", LongType())]))
@@ -335,7 +474,7 @@ def keep_civil(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold
 
     def run(batches):
         for batch in batches:
-            f = text_scores(batch.column("text"), model.lexicon)
+            f = model.features(batch.column("text"))
             yield batch.filter(pa.array(model.probability(f) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
