@@ -31,6 +31,8 @@ MISSED_BY_CELLS, MISSED_BY_COUNT = 0.01, 0.002
 SAMPLE, PAIRS, CUTS = 4096, 512, 1024
 #: Comparisons that one more copy of a vector is worth, where its cells weigh as components do; values of a batch of cells at once.
 COPY, AT_ONCE = 400, 1 << 22
+#: Ranks compared with windows at once.
+TILE = 1 << 18
 
 
 def count_needed(directions: int, hit: float, missed: float) -> int:
@@ -139,21 +141,25 @@ class Geometry:
         """Pairs (from left, from right) of rows of x at the threshold; rows are compared once."""
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         unit = x / norm[:, None]
-        p = (unit @ self.counting).T.astype(np.float32)
+        p = (unit @ self.counting).T
+        # lines lie one after another, further apart than any window reaches, so that one search serves all
+        apart = np.arange(DIRECTIONS)[:, None] * (np.ptp(p) + 2 * self.width + 1)
         order = np.argsort(p[:, right], axis=1, kind="stable")
-        ordered_lines = np.take_along_axis(p[:, right], order, axis=1)
-        ranks = np.empty(order.shape, np.int16)
-        np.put_along_axis(ranks, order, np.arange(len(right), dtype=np.int16)[None, :], axis=1)
+        ordered = (np.take_along_axis(p[:, right], order, axis=1) + apart).ravel()
+        ranks = np.empty(order.shape, np.uint16)
+        np.put_along_axis(ranks, order, np.arange(len(right), dtype=np.uint16)[None, :], axis=1)
+        # the window around each query is a run of ranks of the sorted projection
+        centres, base = p[:, left] + apart, np.arange(DIRECTIONS)[:, None] * len(right)
+        low = np.searchsorted(ordered, centres - self.width, "left") - base
+        span = (np.searchsorted(ordered, centres + self.width, "right") - base - low).astype(np.uint16)[:, :, None]
+        low = low.astype(np.uint16)[:, :, None]
         found = ([], [])
         triangle = left is right
-        for s in range(0, len(left), 128):
-            a = left[s : s + 128]
-            counts = np.zeros((len(a), len(right)), np.uint8)
-            for line, ordered, rank in zip(p, ordered_lines, ranks, strict=True):
-                # the window around each query is a run of ranks of the sorted projection
-                low = np.searchsorted(ordered, line[a] - self.width, "left").astype(np.int16)
-                high = np.searchsorted(ordered, line[a] + self.width, "right").astype(np.int16)
-                counts += (rank >= low[:, None]) & (rank < high[:, None])
+        step = max(1, TILE // (DIRECTIONS * max(1, len(right))))
+        for s in range(0, len(left), step):
+            a = left[s : s + step]
+            # a rank below the window wraps round to one far above it
+            counts = (ranks[:, None, :] - low[:, s : s + step] < span[:, s : s + step]).sum(axis=0, dtype=np.uint8)
             close = counts >= self.needed
             if triangle:
                 close &= np.arange(s, s + len(a))[:, None] < np.arange(len(right))[None, :]
