@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language, mixing, quality, substring_dedup, suffix_dedup, toxicity, url_rules
+from . import decontaminate, embedding_dedup, language, line_dedup, mixing, quality, substring_dedup, suffix_dedup, toxicity, url_rules
 from .ngram_join import jaccard_components
 
 
@@ -57,6 +57,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, numerator=90, denominator=100)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"), shortest=40, least=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": op1_url_rules,
     "op2_decontaminate": op2_decontaminate,
@@ -68,8 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op6_poisson_mix": mixing.ORACLE,
+    "op11_line_dedup": line_dedup.ORACLE,
 }
