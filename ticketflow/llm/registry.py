@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language, line_dedup, mixing, quality, substring_dedup, suffix_dedup, toxicity, url_rules
+from . import decontaminate, embedding_dedup, language, line_dedup, mixing, quality, ranked_search, substring_dedup, suffix_dedup, toxicity, url_rules
 from .ngram_join import jaccard_components
 
 
@@ -62,6 +62,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": op1_url_rules,
     "op2_decontaminate": op2_decontaminate,
@@ -74,9 +78,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_line_dedup": op11_line_dedup,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES: dict[str, str] = {
     "op6_poisson_mix": mixing.ORACLE,
     "op11_line_dedup": line_dedup.ORACLE,
+    "op13_ranked_search": ranked_search.ORACLE,
 }
