@@ -6,8 +6,8 @@ gives its k heads; the k-th best partial sum is a lower bound of the k-th best s
 document whose entries all lie under that bound divided by the number of lists can reach it,
 so secondly every list gives its entries from there on. What is still unknown of a document
 is bounded by the threshold of the lists that did not name it; documents whose partial sum
-plus that bound stays under the k-th best partial sum are out. Lastly the exact scores of
-those that are left are looked up.
+plus that bound stays under the k-th best score that is known by then (whole scores of the
+best heads, then the best partial sums) are out. Lastly the exact scores of those that are left are looked up.
 
 Lists are range-partitioned by (term, impact, row), so a list of very many documents spans
 several partitions, and what lies under a threshold lies together.
@@ -27,6 +27,8 @@ from .common import cut
 
 #: Distinct terms of items that are looked for in one reading of the documents.
 BLOCK = 1 << 18
+#: Documents looked up for the last bound, for each of the k that are asked for; lists of items that are broadcast.
+LOOKED_UP, LISTS = 3, 200_000
 #: Bits of a term's number within its block.
 _PLACE = 32
 
@@ -140,6 +142,12 @@ def _kth(sums: DataFrame, k: int) -> DataFrame:
     return sums.withColumn("p", place).where(F.col("p") <= k).where(F.col("p") == k).select("item_id", F.col("v").alias("bound"))
 
 
+def _best(sums: DataFrame, k: int) -> DataFrame:
+    """(item_id, row) of the k largest v of each item."""
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("v"), "row"))
+    return sums.withColumn("p", place).where(F.col("p") <= k).select("item_id", "row")
+
+
 def search(docs: DataFrame, items: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """(item_id, rank, doc_id, score): the k highest-scoring documents of each item, with scores above 0.
 
@@ -177,9 +185,19 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, block: int = BLOCK) -
     top = heads.groupBy("tid").agg(F.max("s").alias("top"))
     lists = asked.join(vocabulary, "term").join(top, "tid").select("item_id", "tid", "q", "top")
     lists = cut(lists, drop=False)
-    first = _kth(lists.join(heads, "tid").groupBy("item_id", "row").agg(F.sum(F.col("q") * F.col("s")).alias("v")), k)
-    per_item = lists.groupBy("item_id").agg(F.count("*").alias("t")).join(first, "item_id", "left")
-    need = per_item.select("item_id", F.expr("greatest(1L, (coalesce(bound, 0L) + t - 1) div t)").alias("need"), F.coalesce("bound", F.lit(0)).alias("bound"))
+
+    def exact(candidates: DataFrame) -> DataFrame:
+        """(item_id, row, doc_id, v): the whole scores of candidates (item_id, row), looked up by row."""
+        wanted = forward.where("doc_id is not null").join(candidates.select("row").distinct(), "row", "left_semi")
+        known = scored(wanted).join(candidates, "row").join(lists.select("item_id", "tid", "q"), ["item_id", "tid"])
+        return known.groupBy("item_id", "row", "doc_id").agg(F.sum(F.col("q") * F.col("s")).alias("v"))
+
+    headed = cut(lists.join(heads, "tid").groupBy("item_id", "row").agg(F.sum(F.col("q") * F.col("s")).alias("v")), drop=False)
+    first = _kth(headed, k)
+    # whole scores of the best of them bound the k-th score closer, for the last test
+    second = _kth(exact(cut(_best(headed, LOOKED_UP * k), drop=False)), k).select("item_id", F.col("bound").alias("second"))
+    per_item = lists.groupBy("item_id").agg(F.count("*").alias("t")).join(first, "item_id", "left").join(second, "item_id", "left")
+    need = per_item.select("item_id", F.expr("greatest(1L, (coalesce(bound, 0L) + t - 1) div t)").alias("need"), F.expr("greatest(0L, bound, second)").alias("bound"))
     # c: what a list can add to a document that it did not name
     lists = lists.join(need, "item_id").withColumn("c", F.least(F.col("need") - 1, F.col("q") * F.col("top")))
     lists = cut(lists, drop=False)
@@ -188,17 +206,17 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, block: int = BLOCK) -
     open_ = lists.where("q * top >= need").select("item_id", "tid", "q", "need", "c", F.expr("(need + q - 1) div q").alias("least"))
     from_ = open_.groupBy("tid").agg(F.min("least").alias("from"))
     reached = postings.join(from_, "tid").where("s >= from").select("tid", "row", "s")
-    named = reached.join(open_, "tid").where("s >= least")
-    sums = cut(named.groupBy("item_id", "row").agg(F.sum(F.col("q") * F.col("s")).alias("v"), F.sum("c").alias("known")))
-    second = _kth(sums, k).select("item_id", F.col("bound").alias("second"))
-    slack = lists.groupBy("item_id").agg(F.sum("c").alias("slack"), F.first("bound").alias("bound")).join(second, "item_id", "left")
-    slack = slack.select("item_id", "slack", F.greatest("bound", F.coalesce("second", F.lit(0))).alias("bound"))
-    candidates = cut(sums.join(slack, "item_id").where("v + slack - known >= bound").select("item_id", "row"), drop=False)
-
-    # exact scores, looked up by row
-    wanted = forward.where("doc_id is not null").join(candidates.select("row").distinct(), "row", "left_semi")
-    known = scored(wanted).join(candidates, "row").join(lists.select("item_id", "tid", "q"), ["item_id", "tid"])
-    found = known.groupBy("item_id", "row", "doc_id").agg(F.sum(F.col("q") * F.col("s")).alias("score")).where("score > 0")
+    # all entries of a document meet in one task, and what items make of them needs no shuffle
+    open_ = F.broadcast(open_) if lists.count() <= LISTS else open_
+    named = reached.repartition("row").join(open_, "tid").where("s >= least")
+    sums = named.groupBy("item_id", "row").agg(F.sum(F.col("q") * F.col("s")).alias("v"), F.sum("c").alias("known"))
+    slack = lists.groupBy("item_id").agg(F.sum("c").alias("slack"), F.first("bound").alias("bound"))
+    passed = cut(sums.join(slack, "item_id").withColumn("most", F.expr("v + slack - known")).where("most >= bound").select("item_id", "row", "v", "most"))
+    # the k largest partial sums are among them, or no better than the bound before
+    third = _kth(passed, k)
+    candidates = cut(passed.join(third, "item_id", "left").where("most >= coalesce(bound, 0L)").select("item_id", "row"), drop=False)
+
+    found = exact(candidates).withColumnRenamed("v", "score").where("score > 0")
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id", "row"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
