@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
+
+from ..sources.store import Store, Table
 
 
 def insert_ignore(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -77,32 +76,30 @@ def with_ids(new: DataFrame, existing: DataFrame, order: str) -> DataFrame:
     return numbered.select((F.col("__base") + F.col("__place")).alias("id"), *new.columns)
 
 
+def _table(spark: SparkSession, path: str, schema: StructType, key: str = "ticket_id") -> Store:
+    return Store(spark, path, {"rows": Table(schema, key)})
+
+
 def stored(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, int]:
     """(the newest version of the table at path, its number); an empty table and 0 where there is none."""
-    try:
-        versions = spark.read.schema(StructType([*schema.fields, StructField("version", LongType())])).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema), 0
-    newest = versions.agg(F.max("version")).first()[0] or 0
-    return versions.where(F.col("version") == newest).drop("version"), newest
+    store = _table(spark, path, schema)
+    newest = store.manifest()
+    return store.rows(newest, "rows"), newest["version"]
 
 
-def store(spark: SparkSession, path: str, schema: StructType, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Writes merge(the table at path) as its next version and returns it.
+def store_analyses(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
+    """Adds analyses; of each ticket the first that was ever stored stays.
 
-    A version's files appear when its job ends, so a run that is lost leaves the one before
-    in place, and what is read is never what is written.
+    Reads the buckets of the new rows' tickets and adds files to them. A run that is lost
+    leaves the version before, and the next one goes on from it.
     """
-    table, version = stored(spark, path, schema)
-    merge(table).write.mode("errorifexists").parquet(f"{path}/version={version + 1}")
-    return stored(spark, path, schema)[0]
-
-
-def store_analyses(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
-    """Adds analyses; of each ticket the first that was ever stored stays."""
-    return store(spark, path, new.schema, lambda table: first_write_wins(new, table, "ticket_id", "created_at"))
+    store = _table(spark, path, new.schema)
+    store.transact(lambda t: t.insert("rows", new, "created_at"))
+    return store.read("rows")
 
 
 def store_embeddings(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
-    """Puts vectors in; of each ticket the newest stays, with the time of the first."""
-    return store(spark, path, new.schema, lambda table: last_write_wins(new, table, "ticket_id", "created_at", keep=("created_at",)))
+    """Puts vectors in; of each ticket the newest stays, with the time of the first. Only the buckets of those tickets are rewritten."""
+    store = _table(spark, path, new.schema)
+    store.transact(lambda t: t.merge("rows", new, lambda old: last_write_wins(new, old, "ticket_id", "created_at", keep=("created_at",))))
+    return store.read("rows")
