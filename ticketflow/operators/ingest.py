@@ -59,10 +59,11 @@ def cell(headers: Column, cells: Column, name: str | None) -> Column:
     return text.blank_to_null(F.when(at > 0, F.get(cells, (at - 1).cast("int"))))
 
 
-def project(rows: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
-    """Tickets of rows (line_no, headers, cells), as new tickets from a file."""
+def project(rows: DataFrame, mapping: Mapping[str, str], *keep: str) -> DataFrame:
+    """Tickets of rows (line_no, headers, cells), as new tickets from a file, with further columns to keep."""
     of = lambda field: cell(F.col("headers"), F.col("cells"), mapping.get(field))
     return rows.select(
+        *keep,
         "line_no",
         of("externalRef").alias("external_ref"),
         F.lit("FILE").alias("source"),
@@ -148,4 +149,9 @@ def confirm(rows: DataFrame, mapping: Mapping[str, str | None], existing: DataFr
 
 def created_events(tickets: DataFrame) -> DataFrame:
     """(value): one JSON message for each stored ticket."""
-    return tickets.select(F.to_json(F.struct(F.col("id").alias("ticketId"), F.col("external_ref").alias("externalRef"), "subject", "body", "language")).alias("value"))
+    return tickets.select(created_event().alias("value"))
+
+
+def created_event() -> Column:
+    """The JSON message of a stored ticket."""
+    return F.to_json(F.struct(F.col("id").alias("ticketId"), F.col("external_ref").alias("externalRef"), "subject", "body", "language"))
