@@ -1,4 +1,4 @@
-"""Structured files as rows of cells: a Python data source with one partition a file.
+"""Structured files as rows of cells: binary files, each parsed whole by a task; large CSV files by many.
 
 Cells are kept as they stand, with the number of their record, so ragged rows can be told
 and reported. Spark's CSV reader pads, cuts and renumbers, which loses both.
@@ -16,8 +16,10 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sniff
+from . import csv_scan, sniff
 
+#: Bytes from which a CSV file is dealt to many tasks.
+LARGE = 64 << 20
 SCHEMA = "path string, line_no int, cells array<string>"
 #: The names in a spreadsheet's XML.
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -26,12 +28,24 @@ SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 def csv_cells(text: str) -> Iterator[tuple[int, list[str]]]:
     """Records from 1 on, the header being the first; a blank line is a record of one empty cell.
 
-    A quote within quotes is doubled or stands behind a backslash.
+    A quote within quotes is doubled or stands behind a backslash. Lines end in LF, CR or
+    CRLF, which within quotes all read as LF. A cell may have any length.
     """
-    for n, row in enumerate(csv.reader(io.StringIO(text), escapechar="\\"), 1):
+    for n, row in enumerate(csv.reader(_lines(text), escapechar="\\"), 1):
         yield n, row or [""]
 
 
+def _lines(text: str) -> Iterator[str]:
+    """Lines with their ends, the last without, so that a quote left open does not take it."""
+    held = None
+    for line in io.StringIO(text, newline=None):
+        if held is not None:
+            yield held
+        held = line
+    if held is not None:
+        yield held.removesuffix("\n")
+
+
 def txt_cells(text: str) -> Iterator[tuple[int, list[str]]]:
     """Tab-separated lines with their trailing empty cells; empty lines count but are left out."""
     for n, line in enumerate(text.replace("\r\n", "\n").split("\n"), 1):
@@ -120,13 +134,24 @@ def parsed(files: DataFrame) -> DataFrame:
     return chosen.mapInArrow(_parsed, SCHEMA)
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
+def read_cells(spark: SparkSession, path: str, large: int = LARGE) -> DataFrame:
     """(path, line_no, cells) of the structured files under path, header records included.
 
-    Raises UnsupportedType if a file is of a type without a parser.
+    A CSV file of at least large bytes is scanned in parallel, unless its encoding has more
+    bytes a sign; the rows are the same. Raises UnsupportedType if a file is of a type
+    without a parser.
     """
-    known = sniff.sniffed(spark, path)
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    big = [r["path"] for r in listed.where((F.col("length") >= large) & (sniff.extension(F.col("path")) == "csv")).collect()]
+    heads = {p: sniff.of_head(spark, p) for p in big}
+    big = [p for p, (kind, code) in heads.items() if kind == "CSV" and not code.startswith("UTF-16")]
+    files = spark.read.format("binaryFile").load(path).where(~F.col("path").isin(big)) if big else spark.read.format("binaryFile").load(path)
+    head = F.substring("content", 1, sniff.HEAD)
+    known = files.select("path", sniff.file_type(F.col("path"), head).alias("type"))
     odd = known.where(~F.coalesce(F.col("type"), F.lit("")).isin(*PARSERS, "XLSX")).select("path", "type").first()
     if odd:
         raise sniff.UnsupportedType(f"{odd['path']}: {odd['type']}")
-    return parsed(spark.read.format("binaryFile").load(path))
+    out = parsed(files)
+    for code in sorted({heads[p][1] for p in big}):
+        out = out.unionByName(csv_scan.scan(spark, [p for p in big if heads[p][1] == code], code))
+    return out

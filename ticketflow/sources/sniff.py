@@ -43,3 +43,15 @@ def sniffed(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     head = F.substring("content", 1, HEAD)
     return files.select("path", "length", file_type(F.col("path"), head).alias("type"), charset(head).alias("charset"))
+
+
+def of_head(spark: SparkSession, path: str) -> tuple[str | None, str]:
+    """(type, charset) of one file by its first bytes, which alone are read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        head = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEAD)))
+    finally:
+        stream.close()
+    one = spark.createDataFrame([(path, bytearray(head))], "path string, head binary")
+    return tuple(one.select(file_type(F.col("path"), F.col("head")), charset(F.col("head"))).first())
