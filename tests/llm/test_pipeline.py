@@ -65,3 +65,16 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))
     assert all(got[i] == 1 for i in range(1, 41)) and got[102] == 100 and got[300] == 299 and all(got[k] == 500 for k in range(500, 560)) and 200 not in got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark, small, staged):
+    from pyspark.sql import functions as F
+
+    odd = ["n_words", "n_removed", "a.b", "score", "rep", "copy"]
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in odd])
+    for (_, stage), want in zip(corpus_pipeline.STAGES, staged, strict=True):
+        docs = stage(spark, docs, small)
+        told = docs.select("doc_id", "text", "`a.b`", "n_words", "n_removed", "score", "rep").collect()
+        assert sorted((r.doc_id, r.text) for r in told) == sorted(rows(want))
+        assert all(r[c] == f"{c} {r.doc_id}" for r in told for c in ("a.b", "n_words", "n_removed", "score", "rep"))
+        docs = spark.createDataFrame(docs.toArrow().to_pandas(), docs.schema)
