@@ -130,8 +130,8 @@ def keyphrases(rows: DataFrame, key: str, column: str, most: int = 5) -> DataFra
     return tfidf(rows, key, column).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select(key, "rank", "term")
 
 
-def train_svc(rows: DataFrame, column: str, label: str, features: int = 1 << 16) -> PipelineModel:
-    """One-against-rest linear classifiers over TF-IDF of one- and two-grams in two texts or more."""
+def train_svc(rows: DataFrame, column: str, label: str, features: int = (1 << 31) - 1) -> PipelineModel:
+    """One-against-rest linear classifiers over TF-IDF of one- and two-grams in two texts or more, of all such terms unless features names fewer."""
     from pyspark.ml.feature import SQLTransformer
 
     both = SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__")
