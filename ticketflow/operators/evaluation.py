@@ -108,10 +108,14 @@ def spec_grid(spark: SparkSession, n: int, priorities: tuple[str, ...], sentimen
 
 
 def terms(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, term, tf): counts of word one- and two-grams of each text."""
+    """(key, term, tf): counts of word one- and two-grams of each text.
+
+    Texts are dealt by key before they are cut, so that their terms, of which there are many
+    times more bytes, are counted where they arise and not shuffled.
+    """
     words = F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 1)
     pairs = F.transform(F.slice(F.col("w"), 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(F.col("w"), i + 1)))
-    return rows.select(key, words.alias("w")).select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return rows.select(key, column).repartition(F.col(key)).select(key, words.alias("w")).select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf(rows: DataFrame, key: str, column: str, min_df: int = 2) -> DataFrame:
