@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stl import Spans, stl
+
 
 def exact_quantile(column: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) within group (order by {column})")
@@ -56,3 +58,8 @@ def seasonal_anomaly(days: DataFrame, group: str, around: int = 3) -> DataFrame:
     season = detrended.groupBy(group, "__weekday").agg(F.median("__left").alias("season"))
     rest = detrended.join(season, [group, "__weekday"]).withColumn("__rest", F.col("__left") - F.col("season"))
     return robust_z(rest, group, "__rest").select(group, "day", "n", "trend", "season", "z")
+
+
+def stl_anomaly(days: DataFrame, group: str, spans: Spans = Spans()) -> DataFrame:
+    """(group, day, n, trend, season, rest, weight, z) of daily volumes: z of what the decomposition leaves. NULL groups are left out."""
+    return robust_z(stl(days.where(F.col(group).isNotNull()), group, spans), group, "rest")

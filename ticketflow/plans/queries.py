@@ -687,6 +687,13 @@ def volume_anomaly_seasonal(s, d):
     return found.select("event_type", "day", "n", F.round("trend", 6).alias("trend"), F.round("season", 6).alias("season"), F.round("z", 5).alias("z"))
 
 
+@query()
+def volume_anomaly_stl(s, d):
+    """Iterated loess, so without SQL; tests hold it against one written value by value."""
+    found = reports.stl_anomaly(_volumes(s, d), "event_type")
+    return found.select("event_type", "day", "n", *[F.round(c, 6).alias(c) for c in ("trend", "season", "rest", "weight")], F.round("z", 5).alias("z"))
+
+
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def bonus_tumbling(s, d):
     e = views.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
