@@ -1,4 +1,4 @@
-"""Structured files as rows of cells: binary files, each parsed whole by a task; large CSV files by many.
+"""Structured files as rows of cells: binary files, each parsed whole by a task; large CSV and JSON files by many.
 
 Cells are kept as they stand, with the number of their record, so ragged rows can be told
 and reported. Spark's CSV reader pads, cuts and renumbers, which loses both.
@@ -16,9 +16,9 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import csv_scan, sniff
+from . import csv_scan, json_scan, sniff
 
-#: Bytes from which a CSV file is dealt to many tasks.
+#: Bytes from which a CSV or JSON file is dealt to many tasks.
 LARGE = 64 << 20
 SCHEMA = "path string, line_no int, cells array<string>"
 #: The names in a spreadsheet's XML.
@@ -111,6 +111,7 @@ def _column(ref: str) -> int:
 
 
 PARSERS = {"CSV": csv_cells, "TXT": txt_cells, "JSON": json_cells}
+SCANS = {"CSV": csv_scan.scan, "JSON": json_scan.scan}
 
 
 def _parsed(batches):
@@ -137,14 +138,14 @@ def parsed(files: DataFrame) -> DataFrame:
 def read_cells(spark: SparkSession, path: str, large: int = LARGE) -> DataFrame:
     """(path, line_no, cells) of the structured files under path, header records included.
 
-    A CSV file of at least large bytes is scanned in parallel, unless its encoding has more
+    A CSV or JSON file of at least large bytes is scanned in parallel, unless its encoding has more
     bytes a sign; the rows are the same. Raises UnsupportedType if a file is of a type
     without a parser.
     """
     listed = spark.read.format("binaryFile").load(path).select("path", "length")
-    big = [r["path"] for r in listed.where((F.col("length") >= large) & (sniff.extension(F.col("path")) == "csv")).collect()]
+    big = [r["path"] for r in listed.where((F.col("length") >= large) & sniff.extension(F.col("path")).isin("csv", "json")).collect()]
     heads = {p: sniff.of_head(spark, p) for p in big}
-    big = [p for p, (kind, code) in heads.items() if kind == "CSV" and not code.startswith("UTF-16")]
+    big = [p for p, (kind, code) in heads.items() if kind in SCANS and not code.startswith("UTF-16")]
     files = spark.read.format("binaryFile").load(path).where(~F.col("path").isin(big)) if big else spark.read.format("binaryFile").load(path)
     head = F.substring("content", 1, sniff.HEAD)
     known = files.select("path", sniff.file_type(F.col("path"), head).alias("type"))
@@ -152,6 +153,6 @@ def read_cells(spark: SparkSession, path: str, large: int = LARGE) -> DataFrame:
     if odd:
         raise sniff.UnsupportedType(f"{odd['path']}: {odd['type']}")
     out = parsed(files)
-    for code in sorted({heads[p][1] for p in big}):
-        out = out.unionByName(csv_scan.scan(spark, [p for p in big if heads[p][1] == code], code))
+    for kind, code in sorted({heads[p] for p in big}):
+        out = out.unionByName(SCANS[kind](spark, [p for p in big if heads[p] == (kind, code)], code))
     return out
