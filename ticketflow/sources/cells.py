@@ -9,20 +9,16 @@ from __future__ import annotations
 import csv
 import io
 import json
-import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import csv_scan, json_scan, sniff
+from . import csv_scan, json_scan, sniff, xlsx
 
 #: Bytes from which a CSV or JSON file is dealt to many tasks.
 LARGE = 64 << 20
 SCHEMA = "path string, line_no int, cells array<string>"
-#: The names in a spreadsheet's XML.
-SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
 def csv_cells(text: str) -> Iterator[tuple[int, list[str]]]:
@@ -78,38 +74,6 @@ def _shown(value) -> str:
     return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
-def xlsx_cells(data: bytes) -> Iterator[tuple[int, list[str]]]:
-    """The first sheet's rows as trimmed texts; a cell that is not there is empty."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in item.iter(f"{SHEET}t")) for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{SHEET}si")]
-        sheets = sorted((n for n in z.namelist() if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
-        for row in ElementTree.fromstring(z.read(sheets[0])).iter(f"{SHEET}row"):
-            cells: list[str] = []
-            for cell in row.iter(f"{SHEET}c"):
-                at = _column(cell.get("r", "")) if cell.get("r") else len(cells)
-                cells += [""] * (at + 1 - len(cells))
-                value = cell.find(f"{SHEET}v")
-                if cell.get("t") == "inlineStr":
-                    text = "".join(t.text or "" for t in cell.iter(f"{SHEET}t"))
-                elif value is None or value.text is None:
-                    text = ""
-                else:
-                    text = shared[int(value.text)] if cell.get("t") == "s" else value.text
-                cells[at] = text.strip()
-            if cells:
-                yield int(row.get("r", 0)) or 1, cells
-
-
-def _column(ref: str) -> int:
-    n = 0
-    for c in ref:
-        if c.isalpha():
-            n = n * 26 + ord(c.upper()) - 64
-    return n - 1
-
-
 PARSERS = {"CSV": csv_cells, "TXT": txt_cells, "JSON": json_cells}
 SCANS = {"CSV": csv_scan.scan, "JSON": json_scan.scan}
 
@@ -121,7 +85,7 @@ def _parsed(batches):
     for batch in batches:
         for path, kind, code, content in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if kind == "XLSX":
-                rows = xlsx_cells(content)
+                rows = xlsx.rows(content)
             else:
                 rows = PARSERS[kind](content.decode(code, "replace").removeprefix("﻿"))
             while chunk := [r for _, r in zip(range(10_000), rows, strict=False)]:
