@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, security, text, vectors
-from ..operators import evaluation, generation, imports, ingest, ranking, reports, similar, sinks, tickets
+from ..operators import evaluation, generation, imports, ingest, ranking, reports, similar, sinks, tickets, vector_index
 from ..schemas import CATEGORIES, IMPORTS, PRIORITIES, SENTIMENTS, violations
 from ..shared import shared_folder
 from ..sources import cells, csv_scan, json_scan, jsonl, sniff, xlsx
@@ -620,6 +620,15 @@ def similar_topk_batch(s, d):
     return similar.nearest_of_queries(v, v.where("ticket_id % 100 = 0").select(F.col("ticket_id").alias("query_id"), F.col("vector").alias("q")))
 
 
+@query()
+def similar_topk_indexed(s, d):
+    """As similar_topk_batch by an index of the vectors, a quarter of which are inserted after it was made."""
+    v = views.vectors(s, d).select("ticket_id", "vector")
+    index = vector_index.VectorIndex(s, f"{shared_folder(s)}/vectors-{uuid.uuid4().hex}").build(v.where("ticket_id % 4 > 0"))
+    index.insert(v)
+    return index.search(v.where("ticket_id % 100 = 0").select(F.col("ticket_id").alias("query_id"), F.col("vector").alias("q")))
+
+
 DUPLICATES = f"WITH {views.VECTORS} SELECT a.ticket_id AS a, b.ticket_id AS b, round({COS.format('a.vector', 'b.vector')}, 4) AS similarity FROM vectors a JOIN vectors b ON a.category = b.category AND a.ticket_id < b.ticket_id WHERE {COS.format('a.vector', 'b.vector')} >= "
 
 
