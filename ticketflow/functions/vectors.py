@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -15,9 +17,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+@F.arrow_udf(StringType())
+def _literal(vectors: pa.Array) -> pa.Array:
+    shown = []
+    for v in vectors.to_pylist():
+        known = None if v is None else [f"{x:.6f}" for x in v if x is not None]
+        shown.append(None if known is None or v and not known else f"[{','.join(known)}]")
+    return pa.array(shown, pa.string())
+
+
 def literal(v: Column) -> Column:
-    """[a,b,...] with six decimals."""
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x.cast("double"))), ","), F.lit("]"))
+    """[a,b,...] with six decimals, of the exact binary value and halves to even, as C and SQL write them; Java's format rounds halves up.
+
+    NULL components are left out; NULL where there is nothing else.
+    """
+    return _literal(v.cast("array<double>"))
 
 
 def softmax(logits: Column) -> Column:
