@@ -151,33 +151,90 @@ def _close(threshold: float):
     return run
 
 
-def duplicates(vectors: DataFrame, threshold: float = DUPLICATE, block: int = 2048) -> DataFrame:
-    """(a, b, similarity): all pairs of one category at the threshold or above, with a < b.
+def duplicates(vectors: DataFrame, threshold: float = DUPLICATE, block: int = 2048, asked: str | None = None) -> DataFrame:
+    """(a, b, similarity): all pairs of one category at the threshold or above, with a < b; with asked only those with an end for which it holds.
 
-    Exact, so the work is the square of a category's size; a category is cut into blocks of about so
+    Exact, so the work is the square of a category's size, or asked rows times it; a category is cut into blocks of about so
     many rows and its pairs of blocks are multiplied apart, so that a large one is not one task's. A vector
     without direction, and one without category, has no duplicate. For many vectors use likely_duplicates.
     """
     own = vectors.select("category", F.col("ticket_id").cast("long").alias("ticket_id"), "vector", F.size("vector").alias("length")).where("length > 0")
-    sizes = own.groupBy("category", "length").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = own.join(sizes, ["category", "length"]).withColumn("mine", F.pmod(F.xxhash64("ticket_id"), F.col("blocks").cast("long")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = dealt.select("category", "length", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "ticket_id", "vector")
-    pairs = groups.groupBy("category", "length", "i", "j").applyInArrow(_close(threshold), "a long, b long, cos double")
+    if asked:
+        pairs = _asked_pairs(own, ["category", "length"], asked, threshold, block)
+    else:
+        sizes = own.groupBy("category", "length").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        dealt = own.join(sizes, ["category", "length"]).withColumn("mine", F.pmod(F.xxhash64("ticket_id"), F.col("blocks").cast("long")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        groups = dealt.select("category", "length", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "ticket_id", "vector")
+        pairs = groups.groupBy("category", "length", "i", "j").applyInArrow(_close(threshold), "a long, b long, cos double")
     return pairs.select("a", "b", F.round("cos", 4).alias("similarity"))
 
 
-def likely_duplicates(vectors: DataFrame, threshold: float = DUPLICATE, tables: int = 8, bucket: float = 1.0) -> DataFrame:
-    """As duplicates, but only pairs that fall in one bucket of one of the tables: work in proportion, some pairs missed."""
+def _met(threshold: float, hashed: bool):
+    """The pairs at the threshold between the asked rows of a group and its others; of hashed ones those that meet first in the group's table."""
+
+    def run(keys: tuple, t: pa.Table) -> pa.Table:
+        length, table = keys[1].as_py(), keys[2].as_py() if hashed else 0
+        asks = pc.equal(t.column("side"), 0)
+        sides = [t.filter(asks), t.filter(pc.invert(asks))]
+        rows, out = [], []
+        for side in sides:
+            ids, x, _ = _sound(side, "ticket_id", "vector", length)
+            at = np.argsort(side.column("ticket_id").to_numpy(), kind="stable")
+            at = at[np.searchsorted(side.column("ticket_id").to_numpy()[at], ids)]
+            h = side.column("buckets").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(side), -1)[at, :table] if hashed and len(side) else None
+            rows.append((ids, x, side.column("asked").to_numpy()[at], h))
+        (a, x, _, g), (b, y, asked, h) = rows
+        for s in range(0, len(a), TILE):
+            for r in range(0, len(b), 32 * TILE):
+                cos = np.round(x[s : s + TILE] @ y[r : r + 32 * TILE].T, 12)
+                u, v = np.nonzero(cos >= threshold)
+                first, second = a[s + u], b[r + v]
+                # a pair of two asked rows is told from its smaller one
+                keep = (first != second) & ~(asked[r + v] & (second < first))
+                if hashed:
+                    keep &= ~(g[s + u] == h[r + v]).any(axis=1)
+                out.append((np.minimum(first, second)[keep], np.maximum(first, second)[keep], cos[u, v][keep]))
+        cols = [np.concatenate([o[n] for o in out]) if out else np.zeros(0, kind) for n, kind in enumerate((np.int64, np.int64, np.float64))]
+        return pa.table([pa.array(c) for c in cols], names=["a", "b", "cos"])
+
+    return run
+
+
+def _asked_pairs(rows: DataFrame, keys: list[str], asked: str, threshold: float, block: int) -> DataFrame:
+    """(a, b, cos): pairs at the threshold within the groups of keys with an end that is asked; blocks of asked rows meet blocks of 16 times as many rows."""
+    known = rows.withColumn("asked", F.coalesce(F.expr(asked), F.lit(False)))
+    sizes = known.groupBy(*keys).agg(F.ceil(F.count_if("asked") / block).cast("int").alias("few"), F.ceil(F.count("*") / (16 * block)).cast("int").alias("many")).where("few > 0")
+    # null keys meet nothing
+    dealt = known.join(sizes, keys).withColumn("h", F.xxhash64("ticket_id"))
+    mine = lambda n: F.pmod("h", F.col(n).cast("long")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.where("asked").withColumn("side", F.lit(0)).withColumn("i", mine("few")).withColumn("j", each("many"))
+    right = dealt.withColumn("side", F.lit(1)).withColumn("j", mine("many")).withColumn("i", each("few"))
+    hashed = "buckets" in rows.columns
+    met = left.unionByName(right).groupBy(*keys, "i", "j")
+    return met.applyInArrow(_met(threshold, hashed), "a long, b long, cos double")
+
+
+def likely_duplicates(vectors: DataFrame, threshold: float = DUPLICATE, tables: int = 8, bucket: float = 1.0, block: int = 2048, asked: str | None = None) -> DataFrame:
+    """As duplicates, but only pairs that fall in one bucket of one of the tables: work in proportion to buckets, some pairs missed.
+
+    A bucket's rows are multiplied by blocks, and a pair is told in the first table that it meets in. Vectors that are shorter than others have no duplicate.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    unit = Normalizer(inputCol="v", outputCol="features").transform(vectors.select("ticket_id", "category", array_to_vector(F.col("vector").cast("array<double>")).alias("v")))
+    longest = vectors.agg(F.max(F.size("vector"))).first()[0] or 0
+    # what has no direction hashes as zeros, as a plan may hash before it filters
+    sound = F.expr(f"coalesce(size(vector) = {max(longest, 1)} and not exists(vector, x -> x is null or isnan(x) or abs(x) = double('Infinity')), false)")
+    whole = vectors.withColumn("vector", F.when(sound, F.col("vector").cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), max(longest, 1))))
+    unit = Normalizer(inputCol="v", outputCol="features").transform(whole.select(F.col("ticket_id").cast("long").alias("ticket_id"), "category", F.col("vector").alias("given"), array_to_vector("vector").alias("v")))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", numHashTables=tables, bucketLength=bucket, seed=5).fit(unit)
-    met = model.approxSimilarityJoin(unit, unit, (2 - 2 * threshold) ** 0.5 + 1e-9, distCol="d")
-    pairs = met.where("datasetA.ticket_id < datasetB.ticket_id and datasetA.category = datasetB.category")
-    cos = cosine(vector_to_array("datasetA.features"), vector_to_array("datasetB.features"))
-    return pairs.select(F.col("datasetA.ticket_id").alias("a"), F.col("datasetB.ticket_id").alias("b"), cos.alias("cos")).where(F.col("cos") >= threshold).select("a", "b", F.round("cos", 4).alias("similarity"))
+    buckets = F.transform(F.array(*[vector_to_array(F.col("hashes")[i])[0] for i in range(tables)]), lambda x: x.cast("long"))
+    hashed = model.transform(unit).select("category", F.size("given").alias("length"), "ticket_id", F.col("given").alias("vector"), buckets.alias("buckets"))
+    placed = hashed.select("*", F.posexplode("buckets").alias("table", "bucket"))
+    pairs = _asked_pairs(placed, ["category", "length", "table", "bucket"], asked or "true", threshold, block)
+    return pairs.select("a", "b", F.round("cos", 4).alias("similarity"))
 
 
 def missing(tickets: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -849,10 +849,11 @@ def backfill_counts(s, d):
 @query()
 def recall_at_k(s, d):
     """The share of all near vectors of every id divisible by 100 that hashing finds; hashes are drawn, so without SQL."""
-    v = views.vectors(s, d)
-    pairs = lambda p: p.select(F.col("a").alias("query_id"), F.col("b").alias("ticket_id")).union(p.select("b", "a")).where("query_id % 100 = 0")
-    found = pairs(similar.likely_duplicates(v, 0.35, tables=16, bucket=2.0)).withColumn("rank", F.lit(1))
-    return generation.recall_at(found, pairs(similar.duplicates(v, 0.35)), 1)
+    v, asked = views.vectors(s, d), "ticket_id % 100 = 0"
+    ends = F.explode(F.array(F.struct(F.col("a").alias("query_id"), F.col("b").alias("ticket_id")), F.struct(F.col("b").alias("query_id"), F.col("a").alias("ticket_id"))))
+    pairs = lambda p: p.select(ends.alias("e")).select("e.*").where("query_id % 100 = 0")
+    found = pairs(similar.likely_duplicates(v, 0.35, tables=16, bucket=2.0, asked=asked)).withColumn("rank", F.lit(1))
+    return generation.recall_at(found, pairs(similar.duplicates(v, 0.35, asked=asked)), 1)
 
 
 @query("SELECT a.doc_id, b.item_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents) a LEFT JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) AS n FROM benchmark) b USING (n)")
