@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.text import normalise
 from .sinks import placed
@@ -107,25 +111,88 @@ def spec_grid(spark: SparkSession, n: int, priorities: tuple[str, ...], sentimen
     return spark.range(n).select(F.format_string(f"syn-{split}-%05d", "id").alias("spec_id"), of(0).alias("priority"), of(1).alias("sentiment"))
 
 
-def terms(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, term, tf): counts of word one- and two-grams of each text.
+def _words(column: str) -> Column:
+    """The words of a text of two letters or more, lower-case, joined by spaces."""
+    return F.array_join(F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 1), " ")
 
-    Texts are dealt by key before they are cut, so that their terms, of which there are many
-    times more bytes, are counted where they arise and not shuffled.
+
+def _counted(docs: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(keys, key, term, tf: the numbers of each key's terms; words, first, second: the terms as words).
+
+    A term is a place among the block's terms in order, which does not depend on the order of its texts.
+    A term of one word has no second.
+    """
+    encoded = docs.column("key").combine_chunks().dictionary_encode(null_encoding="encode")
+    texts = docs.column("words").combine_chunks()
+    split = pc.split_pattern(pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts), " ")
+    row, flat = pc.list_parent_indices(split).to_numpy(), split.flatten().dictionary_encode()
+    order = pc.array_sort_indices(flat.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    word, n = place[flat.indices.to_numpy()], len(order)
+    near = row[1:] == row[:-1]
+    key = encoded.indices.to_numpy().astype(np.int64)[row]
+    codes, place = np.unique(np.concatenate([word, (word[:-1][near] + 1) * n + word[1:][near]]), return_inverse=True)
+    pair, tf = np.unique(np.concatenate([key, key[:-1][near]]) * max(len(codes), 1) + place, return_counts=True)
+    single = codes < n
+    first, second = np.where(single, codes, codes // max(n, 1) - 1), np.where(single, -1, codes % max(n, 1))
+    return encoded.dictionary, pair // max(len(codes), 1), pair % max(len(codes), 1), tf, flat.dictionary.take(pa.array(order)), first, second
+
+
+def _spelt(words: pa.Array, first: np.ndarray, second: np.ndarray) -> pa.Array:
+    pair = pa.array(second, mask=second < 0)
+    return pc.coalesce(pc.binary_join_element_wise(words.take(pa.array(first)), words.take(pair), " "), words.take(pa.array(first)))
+
+
+def _asked_terms(docs: pa.Table) -> pa.Table:
+    """(block, place, term, c): each term of a block of texts, and how many of those that are learned from have it."""
+    keys, key, term, _, words, first, second = _counted(docs)
+    learned = pc.is_in(keys, docs.filter(docs.column("learned")).column("key").combine_chunks()).to_numpy(zero_copy_only=False)
+    c = np.bincount(term, learned[key], len(first)).astype(np.int32)
+    return pa.table([pa.array(np.repeat(np.int32(docs.column("block")[0].as_py()), len(c))), pa.array(np.arange(len(c), dtype=np.int32)), _spelt(words, first, second), pa.array(c)], names=["block", "place", "term", "c"])
+
+
+def _weigh(most: int | None):
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        keys, key, term, tf, words, first, second = _counted(docs)
+        idf = np.full(len(first), np.nan)
+        idf[known.column("place").to_numpy()] = known.column("idf").to_numpy()
+        held = ~np.isnan(idf[term])
+        key, term, tf = key[held], term[held], tf[held]
+        w = (1 + np.log(tf)) * idf[term]
+        w /= np.sqrt(np.bincount(key, w * w, len(keys)))[key]
+        if most:
+            order = np.lexsort((-w, key))
+            sizes = np.bincount(key, minlength=len(keys))
+            last = np.cumsum(sizes) - sizes + np.minimum(sizes, most) - 1
+            # what may round to the weight of the last comes too
+            held = w >= np.where(sizes > 0, w[order][np.maximum(last, 0)], 0)[key] - 1e-8 if len(w) else np.zeros(0, bool)
+            key, term, w = key[held], term[held], w[held]
+        return pa.table([keys.take(pa.array(key)), _spelt(words, first[term], second[term]), pa.array(w)], names=["key", "term", "weight"])
+
+    return run
+
+
+def tfidf(rows: DataFrame, key: str, column: str, min_df: int = 2, learned: Column | None = None, most: int | None = None, block: int = 8 << 20) -> DataFrame:
+    """(key, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) of word one- and two-grams in min_df texts or more, of unit length.
+
+    n and df count the rows that are learned, all unless told. With most, only each text's so many
+    heaviest terms, and what rounds to the weight of the last of them.
+
+    Texts are dealt by key into blocks of about so many letters, whose terms are counted and weighed where the texts
+    are. A block asks for the df of each of its terms once and is told of those in min_df texts, so what is shuffled
+    is the texts and the terms of blocks, not those of texts.
     """
-    words = F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 1)
-    pairs = F.transform(F.slice(F.col("w"), 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(F.col("w"), i + 1)))
-    return rows.select(key, column).repartition(F.col(key)).select(key, words.alias("w")).select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-
-def tfidf(rows: DataFrame, key: str, column: str, min_df: int = 2) -> DataFrame:
-    """(key, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) of terms in min_df texts or more, of unit length."""
-    t = terms(rows, key, column)
-    df = t.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
-    n = rows.agg(F.count("*").alias("n"))
-    raw = t.join(df, "term").crossJoin(F.broadcast(n)).select(key, "term", ((1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
+    known = rows.withColumn("__learned", F.lit(True) if learned is None else F.coalesce(learned, F.lit(False)))
+    n, letters = known.agg(F.count_if("__learned"), F.sum(F.length(column))).first()
+    # small inputs are cut smaller, so that all tasks have a part
+    blocks = max(-(-(letters or 1) // block), min(-(-8 * (letters or 1) // block), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = known.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.col(key).alias("key"), F.col("__learned").alias("learned"), _words(column).alias("words")).repartition(blocks, "block")
+    asked = dealt.groupBy("block").applyInArrow(_asked_terms, "block int, place int, term string, c int").repartition(blocks, "term")
+    told = asked.withColumn("df", F.sum("c").over(Window.partitionBy("term"))).where(F.col("df") >= min_df).select("block", "place", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    kind = dealt.schema["key"].dataType
+    weighed = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_weigh(most), StructType([StructField("key", kind), StructField("term", StringType()), StructField("weight", DoubleType())]))
+    return weighed.select(F.col("key").alias(key), "term", "weight")
 
 
 def keyphrases(rows: DataFrame, key: str, column: str, most: int = 5) -> DataFrame:
