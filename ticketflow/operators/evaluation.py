@@ -198,7 +198,7 @@ def tfidf(rows: DataFrame, key: str, column: str, min_df: int = 2, learned: Colu
 def keyphrases(rows: DataFrame, key: str, column: str, most: int = 5) -> DataFrame:
     """(key, rank, term): the heaviest terms of each text, in place of a model's ranking."""
     best = Window.partitionBy(key).orderBy(F.desc(F.round("weight", 9)), "term")
-    return tfidf(rows, key, column).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select(key, "rank", "term")
+    return tfidf(rows, key, column, most=most).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select(key, "rank", "term")
 
 
 def train_svc(rows: DataFrame, column: str, label: str, features: int = (1 << 31) - 1) -> PipelineModel:
