@@ -39,16 +39,18 @@ def upload(store: Store, files: DataFrame, by: int | None = None) -> list[int]:
     Refuses all if a file is of a type without a parser. A file without content is kept and has no rows.
     """
     known = files.select("path", F.coalesce("content", F.lit(b"")).alias("content")).withColumn("type", sniff.file_type(F.col("path"), F.substring("content", 1, sniff.HEAD)))
+    # files are made and parsed once, though several jobs read them; what an executor loses is made again
+    known = known.withColumn("sha256", F.sha2("content", 256)).persist()
     odd = known.where(~F.coalesce(F.col("type"), F.lit("")).isin(*cells.PARSERS, "XLSX")).select("path", "type").first()
     if odd:
+        known.unpersist()
         raise sniff.UnsupportedType(f"{odd['path']}: {odd['type']}")
-    known = known.withColumn("sha256", F.sha2("content", 256))
+    counted = cells.parsed(known.select("path", "content")).groupBy("path").agg((F.count("*") - 1).cast("int").alias("row_count"))
+    rows = known.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "path", F.col("type").alias("file_type"), "sha256").join(counted, "path", "left").persist()
 
     def work(t: Transaction) -> list[int]:
-        n = known.count()
+        n = rows.count()
         first = t.number("imports", n)
-        counted = cells.parsed(known.select("path", "content")).groupBy("path").agg((F.count("*") - 1).cast("int").alias("row_count"))
-        rows = known.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "path", F.col("type").alias("file_type"), "sha256").join(counted, "path", "left")
         placed = sinks.placed(rows.withColumn("__order", F.concat_ws("\0", "filename", "path")), "__order", "__n")
         t.append("imports", placed.select(
             (F.lit(first - 1) + F.col("__n")).alias("id"), "filename", "file_type", F.lit(by).cast("long").alias("uploaded_by"), F.coalesce("row_count", F.lit(0)).alias("row_count"), F.lit("AWAITING_VALIDATION").alias("status"),
@@ -57,7 +59,11 @@ def upload(store: Store, files: DataFrame, by: int | None = None) -> list[int]:
         t.insert("files", known.select("sha256", "content", F.octet_length("content").cast("long").alias("length")), "length")
         return list(range(first, first + n))
 
-    return store.transact(work)
+    try:
+        return store.transact(work)
+    finally:
+        rows.unpersist()
+        known.unpersist()
 
 
 def _kept(t: Transaction, imports: DataFrame) -> DataFrame:
@@ -90,14 +96,14 @@ def confirm(store: Store, import_ids: Iterable[int], mapping: Mapping[str, str |
             if states.get(i) != "AWAITING_VALIDATION":
                 raise ingest.ImportState(states.get(i))
         rows = ingest.with_headers(cells.parsed(_kept(t, imports))).withColumn("import_id", F.split("path", "/")[0].cast("long"))
-        made = ingest.project(rows, used, "import_id").withColumn("turn", F.col("import_id") * _LINES + F.col("line_no"))
+        # read by several jobs; what an executor loses is parsed again
+        made = ingest.project(rows, used, "import_id").withColumn("turn", F.col("import_id") * _LINES + F.col("line_no")).persist()
         first = ingest.first_by_ref(made, "turn")
         stored = t.read("tickets", t.touched("tickets", first))
         fresh = sinks.insert_ignore(first, stored, "external_ref").withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
-        # read by several jobs; what an executor loses is parsed again
         fresh = fresh.persist()
         try:
-            n, total = fresh.count(), rows.count()
+            n, total = fresh.count(), made.count()
             base = t.number("tickets", n)
             tickets = sinks.placed(fresh, "turn", "__n").withColumn("id", F.lit(base - 1) + F.col("__n"))
             tickets = tickets.withColumns({f.name: F.lit(None).cast(f.dataType) for f in TICKETS.fields if f.name not in tickets.columns})
@@ -105,6 +111,7 @@ def confirm(store: Store, import_ids: Iterable[int], mapping: Mapping[str, str |
             t.append("outbox", tickets.select(F.col("id").alias("ticketId"), ingest.created_event().alias("value")))
         finally:
             fresh.unpersist()
+            made.unpersist()
         done = F.col("id").isin(ids)
         mapped = F.create_map(*[F.lit(x) for pair in used.items() for x in pair])
         t.merge("imports", imports, lambda old: old.withColumn("status", F.when(done, "DONE").otherwise(F.col("status"))).withColumn("column_mapping", F.when(done, mapped).otherwise(F.col("column_mapping"))))
