@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import trim
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
@@ -31,24 +33,31 @@ def cut(df: DataFrame, drop: bool = True) -> DataFrame:
 
     The table outlives lost executors. With drop, what was shuffled to make it is given up at
     once: the collectors of Python and of the JVM are asked to let go of it. Small tables
-    leave that to Spark's own cleaner.
+    leave that to Spark's own cleaner, unless the driver's heap has grown to half its bound.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ticketflow-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     del df
-    if drop:
+    if drop or _grown(spark):
         release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def _grown(spark: SparkSession) -> bool:
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    return runtime.totalMemory() > runtime.maxMemory() // 2
+
+
 def release(spark: SparkSession) -> None:
+    """Collects, which gives up shuffles and shrinks the driver's heap, and hands freed native memory back."""
     # the cleaner learns of a shuffle when its last reference is collected, some of them one round later
     for _ in range(2):
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(0.2)
+    trim(spark)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
