@@ -33,7 +33,7 @@ def cut(df: DataFrame, drop: bool = True) -> DataFrame:
 
     The table outlives lost executors. With drop, what was shuffled to make it is given up at
     once: the collectors of Python and of the JVM are asked to let go of it. Small tables
-    leave that to Spark's own cleaner, unless the driver's heap has grown to half its bound.
+    leave that to Spark's own cleaner, unless the driver's heap has grown to two thirds of its bound.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ticketflow-{uuid.uuid4().hex}"
@@ -47,7 +47,7 @@ def cut(df: DataFrame, drop: bool = True) -> DataFrame:
 
 def _grown(spark: SparkSession) -> bool:
     runtime = spark._jvm.java.lang.Runtime.getRuntime()
-    return runtime.totalMemory() > runtime.maxMemory() // 2
+    return 3 * runtime.totalMemory() > 2 * runtime.maxMemory()
 
 
 def release(spark: SparkSession) -> None:
